@@ -2,11 +2,30 @@
 
 from __future__ import annotations
 
+from .bpe import op10_bpe
 from .common import table
+from .matroska import op4_matroska
+from .mixing import op5_mixing
+from .sharding import op2_sharding
 from .simhash import op3_simhash
+from .syncmers import op6_syncmers
+from .tokenstore import op8_tokenstore
+from .warc import op1_warc
+
+
+def _over(name: str, operator):
+    return lambda spark, sf_dir: operator(table(spark, sf_dir, name))
+
 
 QUERIES = {
-    "op3_simhash": lambda spark, d: op3_simhash(table(spark, d, "documents")),
+    "op1_warc": _over("pages", op1_warc),
+    "op2_sharding": _over("documents", op2_sharding),
+    "op3_simhash": _over("documents", op3_simhash),
+    "op4_matroska": _over("documents", op4_matroska),
+    "op5_mixing": _over("documents", op5_mixing),
+    "op6_syncmers": _over("documents", op6_syncmers),
+    "op8_tokenstore": _over("documents", op8_tokenstore),
+    "op10_bpe": _over("documents", op10_bpe),
 }
 
 ORACLES: dict[str, str] = {}
