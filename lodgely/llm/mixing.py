@@ -91,26 +91,26 @@ def with_copies(docs: DataFrame, share: float = 1.5, most: int = 2, blocks: int
     is a source, null ids are ids. Extra columns pass through; those named like the new ones are replaced.
     """
     new = ("size", "source_size", "target", "rate", "copies")
-    base = docs.select(*[c for c in docs.columns if c not in new], word_count(F.col("text")).alias("size"), F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("_block"))
-    counts = written(base.groupBy("source", "size", "_block").agg(F.count("*").alias("n")), "blocks")
+    base = docs.select(*[c for c in docs.columns if c not in new], word_count(F.col("text")).alias("size"), F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("_mix_block"))
+    counts = written(base.groupBy("source", "size", "_mix_block").agg(F.count("*").alias("n")), "blocks")
     sizes = written(counts.groupBy("source", "size").agg(F.sum("n").alias("n")), "sizes")
     sources = written(source_targets(sizes, share, most), "targets")
     tilts = balance(sizes, sources, most)
-    s = tilts.withColumnRenamed("source", "s")
+    s = tilts.withColumnRenamed("source", "_mix_s")
     rate = F.when(F.col("size") == 0, 1.0).when(F.col("tilt") == math.inf, float(most)).when(F.col("tilt") == -math.inf, 0.0).otherwise(F.least(F.lit(float(most)), F.exp(F.least(F.col("tilt") * F.col("size") / F.col("mean"), F.lit(50.0)))))
-    rated = written(sizes.join(s, F.col("source").eqNullSafe(F.col("s"))).select("source", "size", "n", rate.alias("rate"), F.lit(most).alias("most")), "rates")
+    rated = written(sizes.join(s, F.col("source").eqNullSafe(F.col("_mix_s"))).select("source", "size", "n", rate.alias("rate"), F.lit(most).alias("most")), "rates")
     kind = sizes.schema["source"].dataType.simpleString()
     dealt = rated.groupBy("source").applyInPandas(_whole, f"source {kind}, size long, copies long")
-    cells = rated.select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("n").alias("in_size"), "rate")
-    cells = cells.join(dealt, F.col("s").eqNullSafe(F.col("source")) & (F.col("z") == F.col("size"))).select("s", "z", "in_size", "rate", F.col("copies").alias("all_copies"))
-    starts = counts.withColumn("before", F.expr("sum(n) over (partition by source, size order by _block) - n")).drop("n")
-    starts = starts.join(cells, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).drop("source", "size")
-    t = sources.select(F.col("source").alias("ts"), "source_size", "target")
-    starts = written(starts.join(t, F.col("s").eqNullSafe(F.col("ts"))).drop("ts").withColumnRenamed("_block", "b"), "starts")
-    placed = base.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("_block") == F.col("b")))
-    place = F.expr("row_number() over (partition by s, z, b order by doc_id) - 1") + F.col("before")
-    copies = F.floor(F.col("all_copies") / F.col("in_size")) + F.when(place < F.col("all_copies") % F.col("in_size"), 1).otherwise(0)
-    return placed.withColumn("copies", copies.cast("int")).drop("s", "z", "b", "_block", "before", "in_size", "all_copies")
+    cells = rated.select(F.col("source").alias("_mix_s"), F.col("size").alias("_mix_z"), F.col("n").alias("_mix_n"), "rate")
+    cells = cells.join(dealt, F.col("_mix_s").eqNullSafe(F.col("source")) & (F.col("_mix_z") == F.col("size"))).select("_mix_s", "_mix_z", "_mix_n", "rate", F.col("copies").alias("_mix_copies"))
+    starts = counts.withColumn("_mix_before", F.expr("sum(n) over (partition by source, size order by _mix_block) - n")).drop("n")
+    starts = starts.join(cells, F.col("source").eqNullSafe(F.col("_mix_s")) & (F.col("size") == F.col("_mix_z"))).drop("source", "size")
+    t = sources.select(F.col("source").alias("_mix_t"), "source_size", "target")
+    starts = written(starts.join(t, F.col("_mix_s").eqNullSafe(F.col("_mix_t"))).drop("_mix_t").withColumnRenamed("_mix_block", "_mix_b"), "starts")
+    placed = base.join(starts, F.col("source").eqNullSafe(F.col("_mix_s")) & (F.col("size") == F.col("_mix_z")) & (F.col("_mix_block") == F.col("_mix_b")))
+    place = F.expr("row_number() over (partition by _mix_s, _mix_z, _mix_b order by doc_id) - 1") + F.col("_mix_before")
+    copies = F.floor(F.col("_mix_copies") / F.col("_mix_n")) + F.when(place < F.col("_mix_copies") % F.col("_mix_n"), 1).otherwise(0)
+    return placed.withColumn("copies", copies.cast("int")).drop("_mix_s", "_mix_z", "_mix_b", "_mix_block", "_mix_before", "_mix_n", "_mix_copies")
 
 
 def op5_mixing(docs: DataFrame) -> DataFrame:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .bpe import op10_bpe
 from .common import table
+from .gru_lm import op9_gru_lm
 from .matroska import op4_matroska
 from .mixing import op5_mixing
 from .sharding import op2_sharding
 from .simhash import op3_simhash
 from .syncmers import op6_syncmers
 from .tokenstore import op8_tokenstore
+from .toxicity import op7_toxicity
 from .warc import op1_warc
 
 
@@ -24,7 +26,9 @@ QUERIES = {
     "op4_matroska": _over("documents", op4_matroska),
     "op5_mixing": _over("documents", op5_mixing),
     "op6_syncmers": _over("documents", op6_syncmers),
+    "op7_toxicity": lambda spark, sf_dir: op7_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op8_tokenstore": _over("documents", op8_tokenstore),
+    "op9_gru_lm": _over("documents", op9_gru_lm),
     "op10_bpe": _over("documents", op10_bpe),
 }
 
