@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_arrow_batches, text_rows
-from .pretokens import Remembered, by_size
+from .pretokens import Remembered, by_pattern, by_size
 
 
 def byte_letters() -> list[str]:
@@ -75,7 +75,7 @@ def _encoder(path: str):
     def encode(tokens: list[str]) -> list[list[int]]:
         return processor.encode([t.encode().decode("latin-1").translate(table) for t in tokens], out_type=int, num_threads=1) if tokens else []
 
-    return Remembered(encode, public_tokenizers.PATTERN)
+    return Remembered(by_pattern(public_tokenizers.PATTERN, encode))
 
 
 @cache

@@ -13,41 +13,44 @@ _START = re.compile(r" (?=\S)")
 _ODD = re.compile(r" (?!\S)")
 
 
-class Remembered:
-    """Encodes texts by pieces that start at such a blank; a new piece is cut by `pattern` and its pre-tokens are encoded.
+class Memory:
+    """Ids of pieces. When there are more than `most`, those that are not met again are forgotten, so at most twice as many are kept."""
 
-    `encode` gives the ids of a list of pre-tokens. At most `most` pieces and as many pre-tokens are kept; when there are
-    more, all are forgotten, so memory is bounded.
-    """
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int):
+        self.encode, self.most = encode, most
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[list[int]]], pattern: str, most: int = 400_000):
-        self.encode, self.find, self.most = encode, regex.compile(pattern).findall, most
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, into: dict[str, bytes], pieces: set[str], blank: str) -> None:
-        cut = {p: self.find(blank + p) for p in pieces}
-        new = list({t for c in cut.values() for t in c}.difference(self.known))
-        for t, ids in zip(new, self.encode(new)):
-            self.known[t] = np.array(ids, "<u4").tobytes()
-        into.update((p, b"".join(map(self.known.__getitem__, c))) for p, c in cut.items())
-
-    def _look(self, memory: dict[str, bytes], pieces: list[str], blank: str) -> list[bytes]:
-        got = list(map(memory.get, pieces))
+    def __call__(self, pieces: list[str]) -> list[bytes]:
+        if len(self.new) > self.most:
+            self.old, self.new = self.new, {}
+        got = list(map(self.new.get, pieces))
         if None in got:
-            self._learn(memory, {p for p, g in zip(pieces, got) if g is None}, blank)
-            got = list(map(memory.__getitem__, pieces))
+            missing = [k for k, g in enumerate(got) if g is None]
+            names = {pieces[k] for k in missing}
+            self.new.update((p, self.old[p]) for p in names.intersection(self.old))
+            unknown = list(names.difference(self.new))
+            self.new.update(zip(unknown, self.encode(unknown)))
+            for k in missing:
+                got[k] = self.new[pieces[k]]
         return got
 
+
+class Remembered:
+    """Encodes texts by pieces: what stands before the first blank that starts a pre-token, and each such blank with what follows.
+
+    `encode` gives the ids (four bytes each, little-endian) of a list of whole pieces.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 400_000):
+        self.first = Memory(encode, most)
+        self.later = Memory(lambda pieces: encode([" " + p for p in pieces]), most)
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, four bytes each, little-endian."""
-        for memory in (self.first, self.later, self.known):
-            if len(memory) > self.most:
-                memory.clear()
         cut = [_START.split(t) if _ODD.search(t) else t.split(" ") for t in texts]
-        heads = self._look(self.first, [c[0] for c in cut], "")
-        tails = self._look(self.later, [p for c in cut for p in c[1:]], " ")
+        heads = self.first([c[0] for c in cut])
+        tails = self.later([p for c in cut for p in c[1:]])
         out, at = [], 0
         for head, c in zip(heads, cut):
             out.append(head + b"".join(tails[at : at + len(c) - 1]))
@@ -55,6 +58,19 @@ class Remembered:
         return out
 
 
+def by_pattern(pattern: str, encode: Callable[[list[str]], Iterable[list[int]]], most: int = 400_000) -> Callable[[list[str]], list[bytes]]:
+    """Encodes pieces by their pre-tokens, the matches of a pattern, each of which is encoded by itself and remembered."""
+    find = regex.compile(pattern).findall
+    known = Memory(lambda tokens: [np.array(ids, "<u4").tobytes() for ids in encode(tokens)], most)
+
+    def pieces_to_ids(pieces: list[str]) -> list[bytes]:
+        cut = [find(p) for p in pieces]
+        ids = iter(known([t for c in cut for t in c]))
+        return [b"".join(next(ids) for _ in c) for c in cut]
+
+    return pieces_to_ids
+
+
 def by_size(texts: Iterable[tuple], most: int = 1 << 21):
     """Lists of rows whose texts (the last value) have about `most` characters together, or a single longer one."""
     held, size = [], 0

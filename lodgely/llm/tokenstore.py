@@ -172,13 +172,35 @@ def _encoder(path: str):
 
     tokenizer = Tokenizer.from_file(path)
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    remembered = Remembered(lambda tokens: [e.ids for e in tokenizer.encode_batch_fast(tokens, add_special_tokens=False)], public_tokenizers.PATTERN)
+    starts = np.array([(tokenizer.id_to_token(k) or "").startswith("Ġ") for k in range(tokenizer.get_vocab_size())])
+
+    def ids(text: str) -> np.ndarray:
+        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def encode_pieces(pieces: list[str]) -> list[bytes]:
+        """Pieces that start with their only blank are encoded in one text, and cut where tokens start with one; others alone."""
+        out = [b""] * len(pieces)
+        joined = [k for k, p in enumerate(pieces) if p.rfind(" ") == 0 and not any(s in p for s in special)]
+        for k in set(range(len(pieces))).difference(joined):
+            out[k] = ids(pieces[k]).tobytes()
+        for lo in range(0, len(joined), 4096):
+            some = joined[lo : lo + 4096]
+            got = ids("".join(pieces[k] for k in some))
+            at = np.flatnonzero(starts[got])
+            if len(at) != len(some):
+                raise ValueError("this tokenizer does not start a token at each blank")
+            data, ends = got.tobytes(), [*at[1:].tolist(), len(got)]
+            for k, a, b in zip(some, at.tolist(), ends):
+                out[k] = data[4 * a : 4 * b]
+        return out
+
+    remembered = Remembered(encode_pieces)
 
     def encode(texts: list[str]) -> list[bytes]:
         got = remembered(texts)
         for i, t in enumerate(texts):
             if any(s in t for s in special):  # the library looks for these before it cuts the text
-                got[i] = np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+                got[i] = ids(t).tobytes()
         return got
 
     return encode
