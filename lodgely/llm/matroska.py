@@ -53,9 +53,9 @@ def block(track: int, relative: int, frames: list[bytes], lacing: int) -> bytes:
     return element(SIMPLE_BLOCK, head + b"".join(frames))
 
 
-def _track(number: int, rate: float) -> bytes:
+def _track(number: int, rate: float, frame: int) -> bytes:
     audio = element(RATE, struct.pack(">d", rate)) + uint(CHANNELS, 1) + uint(DEPTH, 8)
-    return element(TRACK_ENTRY, uint(TRACK_NUMBER, number) + uint(TRACK_UID, number) + uint(TRACK_TYPE, 2) + uint(FLAG_LACING, 1) + element(CODEC, b"A_PCM/INT/LIT") + element(AUDIO, audio))
+    return element(TRACK_ENTRY, uint(TRACK_NUMBER, number) + uint(TRACK_UID, number) + uint(TRACK_TYPE, 2) + uint(FLAG_LACING, 1) + uint(DEFAULT_DURATION, int(frame / rate * 1e9)) + element(CODEC, b"A_PCM/INT/LIT") + element(AUDIO, audio))
 
 
 def mux(payload: bytes, frame: int = 192, laced: int = 8, clustered: int = 64) -> bytes:
@@ -64,7 +64,7 @@ def mux(payload: bytes, frame: int = 192, laced: int = 8, clustered: int = 64) -
     Blocks take fixed, EBML and Xiph lacing in turn. A cluster has up to `clustered` frames and a cue.
     """
     info = element(INFO, uint(SCALE, 1_000_000) + element(MUXER, b"lodgely") + element(WRITER, b"lodgely"))
-    body = [info, element(TRACKS, _track(1, 8000.0) + _track(2, 8000.0))]
+    body = [info, element(TRACKS, _track(1, 8000.0, frame) + _track(2, 8000.0, frame))]
     at, cues, step = sum(map(len, body)), [], frame // 8
     frames = [payload[i : i + frame] for i in range(0, len(payload), frame)]
     for lo in range(0, len(frames), clustered):
