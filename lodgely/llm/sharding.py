@@ -27,34 +27,38 @@ def _pick(u: Column, shares: list[float]) -> Column:
     return out.otherwise(max(range(len(shares)), key=shares.__getitem__))
 
 
-def _with_target(cells: DataFrame) -> DataFrame:
-    """cells (key, shard, n) of groups of two rows or more, with the shard that holds most of the group."""
-    window = cells.select("key", "shard", "n", F.expr("sum(n) over (partition by key)").alias("total"), F.expr("-(max(struct(n as most, -shard as neg)) over (partition by key)).neg").alias("target"))
-    return window.filter("total > 1").drop("total")
+def _drawn(cells: DataFrame, free: list[float]) -> DataFrame:
+    """cells (key, shard, n) with the target of each: of the shards with free places the one that holds most of the group, unless its own holds more."""
+    cells = cells.withColumn("open", _at(free, F.col("shard")) >= 1)
+    best = F.expr("max(if(open, struct(n as most, -shard as neg), null)) over (partition by key)")
+    best = cells.withColumn("best", best)
+    moves = F.coalesce((F.col("best.most") >= F.col("n")) & (F.col("best.neg") != -F.col("shard")), F.lit(False))
+    return best.select("key", "shard", "n", F.when(moves, -F.col("best.neg")).otherwise(F.col("shard")).alias("target"))
 
 
-def propagate(rows: DataFrame, shards: int, rounds: int = 6) -> tuple[DataFrame, list[float]]:
+def propagate(rows: DataFrame, shards: int, rounds: int = 12) -> tuple[DataFrame, list[float]]:
     """Of rows (key, start), where rows of one key are linked: cells (key, shard, n) after the moves, and the linked rows of each shard.
 
     All rows of a key in a shard are one cell, so a group of any size is at most `shards` cells. In each round a cell is
-    drawn to the shard that holds most of its group. A shard takes no more than its free places: where more are drawn,
-    each cell sends its share, rounded by a hash. Rounds end when no row moves.
+    drawn to the shard with free places that holds most of its group. A shard takes no more than these: where more are
+    drawn, each cell sends its share, rounded by a hash. Rounds end when no row moves.
     """
     n = rows.count()
-    cells = written(_with_target(rows.groupBy("key", F.col("start").alias("shard")).agg(F.count("*").alias("n"))), "cells")
+    linked = rows.groupBy("key", F.col("start").alias("shard")).agg(F.count("*").alias("n")).withColumn("total", F.expr("sum(n) over (partition by key)"))
+    cells = written(linked.filter("total > 1").drop("total"), "cells")
     for turn in range(rounds + 1):
         load = {r[0]: r[1] for r in cells.groupBy("shard").agg(F.sum("n")).collect()}
         held = [float(load.get(s, 0)) for s in range(shards)]
-        drawn = {r[0]: r[1] for r in cells.filter("shard <> target").groupBy("target").agg(F.sum("n")).collect()}
-        if turn == rounds or not drawn:
-            return cells.select("key", "shard", "n"), held
-        rate = [min(1.0, max(0.0, n / shards - held[s]) / drawn[s]) if s in drawn else 0.0 for s in range(shards)]
-        if not any(rate):
-            return cells.select("key", "shard", "n"), held
-        sent = F.when(F.col("shard") == F.col("target"), F.lit(0)).otherwise(F.floor(F.col("n") * _at(rate, F.col("target")) + uniform(F.col("key"), F.col("shard"), F.lit(turn)))).cast("long")
-        moved = cells.withColumn("sent", F.least("n", sent))
+        free = [max(0.0, n / shards - h) for h in held]
+        drawn = _drawn(cells, free)
+        asked = {r[0]: r[1] for r in drawn.filter("shard <> target").groupBy("target").agg(F.sum("n")).collect()} if turn < rounds else {}
+        if not asked:
+            return cells, held
+        rate = [min(1.0, free[s] / asked[s]) if s in asked else 0.0 for s in range(shards)]
+        sent = F.floor(F.col("n") * _at(rate, F.col("target")) + uniform(F.col("key"), F.col("shard"), F.lit(turn))).cast("long")
+        moved = drawn.withColumn("sent", F.when(F.col("shard") == F.col("target"), F.lit(0)).otherwise(F.least("n", sent)))
         moved = moved.select("key", F.explode(F.array(F.struct("shard", (F.col("n") - F.col("sent")).alias("n")), F.struct(F.col("target").alias("shard"), F.col("sent").alias("n")))).alias("c"))
-        cells = written(_with_target(moved.filter("c.n > 0").groupBy("key", "c.shard").agg(F.sum("c.n").alias("n"))), "cells")
+        cells = written(moved.filter("c.n > 0").groupBy("key", "c.shard").agg(F.sum("c.n").alias("n")), "cells")
 
 
 def shard(rows: DataFrame, shards: int = 24, block_rows: int = 500) -> DataFrame:
