@@ -9,7 +9,7 @@ from lodgely.operators import bronze, extract, gold, runs, silver
 from lodgely.sources import lake
 
 PAGE = """<html><body><nav><a href="/login">x</a></nav><main>
-<div class="adItem_WRAPPER x"><a href="/thue/1.htm#a"><h3>Phòng số một</h3></a><span class="price">3 triệu</span><p>Quận 7, TP.HCM</p><img data-src="a.jpg"></div>
+<div class="adItem_WRAPPER x"><a href="/thue/1.htm#a"><h3>Phòng số một</h3></a><span class="price">3 triệu</span><p>Quận Tân Bình, TP.HCM</p><img data-src="a.jpg"></div>
 <div class="AdItem_wrapper"><a href="/thue/1.htm">again</a><h3>Phòng số một</h3></div>
 <div class="AdItem_wrapper"><a href="/dashboard"><h3>Menu item</h3></a></div>
 <div class="AdItem_wrapper"><a href="#">no link</a></div>
@@ -22,7 +22,7 @@ def test_cards(spark):
     pages = spark.createDataFrame([("https://s.vn/list", PAGE, 1, "r"), ("https://s.vn/none", None, 2, "r"), ("https://s.vn/bad", "<div <<", 3, "r")], "url string, html string, page_number int, run_id string")
     got = extract.cards(pages).orderBy("card_position").collect()
     assert [(r.detail_url, r.title_raw, r.price_raw, r.card_position) for r in got] == [("https://s.vn/thue/1.htm", "Phòng số một", "3 triệu", 1), ("https://s.vn/thue/3.htm", "Nhà nhỏ", None, 6)]
-    assert got[0].location_raw == "Quận 7, TP.HCM" and got[0].thumbnail_url_raw == "https://s.vn/a.jpg" and got[0].listing_id == "1"
+    assert got[0].location_raw == "Quận Tân Bình, TP.HCM" and got[0].thumbnail_url_raw == "https://s.vn/a.jpg" and got[0].listing_id == "1"
     assert [r.card_position for r in extract.cards(pages, limit=1).collect()] == [1]
 
 
