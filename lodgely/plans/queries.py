@@ -371,6 +371,58 @@ def validate(spark, d):
     return accepted.select(F.coalesce(F.try_element_at("issues", F.lit(1)), F.lit("none")).alias("issue")).groupBy("issue").agg(F.count("*").alias("rows"))
 
 
+@query("silver_quality", f"""{R.ORACLE} select count(*) as rows, count(*) as missing_title, count(*) filter (where price_vnd is null) as missing_price_vnd, count(*) filter (where area_m2 is null) as missing_area_m2, 0::bigint as missing_district,
+    count(*) filter (where listing_id % 5 = 4) as missing_posted_at, 0::bigint as bad_price, 0::bigint as bad_area, 0::bigint as posted_later, count(*) - count(distinct listing_id) as repeated from rental""")
+def silver_quality(spark, d):
+    none = F.lit(None).cast("string")
+    view = R.rental(spark, d).withColumns({"listing_id": F.col("listing_id").cast("string"), "source": F.lit("view"), "title_raw": none, "address_raw": none})
+    return silver.quality(silver.normalize(view))
+
+
+def _responses(spark, d):
+    """Targets of all listings, and responses to all but every seventh."""
+    one = silver.first_seen(R.rental(spark, d), ["listing_id"], R.ORDER)
+    none = F.lit(None).cast("string")
+    frontier = one.select(F.concat(F.lit("r"), F.col("listing_id") % 3).alias("run_id"), F.lit("site").alias("source"), F.lit("detail").alias("target_type"), "url", F.lit(1).alias("page_number"))
+    code = F.element_at(F.array(*[F.lit(x) for x in (200, 403, 404, 429, 503)]), (F.col("listing_id") % 5 + 1).cast("int"))
+    headers = F.create_map(F.lit("Content-TYPE"), F.lit("text/html"), F.lit("server"), F.concat(F.lit("s"), F.col("listing_id") % 4))
+    pages = one.filter("listing_id % 7 <> 0").select(F.col("url").alias("request_url"), none.alias("final_url"), code.alias("status_code"), F.concat(F.lit("<p>"), F.col("listing_id"), F.lit("</p>")).alias("html"), headers.alias("headers"), F.lit("http").alias("fetch_strategy"), F.lit("t").alias("fetched_at"), F.lit(1.5).alias("elapsed_ms"))
+    return one, runs.request_log(pages, frontier)
+
+
+_FIRST_SEEN = f"{R.ORACLE}, one as (select * from (select *, row_number() over (partition by listing_id order by run_no, k1, k2, k3, k4) as nth from rental) x where nth = 1)"
+_CODE = "case listing_id % 5 when 0 then 200 when 1 then 403 when 2 then 404 when 3 then 429 else 503 end"
+_STATUS = "case when listing_id % 7 = 0 then 'connection_error' else case listing_id % 5 when 0 then 'success' when 1 then 'access_denied' when 2 then 'not_found' when 3 then 'rate_limited' else 'server_error' end end"
+
+
+@query("request_log", f"""{_FIRST_SEEN} select 'r' || (listing_id % 3) as run_id, url as request_url, url as final_url, case when listing_id % 7 = 0 then 0 else {_CODE} end as http_status, case when listing_id % 7 <> 0 then 'text/html' end as content_type,
+    case when listing_id % 7 <> 0 then 's' || (listing_id % 4) end as server, cast(case when listing_id % 7 = 0 then 0 else length(cast(listing_id as string)) + 7 end as bigint) as html_size, {_STATUS} as crawl_status from one""")
+def request_log(spark, d):
+    return _responses(spark, d)[1].select("run_id", "request_url", "final_url", "http_status", "content_type", "server", "html_size", "crawl_status")
+
+
+@query("bronze_requests", f"{_FIRST_SEEN} select cast(listing_id as string) as listing_id, case when listing_id % 3 <> 2 then case when listing_id % 7 = 0 then 0 else {_CODE} end end as http_status, case when listing_id % 3 <> 2 then {_STATUS} end as crawl_status from one")
+def bronze_requests(spark, d):
+    one, log = _responses(spark, d)
+    records = one.select(F.col("listing_id").cast("string").alias("listing_id"), "url", F.concat(F.lit("r"), F.col("listing_id") % 3).alias("crawl_run_id"))
+    return bronze.with_request(records, log.filter("run_id <> 'r2'")).select("listing_id", "http_status", "crawl_status")
+
+
+@query("detail_targets", f"{R.LATEST} select url, cast(listing_id as string) as listing_id, 'detail' as target_type from latest where price_raw is not null")
+def detail_targets(spark, d):
+    none = F.lit(None).cast("string")
+    cards = latest(spark, d).select(F.col("url").alias("detail_url"), F.lit("view").alias("source"), F.lit(1).alias("page_number"), T.listing_id(F.col("url")).alias("listing_id"), none.alias("title_raw"), "price_raw")
+    return bronze.detail_targets(cards.filter(bronze.valid_card())).select("url", "listing_id", "target_type")
+
+
+@query("survivors", f"{R.LATEST} select listing_id, min_id as \"group\" from (select listing_id, min(listing_id) over (partition by seller_id) as min_id, row_number() over (partition by seller_id order by price_vnd nulls first, listing_id) as nth from latest) x where nth = 1")
+def survivors(spark, d):
+    rows = latest(spark, d)
+    chain = rows.select(F.col("listing_id").alias("a"), F.expr("lag(listing_id) over (partition by seller_id order by listing_id)").alias("b")).filter("b is not null")
+    groups = silver.dup_groups(chain, rows.select(F.col("listing_id").alias("key")))
+    return silver.survivors(rows, groups, ["price_vnd", "listing_id"], "listing_id").select("listing_id", "group")
+
+
 # --- pages made from the view, and read again
 
 def _listing_pages(spark, d):
