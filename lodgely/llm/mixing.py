@@ -91,8 +91,9 @@ def with_copies(docs: DataFrame, share: float = 1.5, most: int = 2, blocks: int
     is a source, null ids are ids. Extra columns pass through; those named like the new ones are replaced.
     """
     new = ("size", "source_size", "target", "rate", "copies")
-    base = docs.select(*[c for c in docs.columns if c not in new], word_count(F.col("text")).alias("size"), F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("_mix_block"))
-    counts = written(base.groupBy("source", "size", "_mix_block").agg(F.count("*").alias("n")), "blocks")
+    key = F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), F.col("source")))
+    base = docs.select(*[c for c in docs.columns if c not in new], word_count(F.col("text")).alias("size"), F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("_mix_block"), key.alias("_mix_key"))
+    counts = written(base.groupBy("source", "_mix_key", "size", "_mix_block").agg(F.count("*").alias("n")), "blocks")
     sizes = written(counts.groupBy("source", "size").agg(F.sum("n").alias("n")), "sizes")
     sources = written(source_targets(sizes, share, most), "targets")
     tilts = balance(sizes, sources, most)
@@ -106,11 +107,12 @@ def with_copies(docs: DataFrame, share: float = 1.5, most: int = 2, blocks: int
     starts = counts.withColumn("_mix_before", F.expr("sum(n) over (partition by source, size order by _mix_block) - n")).drop("n")
     starts = starts.join(cells, F.col("source").eqNullSafe(F.col("_mix_s")) & (F.col("size") == F.col("_mix_z"))).drop("source", "size")
     t = sources.select(F.col("source").alias("_mix_t"), "source_size", "target")
-    starts = written(starts.join(t, F.col("_mix_s").eqNullSafe(F.col("_mix_t"))).drop("_mix_t").withColumnRenamed("_mix_block", "_mix_b"), "starts")
-    placed = base.join(starts, F.col("source").eqNullSafe(F.col("_mix_s")) & (F.col("size") == F.col("_mix_z")) & (F.col("_mix_block") == F.col("_mix_b")))
-    place = F.expr("row_number() over (partition by _mix_s, _mix_z, _mix_b order by doc_id) - 1") + F.col("_mix_before")
+    starts = written(starts.join(t, F.col("_mix_s").eqNullSafe(F.col("_mix_t"))).withColumnRenamed("_mix_z", "size").drop("_mix_t", "_mix_s"), "starts")
+    # joined and numbered by the same columns, so whole rows are shuffled once
+    placed = base.join(starts, ["_mix_key", "size", "_mix_block"])
+    place = F.expr("row_number() over (partition by _mix_key, size, _mix_block order by doc_id) - 1") + F.col("_mix_before")
     copies = F.floor(F.col("_mix_copies") / F.col("_mix_n")) + F.when(place < F.col("_mix_copies") % F.col("_mix_n"), 1).otherwise(0)
-    return placed.withColumn("copies", copies.cast("int")).drop("_mix_s", "_mix_z", "_mix_b", "_mix_block", "_mix_before", "_mix_n", "_mix_copies")
+    return placed.withColumn("copies", copies.cast("int")).drop("_mix_key", "_mix_block", "_mix_before", "_mix_n", "_mix_copies")
 
 
 def op5_mixing(docs: DataFrame) -> DataFrame:
