@@ -63,7 +63,7 @@ class Chains:
         score: how much each word speaks for toxic. Exact for whole documents: the product of a row's step matrices is
         taken first, rows of a document pass their messages on, then each row runs forward and backward from them.
         """
-        e = np.exp(np.clip(np.append(score, 0.0), -30, 30))[self.place]
+        e = np.exp(np.clip(np.append(score, 0.0), -30, 30))[self.place]  # the last value stands for no word
         t = np.exp(moves)
         mask, n = self.mask, len(self.doc)
         step = lambda a0, a1, k: (np.where(mask[k], a0 * t[0, 0] + a1 * t[1, 0], a0), np.where(mask[k], (a0 * t[0, 1] + a1 * t[1, 1]) * e[k], a1))
@@ -158,7 +158,8 @@ def fit(texts: list[str], toxic: list[int], least_docs: int = 3, least_odds: flo
     prior = float(y.mean()) if len(y) else 0.0
     if not 0 < prior < 1:
         return Model({}, {}, np.zeros(1, np.int64), *[np.zeros(1)] * 4, np.zeros((2, 2)), np.zeros(4), prior)
-    cut = [words(t) for t in texts]
+    same: dict[bytes, bytes] = {}
+    cut = [[same.setdefault(w, w) for w in words(t)] for t in texts]  # one object for each word: the sample is on the driver
 
     def table(parts) -> tuple[dict[bytes, int], np.ndarray]:
         """Numbers of what stands in least_docs documents, from 1, and which of them are marked as toxic."""
@@ -179,6 +180,7 @@ def fit(texts: list[str], toxic: list[int], least_docs: int = 3, least_odds: flo
     stem_of = np.array([0, *(stems.get(w[:STEM], 0) for w in vocabulary)], np.int64)
     lengths = np.array([len(c) for c in cut], np.int64)
     ids, parts = _features(vocabulary, stems, stem_of, cut)
+    del cut, same
     truth = ((marked[ids] | marked_stem[parts]) & np.repeat(y == 1, lengths)).astype(float)
     before, after = _shifted(ids, lengths)
     chains, size = Chains(lengths), len(vocabulary) + 1
@@ -248,7 +250,7 @@ def tag(model: Model, texts: list[str]) -> list[tuple[float, list[tuple[int, int
     return list(zip(scores.tolist(), spans))
 
 
-def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, per_class: int = 1500, most_bytes: int = 16 << 20) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, per_class: int = 1500, most_bytes: int = 10 << 20) -> Model:
     """A model from a sample of the labelled documents whose fold is not 0: of each label the first per_class ids by hash, up to most_bytes of whole texts in all.
 
     The sample is the only thing that reaches the driver. A document with several labels counts as toxic if one says so;
