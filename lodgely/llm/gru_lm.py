@@ -5,9 +5,11 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,10 +19,10 @@ from .common import id_remainder, in_batches, small_arrow_batches, text_rows, wr
 #: The end of a document, as a word that no text can hold.
 END = b" "
 #: Words the network tells apart, in CLASSES classes of equal number; all other words fall into TAILS classes by their last two bytes.
-MODEL, CLASSES, TAILS = 1024, 32, 32
+MODEL, CLASSES, TAILS = 1024, 16, 32
 #: Words whose counts travel to the tasks; rarer ones are joined.
 HEAD = 100_000
-HIDDEN, LANES, STEPS = 16, 256, 16
+HIDDEN, LANES, STEPS = 16, 384, 16
 #: Words of a document that training takes in a row; the next stretch starts with an empty state. Scoring carries the state to the end.
 STRETCH = 1024
 _LN10 = float(np.log(10.0))
@@ -35,20 +37,28 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word binary, c) over whole texts, with END for each document. Tasks add up before the shuffle, in bounded memory."""
+def word_counts(docs: DataFrame, most: int = 1 << 24) -> DataFrame:
+    """(word binary, c) over whole texts, with END for each document. Tasks add up about `most` bytes of text at a time before the shuffle."""
     small_arrow_batches(docs.sparkSession)
     schema = pa.schema([("word", pa.binary()), ("c", pa.int64())])
 
+    def counted(texts: list[pa.Array]) -> pa.RecordBatch:
+        flat = [pc.list_flatten(pc.ascii_split_whitespace(pc.ascii_lower(t))) for t in texts]
+        found = pc.value_counts(pa.chunked_array(flat, pa.string()))
+        found = found.filter(pc.not_equal(found.field("values"), ""))
+        ends = sum(map(len, texts))
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([found.field("values").cast(pa.binary()), pa.array([END], pa.binary())]), pa.concat_arrays([found.field("counts"), pa.array([ends], pa.int64())])], schema=schema)
+
     def run(batches):
-        held: Counter[bytes] = Counter()
-        for (text,) in text_rows(batches, "text"):
-            held.update(words(text))
-            held[END] += 1
-            if len(held) > 300_000:
-                yield from in_batches(iter(held.items()), schema, 16384)
-                held.clear()
-        yield from in_batches(iter(held.items()), schema, 16384)
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch.column(0).cast(pa.string()).fill_null(""))
+            size += held[-1].nbytes
+            if size >= most:
+                yield counted(held)
+                held, size = [], 0
+        if held:
+            yield counted(held)
 
     return docs.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -74,9 +84,17 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """From written counts; the driver gets HEAD words at most, TAILS rows of sums and the totals."""
+    """From written counts; the driver gets HEAD words at most (all whose count reaches a step of eight to a doubling), TAILS rows of sums and the totals."""
     total, distinct = counts.agg(F.sum("c"), F.count("*")).first()
-    top = counts.filter(F.col("word") != F.lit(END)).orderBy(F.desc("c"), "word").limit(HEAD).collect()
+    step = F.floor(F.log2("c") * 8)
+    left, cut = HEAD, None
+    for level, n in sorted(counts.filter("c > 0").groupBy(step.alias("step")).agg(F.count("*")).collect(), reverse=True):
+        left -= n
+        if left < 0:
+            break
+        cut = level
+    common = counts.filter(step >= cut) if cut is not None else counts.limit(0)
+    top = sorted(common.filter(F.col("word") != F.lit(END)).collect(), key=lambda r: (-r.c, bytes(r.word)))
     end = counts.filter(F.col("word") == F.lit(END)).select("c").first()
     rows = [(END, end[0] if end else 0)] + [(bytes(r.word), r.c) for r in top]
     own = {w for w, _ in rows[:MODEL]}
@@ -117,15 +135,15 @@ class Network:
 
 
 def first_network(vocab: Vocabulary, seed: int = 7) -> Network:
-    """Small weights; the biases are those of the counts, so that the untrained model is a unigram model by classes."""
+    """Small weights; the biases are those of the counts, so that the untrained model is close to a unigram model by classes."""
     rng = np.random.default_rng(seed)
     counts = np.zeros(MODEL)
     counts[: min(MODEL, len(vocab.counts))] = vocab.counts[:MODEL]
     counts += 0.5
     by_class = counts.reshape(CLASSES, -1)
     mass = np.concatenate([by_class.sum(axis=1), vocab.tail_tokens + 0.5])
-    small = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
-    return Network(small(MODEL + TAILS, 3 * HIDDEN), small(HIDDEN, 3 * HIDDEN), 0 * small(HIDDEN, CLASSES + TAILS), np.log(mass / mass.sum()).astype(np.float32), 0 * small(MODEL, HIDDEN), np.log(by_class / by_class.sum(axis=1, keepdims=True)).ravel().astype(np.float32))
+    small = lambda scale, *shape: (rng.standard_normal(shape) * scale).astype(np.float32)
+    return Network(small(0.3, MODEL + TAILS, 3 * HIDDEN), small(0.1, HIDDEN, 3 * HIDDEN), small(0.05, HIDDEN, CLASSES + TAILS), np.log(mass / mass.sum()).astype(np.float32), small(0.05, MODEL, HIDDEN), np.log(by_class / by_class.sum(axis=1, keepdims=True)).ravel().astype(np.float32))
 
 
 def _gates(a: np.ndarray, h: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -238,12 +256,12 @@ def likelihoods(net: Network, ids: list[np.ndarray], lanes: int = LANES) -> np.n
 
 
 class Trainer:
-    """Truncated backpropagation over windows of STEPS words in LANES documents at a time, with steps scaled by past slopes."""
+    """Truncated backpropagation over windows of STEPS words in LANES documents at a time, with steps by the running means of slopes and of their squares."""
 
     def __init__(self, net: Network, rate: float):
         self.net, self.rate = Network(*(p.copy() for p in net.parts())), rate
-        self.past = Network(*(np.full_like(p, 1e-3) for p in net.parts()))
-        self.words = 0
+        self.mean, self.square = (Network(*(np.zeros_like(p) for p in net.parts())) for _ in range(2))
+        self.words = self.turns = 0
 
     def learn(self, ids: list[np.ndarray], lanes: int = LANES) -> None:
         target, came, fresh = grid(ids, lanes)
@@ -253,43 +271,54 @@ class Trainer:
 
     def slopes(self, target: np.ndarray, came: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[Network, np.ndarray, float]:
         """Slopes of the negated log probability of a window, the state after it, and that sum."""
-        net = self.net
+        net, cut = self.net, 2 * HIDDEN
         slopes = Network(*(np.zeros_like(p) for p in net.parts()))
-        kept, states = [], np.empty((len(target), *h.shape), np.float32)
+        kind, shape = net.u.dtype, (len(target), *h.shape)
+        before, z, r, n, g, states = (np.empty(shape, kind) for _ in range(6))
+        inputs, starts = net.x[came], fresh.any(axis=1)
         for t in range(len(target)):
-            before = np.where(fresh[t][:, None], np.float32(0), h)
-            h, z, r, n, g = _gates(net.x[came[t]], before, net.u)
-            kept.append((before, z, r, n, g))
+            before[t] = np.where(fresh[t][:, None], kind.type(0), h) if starts[t] else h
+            h, z[t], r[t], n[t], g[t] = _gates(inputs[t], before[t], net.u)
             states[t] = h
         real = target >= 0
-        got, back = output(net, states[real], target[real], slopes)
-        dh_out = np.zeros_like(states)
-        dh_out[real] = back
-        dh, da = np.zeros_like(h), np.empty((len(target), len(h), 3 * HIDDEN), np.float32)
+        if whole := bool(real.all()):
+            got, back = output(net, states.reshape(-1, HIDDEN), target.ravel(), slopes)
+            into = back.reshape(shape)
+        else:
+            got, back = output(net, states[real], target[real], slopes)
+            into = np.zeros_like(states)
+            into[real] = back
+        by_n, by_z, by_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), g * r * (1 - r)
+        dh, da, dg = np.zeros_like(h), np.empty((*target.shape, 3 * HIDDEN), kind), np.empty(shape, kind)
         for t in range(len(target) - 1, -1, -1):
-            before, z, r, n, g = kept[t]
-            dh = dh + dh_out[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (before - n) * z * (1 - z)
-            dr = dn * g * r * (1 - r)
-            da[t, :, :HIDDEN], da[t, :, HIDDEN : 2 * HIDDEN], da[t, :, 2 * HIDDEN :] = dz, dr, dn
-            dg = np.concatenate([dz, dr, dn * r], axis=1)
-            slopes.u += before.T @ dg
-            dh = np.where(fresh[t][:, None], np.float32(0), dh * z + dg @ net.u.T)
-        flat, order = da[real], np.argsort(came[real], kind="stable")
+            dh = dh + into[t]
+            dn = dh * by_n[t]
+            da[t, :, :HIDDEN], da[t, :, HIDDEN:cut], da[t, :, cut:] = dh * by_z[t], dn * by_r[t], dn
+            np.multiply(dn, r[t], out=dg[t])
+            dh = dh * z[t] + da[t, :, :cut] @ net.u[:, :cut].T + dg[t] @ net.u[:, cut:].T
+            if starts[t]:
+                dh[fresh[t]] = 0
+        rows = before.reshape(-1, HIDDEN).T
+        slopes.u[:, :cut] = rows @ da.reshape(-1, 3 * HIDDEN)[:, :cut]
+        slopes.u[:, cut:] = rows @ dg.reshape(-1, HIDDEN)
+        words_, flat = (came.ravel(), da.reshape(-1, 3 * HIDDEN)) if whole else (came[real], da[real])
         if len(flat):
-            rows = came[real][order]
-            first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-            slopes.x[rows[first]] += np.add.reduceat(flat[order], first, axis=0)
+            order = np.argsort(words_.astype(np.int16), kind="stable")
+            words_ = words_[order]
+            first = np.flatnonzero(np.concatenate([[True], words_[1:] != words_[:-1]]))
+            slopes.x[words_[first]] = np.add.reduceat(flat[order], first, axis=0)
         return slopes, h, float(got.sum())
 
     def _window(self, target, came, fresh, h):
         slopes, h, _ = self.slopes(target, came, fresh, h)
         n = max(1, int((target >= 0).sum()))
-        for p, s, past in zip(self.net.parts(), slopes.parts(), self.past.parts()):
+        self.turns += 1
+        rate = np.float32(self.rate * np.sqrt(1 - 0.99**self.turns) / (1 - 0.9**self.turns))
+        for p, s, mean, square in zip(self.net.parts(), slopes.parts(), self.mean.parts(), self.square.parts()):
             s /= n
-            past += s * s
-            p -= self.rate * s / np.sqrt(past)
+            mean += 0.1 * (s - mean)
+            square += 0.01 * (s * s - square)
+            p -= rate * mean / (np.sqrt(square) + np.float32(1e-6))
         self.words += n
         return h
 
@@ -297,8 +326,7 @@ class Trainer:
 def coded(vocab: Vocabulary, text: str | None) -> tuple[np.ndarray, list[bytes]]:
     """Codes of a text's words and its end (-1: not among the commonest), and those words."""
     own = words(text)
-    get = vocab.codes.get
-    codes = np.fromiter((get(w, -1) for w in own), np.int64, len(own))
+    codes = np.fromiter(map(vocab.codes.get, own, repeat(-1)), np.int64, len(own))
     rare = [own[k] for k in np.flatnonzero(codes < 0).tolist()]
     return np.append(codes, 0), rare
 
@@ -311,15 +339,15 @@ def network_ids(vocab: Vocabulary, codes: np.ndarray, rare: list[bytes]) -> np.n
     return out
 
 
-def pooled(rows, size, most: int = 1 << 18, count: int = 4 * LANES):
-    """Lists of rows of alike size (within a factor of four), with about `most` size together; so lanes end together."""
+def pooled(rows, size, most: int = 3 << 17, count: int = LANES):
+    """Lists of rows of alike size (within a factor of four): `count` rows and `most` size together, or eight times that size; so lanes are many and end together."""
     pools: dict[int, list] = {}
     sums: Counter[int] = Counter()
     for row in rows:
         k = max(8, size(row).bit_length()) // 2
         pools.setdefault(k, []).append(row)
         sums[k] += size(row)
-        if sums[k] >= most and len(pools[k]) >= min(count, 64) or sums[k] >= 8 * most:
+        if sums[k] >= most and len(pools[k]) >= count or sums[k] >= 8 * most:
             yield pools.pop(k)
             sums.pop(k)
     yield from pools.values()
@@ -366,7 +394,7 @@ def train(docs: DataFrame, vocab, net: Network, rate: float) -> Network:
 def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    Counts cover all training documents, and so does the network's training: first a pass over one document in eight
+    Counts cover all training documents, and so does the network's training: first a pass over one document in sixteen
     from equal starts, whose mean is the start of a pass over all. A word outside the network has the probability of its
     tail class times its smoothed share of the class's count. Null texts are empty ones; without training documents the
     score is the base score. Counts of words that are not among the HEAD commonest are joined, never broadcast.
@@ -380,8 +408,8 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     vocab = spark.sparkContext.broadcast(plain)
     net = first_network(plain)
     if plain.tokens:
-        net = train(learning.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(8)) == 0), vocab, net, 0.1)
-        net = train(learning, vocab, net, 0.03)
+        net = train(learning.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(16)) == 0), vocab, net, 0.02)
+        net = train(learning, vocab, net, 0.01)
     shared = spark.sparkContext.broadcast(net)
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.binary()))])
 
@@ -408,8 +436,8 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     fields = "doc_id long, n_tokens long, n_known long, base_score double, score double, rare array<binary>"
     scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, fields)
     scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = scored.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("n"))
-    rest = rare.join(counts, "word").groupBy("row").agg(F.sum("n").alias("more_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more"))
+    rare = scored.select("row", F.explode("rare").alias("word"))
+    rest = rare.join(counts, "word").groupBy("row").agg(F.count("*").alias("more_known"), F.sum(F.log10(F.col("c") + 1)).alias("more"))
     all_rows = scored.drop("rare").join(rest, "row", "left")
     more = F.coalesce("more", F.lit(0.0))
     base = F.col("base_score") + more
