@@ -1,8 +1,9 @@
-"""SimHash fingerprints of word shingles, linked by fuzzy hashing with the binary Golay code."""
+"""SimHash fingerprints of word shingles, linked by fuzzy hashing with the binary Golay code; near copies by the likeness of their shingles."""
 
 from __future__ import annotations
 
-from functools import cache
+from collections.abc import Iterator
+from functools import cache, lru_cache
 from itertools import combinations, repeat
 
 import numpy as np
@@ -19,14 +20,23 @@ GOLAY = 0b101011100011
 #: Start and width of the three segments of a 64-bit fingerprint.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 _CHUNK = 1 << 15
+#: Bands of MinHash values and values in a band: two texts of likeness 0.8 share no band with a chance of (1 - 0.8^5)^60 < 1e-10.
+BANDS, ROWS = 60, 5
+#: Bands whose groups are linked to their leaders first.
+_FIRST = 8
+
+
+def _shingles(text: str | None, words: int) -> Iterator[bytes]:
+    """Each `words` words in a row, in lower case; a shorter text is one shingle, one without words has none."""
+    parts = (text or "").encode().lower().split()
+    if len(parts) >= words:
+        return map(b" ".join, zip(*(parts[i:] for i in range(words))))
+    return iter([b" ".join(parts)] if parts else [])
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
     """64-bit SimHash of a whole text: a bit is set if over half of the shingles' hashes have it. No words: 0."""
-    parts = (text or "").encode().lower().split()
-    if not parts:
-        return 0
-    shingles = map(b" ".join, zip(*(parts[i:] for i in range(words)))) if len(parts) >= words else iter([b" ".join(parts)])
+    shingles = _shingles(text, words)
     total, n = np.zeros(64, np.int64), 0
     while True:
         hashes = np.fromiter((h for _, h in zip(range(_CHUNK), map(xxhash.xxh64_intdigest, shingles, repeat(42)))), np.uint64)
@@ -34,6 +44,8 @@ def fingerprint(text: str | None, words: int = 3) -> int:
             break
         n += len(hashes)
         total += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    if not n:
+        return 0
     return int(np.packbits(2 * total > n, bitorder="little").view(np.uint64)[0])
 
 
@@ -170,22 +182,126 @@ def links(prints: DataFrame, most: int = 64) -> DataFrame:
     return small.unionByName(stars).distinct()
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", words: int = 3) -> DataFrame:
-    """Per row of docs: doc_id, fp (signed long), component_id: the smallest doc_id that links lead to, itself included.
+def linked_prints(docs: DataFrame, text: str = "text", words: int = 3) -> DataFrame:
+    """Per row of docs: doc_id, fp (signed long), component_id: the smallest doc_id that links of at most two bits lead to, itself included.
 
     Null and empty texts have fingerprint zero and are linked like any other; repeated rows stay rows of one component.
     A null doc_id is the smallest of nothing: its row gets the component of its fingerprint. Other columns do not matter.
     """
     base = written(with_fingerprint(docs.select("doc_id", F.col(text).alias("text")), "text", words), "fingerprints")
     least = written(base.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
-    roots = components(links(least.select("fp")))
-    members = roots.join(least, roots["node"] == least["fp"]).select("node", "root", "least")
+    return _with_components(base, least, components(links(least.select("fp"))), "fp").select("doc_id", "fp", "component_id")
+
+
+def _with_components(base: DataFrame, least: DataFrame, roots: DataFrame, node: str) -> DataFrame:
+    """base with component_id: over the nodes of one root, the least of `least` (node, least); a node without links is its own root."""
+    members = roots.join(least, roots["node"] == least[node]).select(roots["node"].alias("member"), "root", "least")
     smallest = members.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = written(members.select("node", "root").join(smallest, "root").select(F.col("node").alias("fp"), "component_id"), "named")
-    all_named = least.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return base.join(all_named, "fp").select("doc_id", "fp", "component_id")
+    named = written(members.select("member", "root").join(smallest, "root").select(F.col("member").alias(node), "component_id"), "named")
+    all_named = least.join(named, node, "left").select(node, F.coalesce("component_id", "least").alias("component_id"))
+    return base.join(all_named, node)
+
+
+def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
+    """The distinct 64-bit hashes of a text's shingles, ascending."""
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, _shingles(text, words), repeat(42)), np.uint64))
+
+
+@cache
+def _factors() -> np.ndarray:
+    return np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """BANDS keys, each of a band's number and its ROWS MinHash values; none for no shingles."""
+    if not len(shingles):
+        return np.zeros(0, np.uint64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for lo in range(0, len(shingles), 512):
+        least = np.minimum(least, (_factors()[:, None] * shingles[None, lo : lo + 512]).min(axis=1))
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in least.reshape(BANDS, ROWS).T:
+        keys = (keys ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(29)
+    return keys
+
+
+def with_bands(docs: DataFrame, words: int = 5) -> DataFrame:
+    """docs (doc_id, text) with `node`, a signed long that names the text's set of shingles, and `keys`, its band keys."""
+    small_arrow_batches(docs.sparkSession)
+    schema = docs.select("doc_id", "text", F.lit(0).cast("long").alias("node"), F.array().cast("array<long>").alias("keys")).schema
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(t, words) for (t,) in text_rows([batch], "text")]
+            nodes = pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes(), 7) for s in sets], np.uint64).view(np.int64))
+            keys = [band_keys(s).view(np.int64) for s in sets]
+            ends = np.cumsum([0, *map(len, keys)])
+            arrays = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text")] + [nodes, arrays], names=["doc_id", "text", "node", "keys"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def alike(pairs: DataFrame, texts: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Of pairs (a, b) those whose texts (node, text) have sets of shingles of a Jaccard likeness of `similarity` or more."""
+
+    def checked(batches):
+        sets = lru_cache(64)(lambda t: shingle_set(t, words))
+        for batch in batches:
+            keep = []
+            for s, t in text_rows([batch], "s", "t"):
+                x, y = sets(s), sets(t)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both / max(1, len(x) + len(y) - both) >= similarity)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    small_arrow_batches(pairs.sparkSession)
+    one, two = texts.select(F.col("node").alias("a"), F.col("text").alias("s")), texts.select(F.col("node").alias("b"), F.col("text").alias("t"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "s", "t").mapInArrow(checked, "a long, b long")
+
+
+def near_links(base: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(node, root) of the components of all pairs of nodes that share a band and are alike, for rows of with_bands().
+
+    Any two nodes of a band's group are compared unless links already lead from one to the other. So that a group of
+    many near copies is not compared pair by pair, its members are first held against its leader, in a few bands and then
+    in all, and only what is still apart is compared with the whole rest of the group.
+    """
+    nodes = base.select("node", "keys").dropDuplicates(["node"]).select("node", F.posexplode("keys").alias("band", "key"))
+    led = nodes.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("key", "node"), "node"))["node"].alias("leader")).filter("n > 1").drop("n")
+    groups = written(nodes.join(led, "key"), "groups")
+    texts = written(base.select("node", "text").join(groups.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "texts")
+    pair = lambda d, a, b: d.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a <> b").distinct()
+    found = written(alike(pair(groups.filter(F.col("band") < _FIRST), "node", "leader"), texts, words, similarity), "alike")
+    for exhaustive in (False, True):
+        roots = written(components(found), "roots")
+        own = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        split = own.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
+        own = written(own.join(split, "key", "left_semi"), "apart")
+        if exhaustive:
+            other = own.select("key", F.col("node").alias("other"), F.col("root").alias("other_root"))
+            apart = own.join(other, "key").filter("node > other and root <> other_root")
+        else:
+            other = roots.select(F.col("node").alias("leader"), F.col("root").alias("other_root"))
+            apart = own.join(other, "leader", "left").withColumn("other", F.col("leader")).filter("root <> coalesce(other_root, leader)")
+        more = written(alike(pair(apart, "node", "other"), texts, words, similarity), "alike")
+        found = found.unionByName(more)
+    return components(found)
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Per row of docs: doc_id, component_id: the smallest doc_id that near copies lead to, itself included.
+
+    Near copies are texts whose sets of shingles have a Jaccard likeness of `similarity` or more; candidates come from
+    bands of MinHash values, each is checked on the whole sets. Texts without words are one component. A null doc_id is
+    the smallest of nothing. Other columns do not matter. Below 0.8 the bands miss more.
+    """
+    base = written(with_bands(docs.select("doc_id", F.col(text).alias("text")), words), "bands")
+    least = written(base.groupBy("node").agg(F.min("doc_id").alias("least")), "nodes")
+    return _with_components(base.select("doc_id", "node"), least, near_links(base, words, similarity), "node").select("doc_id", "component_id")
 
 
 def op3_simhash(docs: DataFrame) -> DataFrame:
-    found = near_duplicates(docs)
+    found = linked_prints(docs)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
