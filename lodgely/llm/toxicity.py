@@ -251,17 +251,26 @@ def tag(model: Model, texts: list[str]) -> list[tuple[float, list[tuple[int, int
 
 
 def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, per_class: int = 1500, most_bytes: int = 10 << 20) -> Model:
-    """A model from a sample of the labelled documents whose fold is not 0: of each label the first per_class ids by hash, up to most_bytes of whole texts in all.
+    """A model from a sample of the labelled documents whose fold is not 0: of each label up to per_class ids by hash and half of most_bytes of whole texts.
 
-    The sample is the only thing that reaches the driver. A document with several labels counts as toxic if one says so;
-    null labels and ids count as none.
+    Ids are chosen by their sizes before texts move. One that does not fit in what is left of its label's bytes is passed
+    over alone, and those over a sixteenth of the bytes come after all others. The sample is the only thing that reaches
+    the driver. A document with several labels counts as toxic if one says so; null labels and ids count as none.
     """
+    spark, share = docs.sparkSession, most_bytes // 2
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).filter(id_remainder(folds) != 0)
-    some = [known.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
-    chosen = docs.select("doc_id", "text").join(F.broadcast(some[0].unionByName(some[1])), "doc_id").withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)))
-    chosen = chosen.repartition(1).withColumn("run", F.expr("sum(size) over (order by xxhash64(doc_id), doc_id, text rows unbounded preceding)"))
-    got = chosen.filter(F.col("run") <= most_bytes).select("text", "toxic").collect()
-    return fit([r.text or "" for r in got], [min(1, max(0, r.toxic)) for r in got])
+    sizes = docs.filter(F.col("doc_id").isNotNull() & (id_remainder(folds) != 0)).groupBy("doc_id").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("size"))
+    sizes = sizes.filter(F.col("size") <= share).join(known, "doc_id")
+    some = [sizes.filter(F.col("toxic") == k).orderBy(F.col("size") > share // 16, F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
+    left, chosen = {0: share, 1: share}, []
+    for r in some[0].unionByName(some[1]).collect():
+        if r["size"] <= left[r.toxic]:
+            left[r.toxic] -= r["size"]
+            chosen.append((r.doc_id, r.toxic))
+    ids = spark.createDataFrame(chosen, sizes.select("doc_id", "toxic").schema)
+    got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(F.xxhash64("doc_id").alias("at"), "doc_id", "text", "toxic").collect()
+    got.sort(key=lambda r: (r["at"], r.doc_id, r.text or ""))
+    return fit([r.text or "" for r in got], [r.toxic for r in got])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -70,3 +70,17 @@ def test_spans_and_odd_rows(spark, odd, none):
     assert X.score(none, model).count() == 0
     empty = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.predicted for r in X.op7_toxicity(odd, empty).collect()} == {0}
+
+
+def test_long_texts_cost_no_others_their_place(spark):
+    rows = [(i, f"the cat number{i} sat on a mat {'you scum liar' if i % 3 == 0 else 'good day'} and left {i}") for i in range(200)]
+    long = [(i, "far too long " * 5000) for i in range(200, 260)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(260)], "doc_id long, toxic int")
+    docs = lambda r: spark.createDataFrame(r, "doc_id long, text string")
+    want, got = X.learn(docs(rows), labels, most_bytes=60_000), X.learn(docs(rows + long), labels, most_bytes=60_000)
+    assert want.vocabulary and got.vocabulary == want.vocabulary and got.prior == want.prior
+    texts = ["you scum liar", "good day"]
+    assert [s for s, _ in X.tag(got, texts)] == [s for s, _ in X.tag(want, texts)]
+    one = X.learn(docs([(i, t * 40 if i % 3 else t) for i, t in rows]), labels, most_bytes=60_000)
+    (toxic, _), (clean, _) = X.tag(one, texts)
+    assert 0 < one.prior < 1 and toxic > clean
