@@ -48,17 +48,32 @@ def likeness(a: str, b: str, kept: int = KEPT) -> Column:
     return F.expr(f"case when size({a}) = 0 and size({b}) = 0 then 1d else transform(array({both}), u -> size(array_intersect(u, array_intersect({a}, {b}))) / size(u))[0] end")
 
 
-def as_text(prints: str) -> Column:
-    return F.expr(f"array_join(transform({prints}, x -> lower(lpad(hex(x), 8, '0'))), '')")
+def whole_likeness(a: str, b: str) -> Column:
+    """Jaccard likeness of two arrays of distinct longs. Two empty ones are alike."""
+    return F.expr(f"case when size({a}) = 0 and size({b}) = 0 then 1d else transform(array(size(array_intersect({a}, {b}))), n -> n / (size({a}) + size({b}) - n))[0] end")
+
+
+def hashes(found: str) -> Column:
+    """The distinct full-width hashes of anchors(), ascending."""
+    return F.expr(f"sort_array(array_distinct(transform({found}, x -> x.hash)))")
+
+
+def places(found: str) -> Column:
+    """A long for each of anchors(), of its position and hash: equal in two texts where they are aligned without a shift."""
+    return F.expr(f"transform({found}, x -> xxhash64(x.position, x.hash))")
+
+
+def as_text(prints: str, digits: int = 16) -> Column:
+    return F.expr(f"array_join(transform({prints}, x -> lower(lpad(hex(x), {digits}, '0'))), '')")
 
 
 def matches(a: DataFrame, b: DataFrame, k: int = K, s: int = S) -> DataFrame:
     """Aligned passages of texts of a and b (doc_id, text): a_id, b_id, shift, anchors, first and last word in a.
 
-    Anchors depend on their own words alone, so equal passages have equal anchors at one shift of positions. An anchor
-    that occurs in several places is joined once for each document and shift.
+    Anchors depend on their own words alone, so equal passages have equal anchors at one shift of positions. Every place
+    of a repeated anchor counts; pairs of places are summed by shift before they are shuffled.
     """
-    of = lambda d, n: d.select(F.col("doc_id").alias(f"{n}_id"), F.explode(anchors("text", k, s)).alias("x")).groupBy(f"{n}_id", "x.hash").agg(F.min("x.position").alias(f"{n}_at"))
+    of = lambda d, n: d.select(F.col("doc_id").alias(f"{n}_id"), F.explode(anchors("text", k, s)).alias("x")).select(f"{n}_id", "x.hash", F.col("x.position").alias(f"{n}_at"))
     both = of(a, "a").join(of(b, "b"), "hash")
     return both.groupBy("a_id", "b_id", (F.col("b_at") - F.col("a_at")).alias("shift")).agg(F.count("*").alias("anchors"), F.min("a_at").alias("first"), (F.max("a_at") + k - 1).alias("last"))
 
@@ -79,27 +94,29 @@ def neighbours(ids: DataFrame) -> DataFrame:
 
 
 def with_edits(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, text, fp, edited, next_fp, where the last quarter of a text is replaced by the start of the next one.
+    """docs (doc_id, text) -> doc_id, text, edited, next_text, where the last quarter of a text is replaced by the start of the next one.
 
     The order is that of doc_id (nulls first), then of the text's digest. Rows with equal id and text are one document
-    there and get equal results. A null text is an empty one. The start of a text, as long as the document before needs
-    it, and its fingerprint go to that document; both joins use one shuffle of the texts.
+    there and get equal results. A null text is an empty one. A text goes to the document before it; both joins use one
+    shuffle of the texts.
     """
     text = F.coalesce("text", F.lit(""))
     base = docs.select("doc_id", text.alias("text")).withColumn("key", F.unhex(F.md5(F.col("text").cast("binary"))))
     ids = written(base.select("doc_id", "key", F.length("text").cast("long").alias("n")).groupBy("doc_id", "key", "n").agg(F.count("*").alias("rows")), "ids")
-    nav = written(neighbours(ids.drop("rows")), "order").select(F.col("doc_id").alias("i"), F.col("key").alias("k"), "prev_id", "prev_key", F.expr("prev_n div 4").alias("need"))
-    own = base.withColumn("fp", fingerprint())
-    given = own.join(nav, own["doc_id"].eqNullSafe(nav["i"]) & (own["key"] == nav["k"])).select("prev_id", "prev_key", F.expr("substring(text, 1, cast(need as int))").alias("start"), F.col("fp").alias("next_fp"))
+    nav = written(neighbours(ids.drop("rows")), "order").select(F.col("doc_id").alias("i"), F.col("key").alias("k"), "prev_id", "prev_key")
+    given = base.join(nav, base["doc_id"].eqNullSafe(nav["i"]) & (base["key"] == nav["k"])).select("prev_id", "prev_key", F.col("text").alias("next_text"))
     if (ids.agg(F.max("rows")).first()[0] or 0) > 1:
         given = given.dropDuplicates(["prev_id", "prev_key"])
-    both = own.join(given, own["doc_id"].eqNullSafe(F.col("prev_id")) & (own["key"] == F.col("prev_key")))
-    return both.select("doc_id", "text", "fp", F.expr("concat(substring(text, 1, cast(length(text) - length(text) div 4 as int)), start)").alias("edited"), "next_fp")
+    both = base.join(given, base["doc_id"].eqNullSafe(F.col("prev_id")) & (base["key"] == F.col("prev_key")))
+    quarter = "cast(length(text) div 4 as int)"
+    return both.select("doc_id", "text", F.expr(f"concat(substring(text, 1, length(text) - {quarter}), substring(next_text, 1, {quarter}))").alias("edited"), "next_text")
 
 
 def op6_syncmers(docs: DataFrame) -> DataFrame:
-    got = with_edits(docs.select("doc_id", "text")).withColumn("edited_fp", fingerprint("edited"))
+    """Fingerprints of all anchors. near_edited: share of the anchors of both that are at the same place in both (the edit keeps the start in its place); near_next: share of the distinct anchors, at any shift."""
+    got = with_edits(docs.select("doc_id", "text")).select("doc_id", "text", "edited", anchors().alias("own"), anchors("edited").alias("other"), anchors("next_text").alias("next"))
+    got = got.select("doc_id", "text", "edited", hashes("own").alias("fp"), hashes("other").alias("edited_fp"), hashes("next").alias("next_fp"), places("own").alias("at"), places("other").alias("edited_at"))
     return got.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        as_text("fp").alias("fingerprint"), as_text("edited_fp").alias("edited_fingerprint"), likeness("fp", "edited_fp").alias("near_edited"), likeness("fp", "next_fp").alias("near_next"),
+        as_text("fp").alias("fingerprint"), as_text("edited_fp").alias("edited_fingerprint"), whole_likeness("at", "edited_at").alias("near_edited"), whole_likeness("fp", "next_fp").alias("near_next"),
     )

@@ -50,3 +50,22 @@ def test_matches(spark):
 def test_equal_texts_are_alike(docs):
     got = S.op6_syncmers(docs).join(docs.select("doc_id", "text"), "doc_id").groupBy("text").agg(F.count_distinct("fingerprint").alias("n"))
     assert got.filter("n > 1").count() == 0
+
+
+def test_a_short_shared_passage_of_long_texts_counts(spark):
+    passage = [f"p{i}" for i in range(50)]
+    texts = [" ".join([f"{n}{i}" for i in range(3000)] + passage + [f"{n}{i}" for i in range(3000, 6000)]) for n in "ab"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [{x.hash for x in r.a} for r in docs.orderBy("doc_id").select(S.anchors().alias("a")).collect()]
+    both = len(sets[0] & sets[1])
+    assert both > 5
+    for r in S.op6_syncmers(docs).collect():
+        assert r.near_next == pytest.approx(both / len(sets[0] | sets[1])) and 0.5 < r.near_edited < 0.65
+        assert len(r.fingerprint) == 16 * len(sets[r.doc_id])
+
+
+def test_matches_find_a_repeated_passage_at_each_place(spark):
+    words = [f"w{i}" for i in range(40)]
+    a = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
+    b = spark.createDataFrame([(2, " ".join(words + ["x", "y", "z"] + words))], "doc_id long, text string")
+    assert {r.shift: r.anchors for r in S.matches(a, b).collect() if r.anchors > 5}.keys() == {0, 43}
