@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import cache, lru_cache
 from itertools import combinations, repeat
@@ -22,8 +23,6 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 _CHUNK = 1 << 15
 #: Bands of MinHash values and values in a band: two texts of likeness 0.8 share no band with a chance of (1 - 0.8^5)^60 < 1e-10.
 BANDS, ROWS = 60, 5
-#: Bands whose groups are linked to their leaders first.
-_FIRST = 8
 
 
 def _shingles(text: str | None, words: int) -> Iterator[bytes]:
@@ -243,63 +242,144 @@ def with_bands(docs: DataFrame, words: int = 5) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def alike(pairs: DataFrame, texts: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Of pairs (a, b) those whose texts (node, text) have sets of shingles of a Jaccard likeness of `similarity` or more."""
+def with_sets(texts: DataFrame, words: int = 5) -> DataFrame:
+    """texts (node, text, ...) with `size`, the number of distinct shingles, and `shingles`, their ascending hashes as bytes, in place of the text."""
+    small_arrow_batches(texts.sparkSession)
+    kept = [c for c in texts.columns if c != "text"]
+    schema = texts.select(*kept, F.lit(0).alias("size"), F.lit(b"").alias("shingles")).schema
 
-    def checked(batches):
-        sets = lru_cache(64)(lambda t: shingle_set(t, words))
+    def run(batches):
         for batch in batches:
-            keep = []
-            for s, t in text_rows([batch], "s", "t"):
-                x, y = sets(s), sets(t)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both / max(1, len(x) + len(y) - both) >= similarity)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            sets = [shingle_set(t, words) for (t,) in text_rows([batch], "text")]
+            new = [pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in kept] + new, names=[*kept, "size", "shingles"])
+
+    return texts.mapInArrow(run, schema)
+
+
+def measured(pairs: DataFrame, sets: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """pairs (a, b, least) of nodes of with_sets(): a, b, their sizes x and y, `common` shingles, `alike` by Jaccard, and `fresh`.
+
+    `fresh` are shingles of a that b lacks, in ascending order and as many as a prefix filter needs: a text of `least` or
+    more shingles that is alike to a and shares some shingle with it that b lacks shares one of these.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("x", pa.int32()), ("y", pa.int32()), ("common", pa.int32()), ("alike", pa.bool_()), ("fresh", pa.list_(pa.int64()))])
+
+    def rows(batches):
+        read = lru_cache(64)(lambda raw: np.frombuffer(raw, np.uint64))
+        for a, b, least, s, t in text_rows(batches, "a", "b", "least", "s", "t"):
+            x, y = read(s), read(t)
+            own = np.setdiff1d(x, y, assume_unique=True)
+            common = len(x) - len(own)
+            shared = math.ceil(similarity / (1 + similarity) * (len(x) + max(least, similarity * len(x))) - 1e-6)
+            yield a, b, len(x), len(y), common, common >= similarity * (len(x) + len(y) - common) - 1e-9, own[: max(0, len(x) - shared + 1)].view(np.int64).tolist()
 
     small_arrow_batches(pairs.sparkSession)
-    one, two = texts.select(F.col("node").alias("a"), F.col("text").alias("s")), texts.select(F.col("node").alias("b"), F.col("text").alias("t"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "s", "t").mapInArrow(checked, "a long, b long")
+    one, two = sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("t"))
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", "least", "s", "t")
+    return both.mapInArrow(lambda batches: in_batches(rows(batches), schema, 4096), "a long, b long, x int, y int, common int, alike boolean, fresh array<long>")
+
 
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots (node, root) after links (a, b) of nodes: the smallest root that they lead to."""
+    one, two = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+    edges = written(links.join(one, "a").join(two, "b").filter("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "links")
+    if edges.isEmpty():
+        return roots
+    moved = components(edges).select(F.col("node").alias("root"), F.col("root").alias("to"))
+    return written(roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
 
-def near_links(base: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+
+def _still_apart(groups: DataFrame, roots: DataFrame) -> DataFrame:
+    """groups (key, node, ...) with root and n, the members, of those keys whose members have several roots."""
+    own = groups.drop("root", "n").join(roots, "node")
+    mixed = own.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key", "n")
+    return written(own.join(mixed, "key"), "apart")
+
+
+def _pairs_within(groups: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of members of different roots and near enough sizes of the (small) groups; groups of the same members count once."""
+    lists = groups.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("node", "root", "size"))).alias("own")).groupBy("own").agg(F.min("key").alias("key"))
+    flat = lists.select("key", F.explode("own").alias("x")).select("key", "x.*")
+    other = flat.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("size").alias("sb"))
+    near = (F.least("size", "sb") >= similarity * F.greatest("size", "sb")) & (F.col("root") != F.col("rb")) & (F.col("node") > F.col("b"))
+    return flat.join(other, "key").filter(near).select(F.col("node").alias("a"), "b").distinct()
+
+
+def _near_one(held: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Of measured() rows, the pairs of nodes that may be alike though all that they share is in the same b: both need enough of it."""
+    bound = (1 + similarity) / similarity
+    near = held.filter(F.col("common") >= similarity * F.col("x") - 1e-9).withColumn("cap", F.col("common") * bound - F.col("x") + 1e-6)
+    least = near.groupBy("b").agg(F.min("x").alias("lo"))
+    one = near.filter("not alike").join(least, "b").filter("cap >= lo").join(roots.withColumnRenamed("node", "a"), "a")
+    two = near.select("b", F.col("a").alias("c"), F.col("x").alias("z"), F.col("cap").alias("cap2")).join(roots.select(F.col("node").alias("c"), F.col("root").alias("root2")), "c")
+    met = one.join(two, "b").filter((F.col("z") <= F.col("cap")) & (F.col("x") <= F.col("cap2")) & (F.col("root") != F.col("root2")))
+    return met.select(F.greatest("a", "c").alias("a"), F.least("a", "c").alias("b")).distinct()
+
+
+def near_links(base: DataFrame, words: int = 5, similarity: float = 0.8, small: int = 32, rounds: int = 8) -> DataFrame:
     """(node, root) of the components of all pairs of nodes that share a band and are alike, for rows of with_bands().
 
-    Any two nodes of a band's group are compared unless links already lead from one to the other. So that a group of
-    many near copies is not compared pair by pair, its members are first held against its leader, in a few bands and then
-    in all, and only what is still apart is compared with the whole rest of the group.
+    A large group of near copies is never compared pair by pair. Its members are held against one leader, the member that
+    meets most others. Two texts that are alike are then both alike to the leader, or share a shingle that the leader
+    lacks, or all that they share is the leader's, which needs much of it in both. So what is still apart meets again by
+    leader and shingle, in smaller groups with leaders of their own, and groups of up to `small` members are compared
+    whole. Leaders fall in a fixed order from one such round to the next, so this ends; after `rounds` the rest is
+    compared whole.
     """
-    nodes = base.select("node", "keys").dropDuplicates(["node"]).select("node", F.posexplode("keys").alias("band", "key"))
-    led = nodes.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("key", "node"), "node"))["node"].alias("leader")).filter("n > 1").drop("n")
-    groups = written(nodes.join(led, "key"), "groups")
-    texts = written(base.select("node", "text").join(groups.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "texts")
-    pair = lambda d, a, b: d.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a <> b").distinct()
-    found = written(alike(pair(groups.filter(F.col("band") < _FIRST), "node", "leader"), texts, words, similarity), "alike")
-    for exhaustive in (False, True):
-        roots = written(components(found), "roots")
-        own = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        split = own.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-        own = written(own.join(split, "key", "left_semi"), "apart")
-        if exhaustive:
-            other = own.select("key", F.col("node").alias("other"), F.col("root").alias("other_root"))
-            apart = own.join(other, "key").filter("node > other and root <> other_root")
+    keys = base.select("node", "keys").dropDuplicates(["node"]).select("node", F.explode("keys").alias("key"))
+    groups = written(keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key"), "groups")
+    weights = groups.groupBy("node").agg(F.sum("n").alias("weight"))
+    texts = base.select("node", "text").join(weights, "node").dropDuplicates(["node"])
+    sets = written(with_sets(texts, words), "sets")
+    brief = sets.select("node", "weight", "size")
+    groups = groups.select("key", "node").join(brief, "node")
+    roots = sets.select("node", F.col("node").alias("root"))
+    for turn in range(rounds + 1):
+        lead = groups.groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("leader"), F.min("size").alias("least"))
+        if turn == 1:  # the same groups again: leaders that are linked give way to the foremost of them
+            hubs = brief.join(roots, "node").groupBy("root").agg(F.max(F.struct("weight", "node"))["node"].alias("hub"))
+            lead = lead.join(roots.withColumnRenamed("node", "leader"), "leader").join(hubs, "root").select("key", F.col("hub").alias("leader"), "least")
+        led = written(groups.select("key", "node").join(lead, "key"), "led")
+        pairs = led.filter("node <> leader").groupBy(F.col("node").alias("a"), F.col("leader").alias("b")).agg(F.min("least").alias("least"))
+        held = written(measured(pairs, sets, similarity), "held")
+        roots = _merged(roots, held.filter("alike").select("a", "b"))
+        apart = _still_apart(groups, roots)
+        whole = apart if turn == rounds else apart.filter(F.col("n") <= small)
+        met, large = _pairs_within(whole, similarity), apart.filter(F.col("n") > small)
+        if turn:
+            large_led = led.join(large.select("key").distinct(), "key", "left_semi").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+            held = written(held.join(large_led, ["a", "b"]), "held")
+            met = met.unionByName(_near_one(held, roots, similarity)).distinct()
+        roots = _merged(roots, measured(met.withColumn("least", F.lit(1 << 30)), sets, similarity).filter("alike").select("a", "b"))
+        if turn == rounds:
+            break
+        if not turn:
+            groups = written(large.select("key", "node", "weight", "size"), "groups")
         else:
-            other = roots.select(F.col("node").alias("leader"), F.col("root").alias("other_root"))
-            apart = own.join(other, "leader", "left").withColumn("other", F.col("leader")).filter("root <> coalesce(other_root, leader)")
-        more = written(alike(pair(apart, "node", "other"), texts, words, similarity), "alike")
-        found = found.unionByName(more)
-    return components(found)
+            fresh = held.select(F.col("a").alias("node"), "b", F.explode("fresh").alias("t")).select("node", F.xxhash64("b", "t").alias("key"))
+            more = fresh.join(fresh.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "key").join(brief, "node")
+            groups = _still_apart(more, roots).select("key", "node", "weight", "size")
+        if groups.isEmpty():
+            break
+    return roots
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Per row of docs: doc_id, component_id: the smallest doc_id that near copies lead to, itself included.
+    """Per row of docs: doc_id, text_md5 (bytes, of the text; null: the empty one), component_id: the smallest doc_id that near copies lead to, itself included, and `component`, a name of the component.
 
     Near copies are texts whose sets of shingles have a Jaccard likeness of `similarity` or more; candidates come from
     bands of MinHash values, each is checked on the whole sets. Texts without words are one component. A null doc_id is
-    the smallest of nothing. Other columns do not matter. Below 0.8 the bands miss more.
+    the smallest of nothing; a doc_id with several texts is in the component of each. Repeated rows stay rows of one
+    component, very long texts are taken whole, an empty table gives no rows. Other columns do not matter. Below 0.8 the
+    bands miss more.
     """
     base = written(with_bands(docs.select("doc_id", F.col(text).alias("text")), words), "bands")
     least = written(base.groupBy("node").agg(F.min("doc_id").alias("least")), "nodes")
-    return _with_components(base.select("doc_id", "node"), least, near_links(base, words, similarity), "node").select("doc_id", "component_id")
+    roots = near_links(base, words, similarity)
+    rows = base.select("doc_id", "node", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("text_md5"))
+    named = rows.join(roots, "node", "left").withColumn("component", F.coalesce("root", "node")).drop("root")
+    return _with_components(named, least, roots, "node").select("doc_id", "text_md5", "component", "component_id")
 
 
 def op3_simhash(docs: DataFrame) -> DataFrame:

@@ -49,6 +49,20 @@ def test_components_by_brute_force(spark):
         label = new
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in S.near_duplicates(docs).collect()} == dict(enumerate(label))
+    base = S.with_bands(docs)
+    node = {r.doc_id: r.node for r in base.collect()}
+    for small, rounds in ((3, 2),):
+        roots = {r.node: r.root for r in S.near_links(base, small=small, rounds=rounds).collect()}
+        least = {}
+        for i, n in sorted(node.items()):
+            least.setdefault(roots.get(n, n), i)
+        assert [least[roots.get(node[i], node[i])] for i in range(len(texts))] == label
+
+
+def test_one_id_with_two_texts(spark):
+    docs = spark.createDataFrame([(1, "A a"), (1, "B b"), (2, "B b"), (2, None), (None, "B b"), (1, "A a")], "doc_id long, text string")
+    kept = C.drop_near_copies(spark, docs, "").collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept) == [("1", "A a"), ("1", "B b"), ("2", "None"), ("None", "B b")]
 
 
 def test_share_of_pairs_that_meet():
