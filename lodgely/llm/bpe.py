@@ -9,11 +9,12 @@ from functools import cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_arrow_batches, text_rows
-from .pretokens import Remembered, by_pattern, by_size
+from .pretokens import Remembered, by_pattern, by_size, gathered
 
 
 def byte_letters() -> list[str]:
@@ -79,17 +80,23 @@ def _encoder(path: str):
 
 
 @cache
-def _decoder(path: str) -> list[bytes]:
-    """Bytes of each id, through the model's pieces: letters go back to the bytes they stand for."""
+def _decoder(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all ids, one after the other, their starts and lengths, through the model's pieces: letters go back to the bytes they stand for."""
     import sentencepiece
 
     processor = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(read_ranks(path)))
     back = {letter: b for b, letter in enumerate(byte_letters())}
-    return [bytes(back[c] for c in processor.id_to_piece(k)) for k in range(processor.get_piece_size() - 1)]
+    pieces = [bytes(back[c] for c in processor.id_to_piece(k)) for k in range(processor.get_piece_size() - 1)]
+    lengths = np.array([len(p) for p in pieces], np.int64)
+    return np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(lengths) - lengths, lengths
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """docs with `out`, the ids of the whole text (array of int; a null text has none). A column of that name is replaced."""
+    """docs with `out`, the ids of the whole text (array of int; null and empty texts have none). A column of that name is replaced.
+
+    Rows stay as they are, repeated ones too, other columns pass through, and an empty table gives an empty one. A text
+    of any length is encoded whole.
+    """
     small_arrow_batches(docs.sparkSession)
     docs = docs.drop(*([out] if out != text else []))
     schema = docs.select("*", F.array().cast("array<int>").alias(out)).schema
@@ -99,9 +106,9 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") ->
         for batch in batches:
             lo = 0
             for rows in by_size((t or "",) for (t,) in text_rows([batch], text)):
-                got = encoder([t for (t,) in rows])
-                offsets = np.concatenate([[0], np.cumsum([len(g) // 4 for g in got])]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(got), "<i4")))
+                got, lengths = encoder([t for (t,) in rows])
+                offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(got))
                 own = batch.slice(lo, len(rows))
                 lo += len(rows)
                 yield pa.RecordBatch.from_arrays([*own.columns, ids], names=[*own.schema.names, out])
@@ -109,18 +116,41 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") ->
     return docs.mapInArrow(run, schema)
 
 
+def _cuts(sizes: np.ndarray, most: int = 1 << 20) -> list[int]:
+    """Ends of runs of rows that have about `most` ids together, or of a single longer row."""
+    ends, held = [], 0
+    for k, n in enumerate(sizes.tolist()):
+        if held and held + n > most:
+            ends.append(k)
+            held = 0
+        held += n
+    return [*ends, len(sizes)] if len(sizes) else []
+
+
 def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """docs with `out`, the bytes of the ids (null ids: null). Raises IndexError for an id that no rank has."""
+    """docs with `out`, the bytes of the ids (null ids: null). Raises IndexError for an id that no rank has. A column of that name is replaced."""
     small_arrow_batches(docs.sparkSession)
     docs = docs.drop(out)
     schema = docs.select("*", F.lit(b"").alias(out)).schema
 
+    def decoded(column: pa.Array) -> pa.Array:
+        values, starts, lengths = _decoder(path)
+        flat = column.flatten().to_numpy(zero_copy_only=False)
+        if len(flat) and not 0 <= flat.min() <= flat.max() < len(starts):
+            raise IndexError("an id that no rank has")
+        count = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+        size = np.concatenate([[0], np.cumsum(lengths[flat])])
+        offsets = size[np.concatenate([[0], np.cumsum(count)]).astype(np.int64)].astype(np.int32)
+        data = gathered(values, starts[flat], lengths[flat])
+        return pa.Array.from_buffers(pa.binary(), len(column), [column.is_valid().buffers()[1] if column.null_count else None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
     def run(batches):
-        table = _decoder(path)
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index(ids))
-            got = [None if i is None else b"".join(map(table.__getitem__, i)) for k in range(0, batch.num_rows, 64) for i in column.slice(k, 64).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.binary())], names=[*batch.schema.names, out])
+            lo, column = 0, batch.column(batch.schema.get_field_index(ids))
+            sizes = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+            for hi in _cuts(sizes):
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, decoded(pa.concat_arrays([column.slice(lo, hi - lo)]))], names=[*batch.schema.names, out])
+                lo = hi
 
     return docs.mapInArrow(run, schema)
 
@@ -135,4 +165,5 @@ def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op10_bpe(docs: DataFrame) -> DataFrame:
+    """Per row of docs: doc_id, n_tokens, ids_sha256, decoded_sha256. A null text counts as an empty one, equal rows give equal rows, an empty table none."""
     return digest(docs)

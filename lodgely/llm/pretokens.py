@@ -1,11 +1,14 @@
-"""Token ids of whole texts from ids of their pieces, which each worker remembers."""
+"""Token ids of whole texts from ids of their pieces: Arrow cuts texts and numbers the pieces, numpy gathers the ids."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: A blank that no white space follows starts a new pre-token, whatever stands before it.
@@ -13,60 +16,107 @@ _START = re.compile(r" (?=\S)")
 _ODD = re.compile(r" (?!\S)")
 
 
+def gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The runs values[start : start + length], one after the other."""
+    ends = np.cumsum(lengths)
+    places = np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int64)
+    places += np.repeat(starts - (ends - lengths), lengths)
+    return values[places]
+
+
 class Memory:
-    """Ids of pieces. When there are more than `most`, those that are not met again are forgotten, so at most twice as many are kept."""
+    """Ids of pieces, as runs of one array. When there are more than `most` pieces, all are forgotten."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int):
         self.encode, self.most = encode, most
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def __call__(self, pieces: list[str]) -> list[bytes]:
-        if len(self.new) > self.most:
-            self.old, self.new = self.new, {}
-        got = list(map(self.new.get, pieces))
-        if None in got:
-            missing = [k for k, g in enumerate(got) if g is None]
-            names = {pieces[k] for k in missing}
-            self.new.update((p, self.old[p]) for p in names.intersection(self.old))
-            unknown = list(names.difference(self.new))
-            self.new.update(zip(unknown, self.encode(unknown)))
-            for k in missing:
-                got[k] = self.new[pieces[k]]
-        return got
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.starts, self.lengths = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.values, self.used = np.zeros(1 << 14, np.int32), 0
+
+    def _put(self, new: list[str]) -> None:
+        values, lengths = self.encode(new)
+        n, most = len(self.place), self.used + len(values)
+        if n + len(new) > len(self.starts):
+            size = 2 * (n + len(new))
+            self.starts, self.lengths = np.resize(self.starts, size), np.resize(self.lengths, size)
+        if most > len(self.values):
+            self.values = np.resize(self.values, 2 * most)
+        self.starts[n : n + len(new)] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[n : n + len(new)] = lengths
+        self.values[self.used : most] = values
+        self.used = most
+        self.place.update(zip(new, range(n, n + len(new))))
+
+    def __call__(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and lengths, in `values`, of the ids of each piece."""
+        coded = pieces.dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        if len(self.place) > self.most:
+            self.forget()
+        at = np.fromiter(map(self.place.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            at[new] = len(self.place) + np.arange(len(new))
+            self._put([names[k] for k in new.tolist()])
+        at = at[coded.indices.to_numpy()]
+        return self.starts[at], self.lengths[at]
 
 
 class Remembered:
     """Encodes texts by pieces: what stands before the first blank that starts a pre-token, and each such blank with what follows.
 
-    `encode` gives the ids (four bytes each, little-endian) of a list of whole pieces.
+    `encode` gives the ids of a list of whole pieces, one after the other, and how many each has. Pieces are remembered,
+    about `most` of them, after which all are forgotten, so memory does not grow with the number of texts.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 400_000):
-        self.first = Memory(encode, most)
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 800_000):
+        self.first = Memory(encode, most // 4)
         self.later = Memory(lambda pieces: encode([" " + p for p in pieces]), most)
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, four bytes each, little-endian."""
-        cut = [_START.split(t) if _ODD.search(t) else t.split(" ") for t in texts]
-        heads = self.first([c[0] for c in cut])
-        tails = self.later([p for c in cut for p in c[1:]])
-        out, at = [], 0
-        for head, c in zip(heads, cut):
-            out.append(head + b"".join(tails[at : at + len(c) - 1]))
-            at += len(c) - 1
-        return out
-
-
-def by_pattern(pattern: str, encode: Callable[[list[str]], Iterable[list[int]]], most: int = 400_000) -> Callable[[list[str]], list[bytes]]:
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and how many each has."""
+        cut = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        if odd := [k for k, t in enumerate(texts) if _ODD.search(t)]:
+            places = np.arange(len(texts))
+            places[odd] = len(texts) + np.arange(len(odd))
+            cut = pa.concat_arrays([cut, pa.array([_START.split(texts[k]) for k in odd], cut.type)]).take(pa.array(places))
+        count = pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)
+        pieces = pc.list_flatten(cut)
+        head = np.zeros(len(pieces), bool)
+        begin = np.cumsum(count) - count
+        head[begin] = True
+        heads = self.first(pieces.take(pa.array(begin)))
+        tails = self.later(pieces.filter(pa.array(~head)))
+        starts, lengths = np.empty(len(pieces), np.int64), np.empty(len(pieces), np.int64)
+        starts[head], lengths[head] = heads[0], heads[1]
+        starts[~head], lengths[~head] = tails[0] + self.first.used, tails[1]
+        ids = gathered(np.concatenate([self.first.values[: self.first.used], self.later.values[: self.later.used]]), starts, lengths)
+        return ids, np.add.reduceat(lengths, begin) if len(begin) else np.zeros(0, np.int64)
+
+
+def by_pattern(pattern: str, encode: Callable[[list[str]], Iterable[list[int]]], most: int = 100_000) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
     """Encodes pieces by their pre-tokens, the matches of a pattern, each of which is encoded by itself and remembered."""
     find = regex.compile(pattern).findall
-    known = Memory(lambda tokens: [np.array(ids, "<u4").tobytes() for ids in encode(tokens)], most)
 
-    def pieces_to_ids(pieces: list[str]) -> list[bytes]:
+    def whole(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = encode(tokens)
+        lengths = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter((k for ids in got for k in ids), np.int32, int(lengths.sum())), lengths
+
+    known = Memory(whole, most)
+
+    def pieces_to_ids(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         cut = [find(p) for p in pieces]
-        ids = iter(known([t for c in cut for t in c]))
-        return [b"".join(next(ids) for _ in c) for c in cut]
+        count = np.fromiter(map(len, cut), np.int64, len(cut))
+        flat = [t for c in cut for t in c]
+        if not flat:
+            return np.zeros(0, np.int32), count
+        starts, lengths = known(pa.array(flat, pa.string()))
+        owner = np.repeat(np.arange(len(cut)), count)
+        return gathered(known.values, starts, lengths), np.bincount(owner, lengths, len(cut)).astype(np.int64)
 
     return pieces_to_ids
 

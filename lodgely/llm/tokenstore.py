@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_batches, open_fs, shared_dir, small_arrow_batches, text_rows, written
-from .pretokens import Remembered, by_size
+from .pretokens import Remembered, by_size, gathered
 
 BLOCK = 256
 _MAGIC = b"LPFOR001"
@@ -167,6 +168,7 @@ class Reader:
 
 @cache
 def _encoder(path: str):
+    """texts -> ids of all texts, one after the other, and how many each has; as the library gives them for each whole text."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -174,34 +176,45 @@ def _encoder(path: str):
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     starts = np.array([(tokenizer.id_to_token(k) or "").startswith("Ġ") for k in range(tokenizer.get_vocab_size())])
 
-    def ids(text: str) -> np.ndarray:
-        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+    def whole(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.int32), *got]), np.array([len(g) for g in got], np.int64)
 
-    def encode_pieces(pieces: list[str]) -> list[bytes]:
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    cutter = made.get("pre_tokenizer") or {}
+    if made.get("normalizer") or made.get("truncation") or made.get("padding") or cutter.get("type") != "ByteLevel" or cutter.get("add_prefix_space") or not cutter.get("use_regex", True):
+        return whole  # such a tokenizer does not start a token at each blank, so texts cannot be put together from pieces
+
+    def pieces_to_ids(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Pieces that start with their only blank are encoded in one text, and cut where tokens start with one; others alone."""
-        out = [b""] * len(pieces)
         joined = [k for k, p in enumerate(pieces) if p.rfind(" ") == 0 and not any(s in p for s in special)]
-        for k in set(range(len(pieces))).difference(joined):
-            out[k] = ids(pieces[k]).tobytes()
+        alone = sorted(set(range(len(pieces))).difference(joined))
+        values, lengths = whole([pieces[k] for k in alone])
+        parts, counts = [values], [lengths]
         for lo in range(0, len(joined), 4096):
             some = joined[lo : lo + 4096]
-            got = ids("".join(pieces[k] for k in some))
+            got, _ = whole(["".join(pieces[k] for k in some)])
             at = np.flatnonzero(starts[got])
             if len(at) != len(some):
                 raise ValueError("this tokenizer does not start a token at each blank")
-            data, ends = got.tobytes(), [*at[1:].tolist(), len(got)]
-            for k, a, b in zip(some, at.tolist(), ends):
-                out[k] = data[4 * a : 4 * b]
-        return out
-
-    remembered = Remembered(encode_pieces)
-
-    def encode(texts: list[str]) -> list[bytes]:
-        got = remembered(texts)
-        for i, t in enumerate(texts):
-            if any(s in t for s in special):  # the library looks for these before it cuts the text
-                got[i] = ids(t).tobytes()
-        return got
+            parts.append(got)
+            counts.append(np.diff(np.append(at, len(got))))
+        order = np.argsort(np.array(alone + joined, np.int64))
+        lengths = np.concatenate(counts)
+        return gathered(np.concatenate(parts), (np.cumsum(lengths) - lengths)[order], lengths[order]), lengths[order]
+
+    remembered = Remembered(pieces_to_ids)
+
+    def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids, lengths = remembered(texts)
+        marked = [k for k, t in enumerate(texts) if any(s in t for s in special)]  # the library looks for these before it cuts the text
+        if marked:
+            other, counts = whole([texts[k] for k in marked])
+            starts_ = np.cumsum(lengths) - lengths
+            starts_[marked], lengths[marked] = len(ids) + np.cumsum(counts) - counts, counts
+            ids = gathered(np.concatenate([ids, other]), starts_, lengths)
+        return ids, lengths
 
     return encode
 
@@ -219,14 +232,16 @@ def write_ids(docs: DataFrame, folder: str, path: str, end_id: int | None = 2, t
 
     def run(batches):
         encode, writer, base, name = _encoder(path), None, "", ""
-        for rows in by_size((i, t or "") for i, t in text_rows(batches, "doc_id", "text")):
+        for rows in by_size(((i, t or "") for i, t in text_rows(batches, "doc_id", "text")), 1 << 22):
             if writer is None:
                 fs, base = open_fs(folder)
                 fs.create_dir(base, recursive=True)
                 name = f"{uuid.uuid4().hex}.ids"
                 writer = Writer(fs.open_output_stream(f"{base}/{name}", compression=None))
-            for (doc_id, _), ids in zip(rows, encode([t for _, t in rows])):
-                writer.add(doc_id, ids + end)
+            ids, lengths = encode([t for _, t in rows])
+            data, ends = ids.astype("<u4").tobytes(), np.cumsum(lengths).tolist()
+            for (doc_id, _), lo, hi in zip(rows, [0, *ends], ends):
+                writer.add(doc_id, data[4 * lo : 4 * hi] + end)
         if writer is not None:
             size = writer.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "path": [name], "bytes": [size], "docs": [len(writer.docs)], "ids": [writer.total]})
@@ -259,5 +274,10 @@ def read_ids(manifest: DataFrame, folder: str) -> DataFrame:
 
 
 def op8_tokenstore(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """Per row of docs, from files written and read back: doc_id, start, n_tokens, ids_crc32.
+
+    A null text counts as an empty one (the end id alone), null ids come first, equal ids in order of their texts;
+    repeated rows are written each, very long texts whole, an empty table gives no rows, other columns do not matter.
+    """
     folder = shared_dir(docs.sparkSession, "ids")
     return read_ids(write_ids(docs, folder, path or public_tokenizers.path("byte_bpe_50k.json")), folder)

@@ -23,8 +23,8 @@ def test_stages_follow_their_decisions(spark):
     assert Counter(r.doc_id for r in mixed.collect()) == {i: n for i, n in copies.items() if n} and mixed.columns == docs.columns
     last = C.encode(spark, mixed, SF).collect()
     texts = {r.doc_id: r.text for r in docs.collect()}
-    table = bpe._decoder(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    assert all(b"".join(table[i] for i in r.ids).decode() == texts[r.doc_id] and r.n_tokens == len(r.ids) for r in last)
+    back = bpe.decode(C.encode(spark, mixed, SF), public_tokenizers.path("byte_bpe_50k.tiktoken")).collect()
+    assert all(r.decoded.decode() == texts[r.doc_id] and r.n_tokens == len(r.ids) for r in back) and len(back) == len(last)
     assert Counter(r.doc_id for r in C.run(spark, SF).select("doc_id").collect()) == Counter(r.doc_id for r in last)
 
 
