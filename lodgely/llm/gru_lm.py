@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_remainder, in_batches, small_arrow_batches, text_rows, written
+from .common import id_remainder, in_batches, small_arrow_batches, written
 
 #: The end of a document, as a word that no text can hold.
 END = b" "
@@ -23,8 +23,6 @@ MODEL, CLASSES, TAILS = 1024, 16, 32
 #: Words whose counts travel to the tasks; rarer ones are joined.
 HEAD = 100_000
 HIDDEN, LANES, STEPS = 16, 384, 16
-#: Words of a document that training takes in a row; the next stretch starts with an empty state. Scoring carries the state to the end.
-STRETCH = 1024
 _LN10 = float(np.log(10.0))
 
 
@@ -32,9 +30,26 @@ def tail_class(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % TAILS
 
 
-def words(text: str | None) -> list[bytes]:
-    """Words of a text, A-Z in lower case, without the end."""
-    return (text or "").encode().lower().split()
+def _together(batches, most: int = 1 << 23):
+    """Lists of Arrow batches (text first) of about `most` bytes of text together."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(0).nbytes
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, one after the other, and how many each has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string()).fill_null("")))
+    flat, count = pc.list_flatten(lists), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    real = pc.not_equal(flat, "")
+    owner = np.repeat(np.arange(len(count)), count)
+    return flat.filter(real), np.bincount(owner[real.to_numpy(zero_copy_only=False)], minlength=len(count))
 
 
 def word_counts(docs: DataFrame, most: int = 1 << 24) -> DataFrame:
@@ -42,23 +57,11 @@ def word_counts(docs: DataFrame, most: int = 1 << 24) -> DataFrame:
     small_arrow_batches(docs.sparkSession)
     schema = pa.schema([("word", pa.binary()), ("c", pa.int64())])
 
-    def counted(texts: list[pa.Array]) -> pa.RecordBatch:
-        flat = [pc.list_flatten(pc.ascii_split_whitespace(pc.ascii_lower(t))) for t in texts]
-        found = pc.value_counts(pa.chunked_array(flat, pa.string()))
-        found = found.filter(pc.not_equal(found.field("values"), ""))
-        ends = sum(map(len, texts))
-        return pa.RecordBatch.from_arrays([pa.concat_arrays([found.field("values").cast(pa.binary()), pa.array([END], pa.binary())]), pa.concat_arrays([found.field("counts"), pa.array([ends], pa.int64())])], schema=schema)
-
     def run(batches):
-        held, size = [], 0
-        for batch in batches:
-            held.append(batch.column(0).cast(pa.string()).fill_null(""))
-            size += held[-1].nbytes
-            if size >= most:
-                yield counted(held)
-                held, size = [], 0
-        if held:
-            yield counted(held)
+        for held in _together(batches, most):
+            found = pc.value_counts(pa.chunked_array([_cut(b.column(0))[0] for b in held], pa.string()))
+            ends = sum(b.num_rows for b in held)
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([found.field("values").cast(pa.binary()), pa.array([END], pa.binary())]), pa.concat_arrays([found.field("counts"), pa.array([ends], pa.int64())])], schema=schema)
 
     return docs.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -148,11 +151,21 @@ def first_network(vocab: Vocabulary, seed: int = 7) -> Network:
 
 def _gates(a: np.ndarray, h: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, ...]:
     """One step of the gated unit from the input's part of the gates; the new state and what the way back needs."""
+    cut = 2 * HIDDEN
     g = h @ u
-    zr = 1 / (1 + np.exp(-(a[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])))
+    zr = a[:, :cut] + g[:, :cut]
+    np.negative(zr, out=zr)
+    np.exp(zr, out=zr)
+    zr += 1
+    np.reciprocal(zr, out=zr)
     z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-    n = np.tanh(a[:, 2 * HIDDEN :] + r * g[:, 2 * HIDDEN :])
-    return n + z * (h - n), z, r, n, g[:, 2 * HIDDEN :]
+    n = r * g[:, cut:]
+    n += a[:, cut:]
+    np.tanh(n, out=n)
+    out = h - n
+    out *= z
+    out += n
+    return out, z, r, n, g[:, cut:]
 
 
 def _exponentials(logits: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -240,23 +253,27 @@ def likelihoods(net: Network, ids: list[np.ndarray], lanes: int = LANES) -> np.n
     lane, start = lay_out(lengths, lanes)
     for d, (k, s) in enumerate(zip(lane.tolist(), start.tolist())):
         doc[s : s + lengths[d], k] = d
-    h, total = np.zeros((target.shape[1], HIDDEN), np.float32), np.zeros(len(ids))
-    window = max(1, 65536 // target.shape[1])
-    for lo in range(0, len(target), window):
-        states = np.empty((min(window, len(target) - lo), *h.shape), np.float32)
-        for t in range(len(states)):
-            if fresh[lo + t].any():
+    h, total, lo = np.zeros((target.shape[1], HIDDEN), np.float32), np.zeros(len(ids)), 0
+    while lo < len(target):
+        live = target[lo] >= 0
+        if live.sum() <= 0.75 * len(live):
+            target, came, fresh, doc, h = target[:, live], came[:, live], fresh[:, live], doc[:, live], h[live]
+        window = min(max(1, 65536 // target.shape[1]), len(target) - lo)
+        states, starts = np.empty((window, *h.shape), np.float32), fresh[lo : lo + window].any(axis=1)
+        for t in range(window):
+            if starts[t]:
                 h = np.where(fresh[lo + t][:, None], np.float32(0), h)
             h = _gates(net.x[came[lo + t]], h, net.u)[0]
             states[t] = h
         real = target[lo : lo + window] >= 0
         got, _ = output(net, states[real], target[lo : lo + window][real])
         total += np.bincount(doc[lo : lo + window][real], got, len(ids))
+        lo += window
     return total / _LN10
 
 
 class Trainer:
-    """Truncated backpropagation over windows of STEPS words in LANES documents at a time, with steps by the running means of slopes and of their squares."""
+    """Truncated backpropagation over windows of STEPS words (more where documents are few) in LANES documents at a time, with steps by the running means of slopes and of their squares."""
 
     def __init__(self, net: Network, rate: float):
         self.net, self.rate = Network(*(p.copy() for p in net.parts())), rate
@@ -264,10 +281,16 @@ class Trainer:
         self.words = self.turns = 0
 
     def learn(self, ids: list[np.ndarray], lanes: int = LANES) -> None:
+        """One pass over documents, each with a state that runs on to its end. Where fewer lanes are left, windows have more steps in place."""
         target, came, fresh = grid(ids, lanes)
-        h = np.zeros((target.shape[1], HIDDEN), np.float32)
-        for lo in range(0, len(target), STEPS):
-            h = self._window(target[lo : lo + STEPS], came[lo : lo + STEPS], fresh[lo : lo + STEPS], h)
+        h, lo = np.zeros((target.shape[1], HIDDEN), np.float32), 0
+        while lo < len(target):
+            live = target[lo] >= 0
+            if live.sum() <= 0.75 * len(live):
+                target, came, fresh, h = target[:, live], came[:, live], fresh[:, live], h[live]
+            steps = STEPS * max(1, min(32, lanes // target.shape[1]))
+            h = self._window(target[lo : lo + steps], came[lo : lo + steps], fresh[lo : lo + steps], h)
+            lo += steps
 
     def slopes(self, target: np.ndarray, came: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[Network, np.ndarray, float]:
         """Slopes of the negated log probability of a window, the state after it, and that sum."""
@@ -313,7 +336,8 @@ class Trainer:
         slopes, h, _ = self.slopes(target, came, fresh, h)
         n = max(1, int((target >= 0).sum()))
         self.turns += 1
-        rate = np.float32(self.rate * np.sqrt(1 - 0.99**self.turns) / (1 - 0.9**self.turns))
+        # windows of few words, at the ends of long documents, take smaller steps
+        rate = np.float32(self.rate * np.sqrt(n / (n + 512)) * np.sqrt(1 - 0.99**self.turns) / (1 - 0.9**self.turns))
         for p, s, mean, square in zip(self.net.parts(), slopes.parts(), self.mean.parts(), self.square.parts()):
             s /= n
             mean += 0.1 * (s - mean)
@@ -323,24 +347,26 @@ class Trainer:
         return h
 
 
-def coded(vocab: Vocabulary, text: str | None) -> tuple[np.ndarray, list[bytes]]:
-    """Codes of a text's words and its end (-1: not among the commonest), and those words."""
-    own = words(text)
-    codes = np.fromiter(map(vocab.codes.get, own, repeat(-1)), np.int64, len(own))
-    rare = [own[k] for k in np.flatnonzero(codes < 0).tolist()]
-    return np.append(codes, 0), rare
-
-
-def network_ids(vocab: Vocabulary, codes: np.ndarray, rare: list[bytes]) -> np.ndarray:
-    """Words of the network, or MODEL + tail class."""
-    out = np.where(codes < MODEL, codes, MODEL + vocab.tail[codes])
-    if rare:
-        out[codes < 0] = [MODEL + tail_class(w) for w in rare]
-    return out
+def coded(vocab: Vocabulary, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray, pa.Array]]:
+    """Of each text: codes of its words and its end (-1: not among the commonest), their words of the network or MODEL + tail class, and the words of code -1."""
+    flat, count = _cut(texts)
+    found = flat.dictionary_encode()
+    names, index = found.dictionary.cast(pa.binary()).to_pylist(), found.indices.to_numpy(zero_copy_only=False)
+    code = np.fromiter(map(vocab.codes.get, names, repeat(-1)), np.int32, len(names))
+    ids = np.where(code < MODEL, code, MODEL + vocab.tail[code]).astype(np.int32)
+    new = np.flatnonzero(code < 0)
+    ids[new] = [MODEL + tail_class(names[k]) for k in new.tolist()]
+    ends = np.cumsum(count)
+    codes, words_ = np.insert(code[index], ends, 0), np.insert(ids[index], ends, 0)
+    rare = code[index] < 0
+    words_of_rare = flat.filter(pa.array(rare)).cast(pa.binary())
+    rare_ends = np.concatenate([[0], np.cumsum(rare)])[ends]
+    cuts, rare_cuts = [0, *(ends + np.arange(1, len(ends) + 1)).tolist()], [0, *rare_ends.tolist()]
+    return [(codes[a:b], words_[a:b], words_of_rare.slice(c, d - c)) for a, b, c, d in zip(cuts, cuts[1:], rare_cuts, rare_cuts[1:])]
 
 
 def pooled(rows, size, most: int = 3 << 17, count: int = LANES):
-    """Lists of rows of alike size (within a factor of four): `count` rows and `most` size together, or eight times that size; so lanes are many and end together."""
+    """Lists of rows of alike size (within a factor of four): `count` rows and `most` size together, or eight times that size; so lanes are many and end together. What is left at the end is one list."""
     pools: dict[int, list] = {}
     sums: Counter[int] = Counter()
     for row in rows:
@@ -350,7 +376,8 @@ def pooled(rows, size, most: int = 3 << 17, count: int = LANES):
         if sums[k] >= most and len(pools[k]) >= count or sums[k] >= 8 * most:
             yield pools.pop(k)
             sums.pop(k)
-    yield from pools.values()
+    if left := [row for k in sorted(pools, reverse=True) for row in pools[k]]:
+        yield left
 
 
 def train(docs: DataFrame, vocab, net: Network, rate: float) -> Network:
@@ -365,8 +392,8 @@ def train(docs: DataFrame, vocab, net: Network, rate: float) -> Network:
 
     def run(batches):
         trainer = Trainer(shared.value, rate)
-        ids = (network_ids(vocab.value, *coded(vocab.value, t)) for (t,) in text_rows(batches, "text"))
-        for part in pooled((i[at : at + STRETCH] for i in ids for at in range(0, len(i), STRETCH)), len):
+        ids = (i for held in _together(batches) for _, i, _ in coded(vocab.value, pa.concat_arrays([b.column(0).cast(pa.string()) for b in held])))
+        for part in pooled(ids, len):
             trainer.learn(part)
         if trainer.words:
             flat = trainer.net.flat().astype(np.float32)
@@ -394,10 +421,13 @@ def train(docs: DataFrame, vocab, net: Network, rate: float) -> Network:
 def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    Counts cover all training documents, and so does the network's training: first a pass over one document in sixteen
+    Counts cover all training documents, and so does the network's training: first a pass over one document in eight
     from equal starts, whose mean is the start of a pass over all. A word outside the network has the probability of its
-    tail class times its smoothed share of the class's count. Null texts are empty ones; without training documents the
-    score is the base score. Counts of words that are not among the HEAD commonest are joined, never broadcast.
+    tail class times its smoothed share of the class's count. Null and empty texts are the end alone; without training
+    documents the score is the base score, and an empty table gives no rows. Repeated rows are rows of their own, a null
+    doc_id is in the fold of the empty text. The state runs on to the end of a text of any length, in training too, where
+    only slopes are cut. Counts of words that are not among the HEAD commonest are joined, never broadcast. Other columns
+    do not matter.
     """
     spark = docs.sparkSession
     small_arrow_batches(spark)
@@ -408,7 +438,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     vocab = spark.sparkContext.broadcast(plain)
     net = first_network(plain)
     if plain.tokens:
-        net = train(learning.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(16)) == 0), vocab, net, 0.02)
+        net = train(learning.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(8)) == 0), vocab, net, 0.02)
         net = train(learning, vocab, net, 0.01)
     shared = spark.sparkContext.broadcast(net)
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.binary()))])
@@ -417,6 +447,12 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
         v = vocab.value
         norm = np.log10(v.tail_tokens + v.tail_words + 1)
 
+        def coded_rows(held):
+            column = pa.concat_arrays([b.column(0).cast(pa.string()) for b in held])
+            ids = [i for b in held for i in b.column(1).to_pylist()]
+            for doc_id, (codes, words_, rare) in zip(ids, coded(v, column)):
+                yield doc_id, words_, codes, rare
+
         def measured(part):
             got = likelihoods(shared.value, [i for _, i, _, _ in part])
             for (doc_id, ids, codes, rare), s in zip(part, got.tolist()):
@@ -424,17 +460,17 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
                 base = float(np.log10(c + 1).sum()) - len(codes) * np.log10(v.tokens + v.distinct + 1)
                 tails = ids[ids >= MODEL] - MODEL
                 s += float(np.log10(v.counts[codes[codes >= MODEL]] + 1).sum()) - float(norm[tails].sum())
-                yield doc_id, len(codes), int((c > 0).sum()), base, s, rare
+                yield doc_id, len(codes), int((c > 0).sum()), base, s, rare.to_pylist()
 
         def rows():
-            texts = ((i, *coded(v, t)) for i, t in text_rows(batches, "doc_id", "text"))
-            for part in pooled(((i, network_ids(v, codes, rare), codes, rare) for i, codes, rare in texts), lambda r: len(r[1])):
+            texts = (r for held in _together(batches) for r in coded_rows(held))
+            for part in pooled(texts, lambda r: len(r[1])):
                 yield from measured(part)
 
         yield from in_batches(rows(), schema, 512)
 
     fields = "doc_id long, n_tokens long, n_known long, base_score double, score double, rare array<binary>"
-    scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, fields)
+    scored = docs.select("text", F.col("doc_id").cast("long")).mapInArrow(run, fields)
     scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = scored.select("row", F.explode("rare").alias("word"))
     rest = rare.join(counts, "word").groupBy("row").agg(F.count("*").alias("more_known"), F.sum(F.log10(F.col("c") + 1)).alias("more"))
@@ -448,4 +484,5 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
 
 
 def op9_gru_lm(docs: DataFrame) -> DataFrame:
+    """score() with the folds and columns of the query; see there for nulls, empty and long texts."""
     return score(docs)

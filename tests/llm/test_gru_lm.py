@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from lodgely.llm import gru_lm as G
 
@@ -29,13 +30,25 @@ def check(rows, table, head=None):
 def test_query(docs, odd, none, monkeypatch):
     rows = G.op9_gru_lm(docs).collect()
     check(rows, docs)
-    assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+    assert sum(r.score for r in rows if r.held_out) > sum(r.base_score for r in rows if r.held_out)
     monkeypatch.setattr(G, "HEAD", 40)
     check(G.op9_gru_lm(docs).collect(), docs)
     check(G.op9_gru_lm(odd).collect(), odd)
     assert G.op9_gru_lm(none).count() == 0
 
 
+def test_codes(monkeypatch):
+    texts = ["a b  A\tc", None, "", " zz yy zz ", "b\x1cb é É", "a"]
+    codes, tail = {G.END: 0, b"a": 1, b"b": 2, b"c": 3}, np.array([-1, -1, -1, 5])
+    monkeypatch.setattr(G, "MODEL", 3)
+    vocab = G.Vocabulary(codes, np.ones(4), tail, 9, 4, np.zeros(G.TAILS), np.zeros(G.TAILS))
+    for text, (code, ids, rare) in zip(texts, G.coded(vocab, pa.array(texts, pa.string())), strict=True):
+        own = (text or "").encode().lower().split()
+        want = [codes.get(w, -1) for w in own] + [0]
+        assert code.tolist() == want and rare.to_pylist() == [w for w in own if w not in codes]
+        assert ids.tolist() == [k if 0 <= k < 3 else 3 + (5 if k == 3 else G.tail_class(w)) for w, k in zip([*own, G.END], want)]
+
+
 def test_nothing_to_learn_from(odd):
     rows = G.op9_gru_lm(odd.filter("crc32(cast(cast(doc_id as string) as binary)) % 7 = 2")).collect()
     assert all(r.train_tokens == 0 and r.score == r.base_score for r in rows)
