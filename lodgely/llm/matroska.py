@@ -45,7 +45,7 @@ def block(track: int, relative: int, frames: list[bytes], lacing: int) -> bytes:
         head += bytes([len(frames) - 1])
     if lacing == XIPH:
         head += b"".join(b"\xff" * (n // 255) + bytes([n % 255]) for n in sizes[:-1])
-    elif lacing == EBML_LACING:
+    elif lacing == EBML_LACING and len(sizes) > 1:
         head += size_bytes(sizes[0])
         for a, b in zip(sizes, sizes[1:-1]):
             width = next(w for w in range(1, 9) if abs(b - a) < (1 << 7 * w - 1) - 1)
@@ -253,6 +253,11 @@ def packet_table(media: DataFrame) -> DataFrame:
 
 
 def op4_matroska(docs: DataFrame) -> DataFrame:
+    """Per row of docs: its text as a Matroska file that is parsed back; sizes and digests of both, and a summary of packets, tracks and cues.
+
+    A null text counts as an empty one, which is one frame of blanks; equal rows give equal rows, a text of any length is
+    one file, an empty table gives no rows, other columns do not matter.
+    """
     got = with_packets(with_media(docs))
     last = F.expr("array_max(transform(packets, p -> p.timestamp_ns))")
     feature = F.concat_ws(

@@ -18,7 +18,6 @@ MAGIC = b"\x1f\x8b\x08"
 ID_PREFIX = "urn:lodgely:page:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _READ = 1 << 18
-_HEADER_MOST = 1 << 20
 
 RECORD = "file string, offset long, length long, record_id string, record_type string, target_uri string, refers_to string, payload_bytes long, payload_digest string, payload binary, error string"
 
@@ -107,21 +106,27 @@ def _fields(head: bytes) -> dict[str, str]:
 
 
 def read_member(file, at: int, payloads: bool) -> tuple | None:
-    """(length, id, type, uri, refers_to, bytes, digest, payload, error) of the record at `at`; None if none starts there."""
-    member, data = _Member(file, at), b""
+    """(length, id, type, uri, refers_to, bytes, digest, payload, error) of the record at `at`; None if none starts there.
+
+    A header of any length is read to its end; a member that begins as a record and has no whole header is an error.
+    """
+    member, data, end = _Member(file, at), bytearray(), -1
+    broken = lambda why: (0, None, None, None, None, None, None, None, why) if data.startswith(b"WARC/1.") else None
     try:
-        while b"\r\n\r\n" not in data and len(data) < _HEADER_MOST:
+        while end < 0:
             if not (got := member.more()):
-                return None
+                return broken("the header does not end")
+            seen = max(0, len(data) - 3)
             data += got
             if not b"WARC/1.".startswith(data[:7]) and not data.startswith(b"WARC/1."):
                 return None
-    except (zlib.error, EOFError):
-        return None
-    head, found, rest = data.partition(b"\r\n\r\n")
-    fields = _fields(head)
-    if not found or "warc-type" not in fields or not fields.get("content-length", "").isdigit():
-        return None
+            end = data.find(b"\r\n\r\n", seen)
+    except (zlib.error, EOFError) as e:
+        return broken(str(e))
+    rest = bytes(data[end + 4 :])
+    fields = _fields(bytes(data[:end]))
+    if "warc-type" not in fields or not fields.get("content-length", "").isdigit():
+        return broken("the header has no type or length")
     strip = lambda name: fields[name].strip("<>") if name in fields else None
     kind, left, http, sha1, n, kept = fields["warc-type"], int(fields["content-length"]), None, hashlib.sha1(), 0, []
     pending = b""
@@ -185,11 +190,13 @@ def read_range(file, start: int, end: int, size: int, payloads: bool) -> Iterato
 def read_archives(files: DataFrame, folder: str, split_bytes: int = 8 << 20, payloads: bool = False) -> DataFrame:
     """Records (see RECORD) of the archives `path` of `bytes` bytes below folder, one task for some ranges of split_bytes each.
 
-    A damaged member whose header decodes gives a row with `error`; other damaged bytes are passed over.
+    A damaged member that begins as a record gives a row with `error`; other damaged bytes are passed over. There are as
+    many tasks as shuffle partitions, or one for each 64 ranges where that is more. No files, no rows.
     """
     spark = files.sparkSession
     cuts = files.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("start"))
-    cuts = cuts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "start")
+    ranges = files.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 0
+    cuts = cuts.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(ranges) // 64), "path", "start")
     schema = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("record_id", pa.string()), ("record_type", pa.string()), ("target_uri", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("error", pa.string())])
 
     def run(batches):
@@ -222,6 +229,7 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
     Of equal payloads of at least least_bytes the smallest page_id is kept whole (repeated rows of it too) and the others
     refer to it. A null page_id refers to any other; where all ids are null, all are kept. A null html is an empty payload.
+    Pages of any length are taken whole, an empty table gives an empty one, other columns are left out.
     """
     full = pages.select("page_id", "url", F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")).alias("payload")).withColumn("payload_sha1", F.sha1("payload"))
     first = full.filter(F.octet_length("payload") >= least_bytes).groupBy("payload_sha1").agg(F.min("page_id").alias("first"))
@@ -230,6 +238,7 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 
 def op1_warc(pages: DataFrame) -> DataFrame:
+    """Per row of pages, from archives that are written and read back: page_id, payload_bytes, payload_digest, record_type, refers_to and where the record stands. See with_revisits() for nulls, ties and repeated rows."""
     folder = shared_dir(pages.sparkSession, "warc")
     records = read_archives(write_archives(with_revisits(pages), folder), folder)
     number = lambda c: F.expr(f"try_cast(substring({c}, {len(ID_PREFIX) + 1}) as long)")

@@ -27,6 +27,14 @@ def test_query(spark):
     assert W.op1_warc(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_long_header(spark):
+    url = "http://a/" + "x" * 2_000_000
+    got = W.op1_warc(spark.createDataFrame([(1, url, "<p>"), (2, "u", "<b>")], "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.target_uri, r.error) for r in got) == [(1, url, None), (2, "u", None)]
+    data = W.record(1, url, b"x", sha(b"x"), None, "d")
+    assert [g[9] is None for g in W.read_range(Bytes(data[:1500]), 0, 1500, 1500, False)] == [False]
+
+
 def test_every_split_has_each_record_once():
     records = [W.record(i, "http://x", b"<p>%d</p>" % i * 40, sha(b"<p>%d</p>" % i * 40), None if i % 3 else 0, "d") for i in range(1, 12)]
     data = b"".join(records)
