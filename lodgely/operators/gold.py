@@ -17,10 +17,10 @@ def median(c: str, exact: bool = True) -> Column:
 
 
 def search(df: DataFrame, district: str | None = None, min_price: int | None = None, max_price: int | None = None, min_area: float | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
-    """A page of listings, cheapest first."""
-    tests = [F.col("district") == district if district else None, F.col("price_vnd") >= min_price if min_price else None, F.col("price_vnd") <= max_price if max_price else None, F.col("area_m2") >= min_area if min_area else None]
-    for test in tests:
-        df = df if test is None else df.filter(test)
+    """A page of listings, cheapest first. A bound of None is none; zero is a bound."""
+    bounds = ((district, lambda v: F.col("district") == v), (min_price, lambda v: F.col("price_vnd") >= v), (max_price, lambda v: F.col("price_vnd") <= v), (min_area, lambda v: F.col("area_m2") >= v))
+    for value, test in bounds:
+        df = df if value is None else df.filter(test(value))
     return df.orderBy("price_vnd", "listing_id").offset(offset).limit(limit)
 
 
@@ -130,16 +130,23 @@ def features(df: DataFrame, centres: DataFrame) -> DataFrame:
 
 
 def nearby(df: DataFrame, points: DataFrame, km: float) -> DataFrame:
-    """Rows of df (lat, lon) within km of points (point_id, point_lat, point_lon), with the distance; for latitudes up to 60 degrees.
+    """Rows of df (lat, lon) within km of points (point_id, point_lat, point_lon), with the distance; anywhere on the globe.
 
-    Both sides meet in cells of a grid as wide as the reach at 60 degrees: a point stands in its cell and the eight around it.
+    Both sides meet in cells: bands of latitude as high as the reach, each cut into equal cells at least as wide as the
+    reach is there and in the next bands. A point stands in its cell and the eight around it, across 180 degrees too.
     """
-    step_y, step_x = km / 110.0, km / 55.0
-    cell = lambda lat, lon: [F.floor(F.col(lat) / step_y).alias("cell_y"), F.floor(F.col(lon) / step_x).alias("cell_x")]
-    around = points.select("*", F.explode(F.sequence(F.lit(-1), F.lit(1))).alias("dy")).select("*", F.explode(F.sequence(F.lit(-1), F.lit(1))).alias("dx"))
-    y, x = cell("point_lat", "point_lon")
-    around = around.select("point_id", "point_lat", "point_lon", (y + F.col("dy")).alias("cell_y"), (x + F.col("dx")).alias("cell_x"))
-    joined = df.select("*", *cell("lat", "lon")).join(around, ["cell_y", "cell_x"])
+    step = km / 110.0
+    floor = lambda c: F.floor(c).cast("long")
+    edge = F.least(F.greatest(F.abs(F.col("cell_y") * step), F.abs((F.col("cell_y") + 1) * step)) + step, F.lit(90.0))
+    reach = F.degrees(2 * F.asin(F.least(F.lit(1.0), F.sin(F.lit(min(km / 2 / 6371.0, 1.5))) / F.greatest(F.cos(F.radians(edge)), F.lit(1e-12)))))
+    count = F.greatest(floor(360 / reach), F.lit(1))
+    place = lambda lon: F.pmod(floor((lon + 180) / 360 * F.col("cells")), F.col("cells"))
+    own = df.withColumn("cell_y", floor(F.col("lat") / step)).withColumn("cells", count).withColumn("cell_x", place(F.col("lon")))
+    around = points.select("point_id", "point_lat", "point_lon", F.explode(F.sequence(F.lit(-1), F.lit(1))).alias("dy"))
+    around = around.withColumn("cell_y", floor(F.col("point_lat") / step) + F.col("dy")).withColumn("cells", count)
+    beside = F.array_distinct(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda dx: F.pmod(place(F.col("point_lon")) + dx, F.col("cells"))))
+    around = around.select("point_id", "point_lat", "point_lon", "cell_y", F.explode(beside).alias("cell_x"))
+    joined = own.drop("cells").join(around, ["cell_y", "cell_x"])
     return joined.withColumn("km", T.haversine_km(F.col("lat"), F.col("lon"), F.col("point_lat"), F.col("point_lon"))).filter(F.col("km") <= km).drop("cell_y", "cell_x", "point_lat", "point_lon")
 
 

@@ -1,6 +1,8 @@
 """Small tables through the operators."""
 
 import json
+import math
+import random
 
 from pyspark.sql import functions as F
 
@@ -102,3 +104,22 @@ def test_serving_and_features_on_empty(spark):
     empty = spark.createDataFrame([], "source string, listing_key string, url string, title string, area_m2 double, posted_at timestamp, ward string, district string, city string, price_vnd long, is_negotiable boolean, price_basis string, crawled_ts timestamp, amenities_raw array<string>")
     assert {k: v.count() for k, v in gold.serving_tables(empty).items()} == dict.fromkeys(("listings", "locations", "prices", "amenities"), 0)
     assert silver.quality(empty).first()["rows"] == 0
+
+
+def test_search_takes_zero_as_a_bound(spark):
+    df = spark.createDataFrame([(1, 0, 0.0), (2, 5, 9.0)], "listing_id int, price_vnd long, area_m2 double")
+    assert [r.listing_id for r in gold.search(df, max_price=0).collect()] == [1]
+    assert [r.listing_id for r in gold.search(df, min_price=0, min_area=0.0).collect()] == [1, 2]
+
+
+def test_nearby_anywhere(spark):
+    rng = random.Random(4)
+    spots = [(i, rng.choice((0.0, 59.9, 80.0, 89.8, -89.6)) + rng.uniform(-0.3, 0.1), (rng.choice((179.9, 0.0)) + rng.uniform(-0.4, 0.4) + 180) % 360 - 180) for i in range(300)]
+
+    def km(a, b):
+        x, y, u, v = map(math.radians, (a[1], b[1], a[2], b[2]))
+        return 2 * 6371.0 * math.asin(min(1.0, math.sqrt(math.sin((y - x) / 2) ** 2 + math.cos(x) * math.cos(y) * math.sin((v - u) / 2) ** 2)))
+
+    rows = spark.createDataFrame(spots, "id int, lat double, lon double")
+    points = rows.select(F.col("id").alias("point_id"), F.col("lat").alias("point_lat"), F.col("lon").alias("point_lon"))
+    assert {(r["id"], r.point_id) for r in gold.nearby(rows, points, 15.0).collect()} == {(a[0], b[0]) for a in spots for b in spots if km(a, b) <= 15.0}
