@@ -27,50 +27,98 @@ def _pick(u: Column, shares: list[float]) -> Column:
     return out.otherwise(max(range(len(shares)), key=shares.__getitem__))
 
 
-def _drawn(cells: DataFrame, free: list[float]) -> DataFrame:
-    """cells (key, shard, n) with the target of each: of the shards with free places the one that holds most of the group, unless its own holds more."""
-    cells = cells.withColumn("open", _at(free, F.col("shard")) >= 1)
-    best = F.expr("max(if(open, struct(n as most, -shard as neg), null)) over (partition by key)")
-    best = cells.withColumn("best", best)
-    moves = F.coalesce((F.col("best.most") >= F.col("n")) & (F.col("best.neg") != -F.col("shard")), F.lit(False))
-    return best.select("key", "shard", "n", F.when(moves, -F.col("best.neg")).otherwise(F.col("shard")).alias("target"))
+def both_ways(edges: DataFrame) -> DataFrame:
+    """edges (a, b, weight) between keys in both directions, summed; null ends and loops are left out."""
+    there = edges.select("a", "b", F.col("weight").cast("double").alias("weight"))
+    return there.unionByName(there.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")).filter("a <> b").groupBy("a", "b").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(rows: DataFrame, shards: int, rounds: int = 12) -> tuple[DataFrame, list[float]]:
-    """Of rows (key, start), where rows of one key are linked: cells (key, shard, n) after the moves, and the linked rows of each shard.
+def _drawn(cells: DataFrame, links: DataFrame, free: list[float] | None) -> DataFrame:
+    """cells (key, shard, n) with the target of each: of the shards with free places the one that holds most of its neighbours, unless its own holds more. Without `free`, of all shards, if it holds more than its own.
 
-    All rows of a key in a shard are one cell, so a group of any size is at most `shards` cells. In each round a cell is
-    drawn to the shard with free places that holds most of its group. A shard takes no more than these: where more are
-    drawn, each cell sends its share, rounded by a hash. Rounds end when no row moves.
+    A join brings the cells of each key's neighbours (itself among them, if it has several rows) to the key, and they are
+    added up by shard.
+    """
+    there = links.select("a", F.col("b").alias("key"), "weight").join(cells, "key")
+    votes = there.groupBy(F.col("a").alias("key"), "shard").agg(F.sum(F.col("weight") * F.col("n")).alias("votes"))
+    best = (votes if free is None else votes.filter(_at(free, F.col("shard")) >= 1)).groupBy("key").agg(F.max(F.struct("votes", (-F.col("shard")).alias("neg"))).alias("best"))
+    held = cells.join(votes, ["key", "shard"], "left").join(best, "key", "left")
+    own = F.coalesce("votes", F.lit(0.0))
+    moves = F.coalesce((F.col("best.votes") > own if free is None else F.col("best.votes") >= own) & (F.col("best.neg") != -F.col("shard")), F.lit(False))
+    return held.select("key", "shard", "n", F.when(moves, -F.col("best.neg")).otherwise(F.col("shard")).alias("target"))
+
+
+def cut_edges(placed: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """Of rows (key, shard): one row with `cut`, the weight of links between rows of different shards, and `total`, that of all.
+
+    Rows of one key are linked pair by pair with weight 1, rows of keys that edges (a, b, weight) link with that weight.
+    From counts of rows by key and shard, so no pair of rows is made.
+    """
+    cells = placed.groupBy("key", "shard").agg(F.count("*").cast("double").alias("n"))
+    sums = cells.groupBy("key").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("same"))
+    found = sums.select(((F.col("all") ** 2 - F.col("same")) / 2).alias("cut"), (F.col("all") * (F.col("all") - 1) / 2).alias("total"))
+    if edges is not None:
+        links = both_ways(edges).filter("a < b")
+        ends = lambda k: sums.select(F.col("key").alias(k), F.col("all").alias(f"all_{k}"))
+        total = links.join(ends("a"), "a").join(ends("b"), "b").select((F.col("weight") * F.col("all_a") * F.col("all_b")).alias("total"))
+        one, two = (cells.select(F.col("key").alias(k), "shard", F.col("n").alias(f"n_{k}")) for k in ("a", "b"))
+        kept = links.join(one, "a").join(two, ["b", "shard"]).select((F.col("weight") * F.col("n_a") * F.col("n_b")).alias("kept"))
+        found = found.unionByName(total.select(F.col("total").alias("cut"), "total")).unionByName(kept.select((-F.col("kept")).alias("cut"), F.lit(0.0).alias("total")))
+    return found.agg(F.coalesce(F.sum("cut"), F.lit(0.0)).alias("cut"), F.coalesce(F.sum("total"), F.lit(0.0)).alias("total"))
+
+
+def propagate(rows: DataFrame, shards: int, rounds: int = 16, edges: DataFrame | None = None) -> tuple[DataFrame, list[float]]:
+    """Of rows (key, start), where rows of one key are linked, and keys by edges (a, b, weight): cells (key, shard, n) after the moves, and the linked rows of each shard.
+
+    All rows of a key in a shard are one cell, so a group of any size is at most `shards` cells. In each round a join
+    brings the cells of neighbours to each cell, which is drawn to the shard that holds most of them: in every other round
+    of those with free places, which take no more than these, in the rounds between of all, and as many rows go from one
+    shard to another as come back. Where more are drawn, each cell sends its share, rounded by a hash. It ends when no
+    row moves, or after `rounds`.
     """
     n = rows.count()
-    linked = rows.groupBy("key", F.col("start").alias("shard")).agg(F.count("*").alias("n")).withColumn("total", F.expr("sum(n) over (partition by key)"))
-    cells = written(linked.filter("total > 1").drop("total"), "cells")
+    counted = rows.groupBy("key", F.col("start").alias("shard")).agg(F.count("*").alias("n"))
+    links = counted.groupBy("key").agg(F.sum("n").alias("all")).filter("all > 1").select(F.col("key").alias("a"), F.col("key").alias("b"), F.lit(1.0).alias("weight"))
+    if edges is not None:
+        links = links.unionByName(both_ways(edges))
+    links = written(links, "edges")
+    cells = written(counted.join(links.select(F.col("a").alias("key")).distinct(), "key", "left_semi"), "cells")
+    still = 0
     for turn in range(rounds + 1):
         load = {r[0]: r[1] for r in cells.groupBy("shard").agg(F.sum("n")).collect()}
         held = [float(load.get(s, 0)) for s in range(shards)]
         free = [max(0.0, n / shards - h) for h in held]
-        drawn = _drawn(cells, free)
-        asked = {r[0]: r[1] for r in drawn.filter("shard <> target").groupBy("target").agg(F.sum("n")).collect()} if turn < rounds else {}
-        if not asked:
+        if turn == rounds or still == 2:
             return cells, held
-        rate = [min(1.0, free[s] / asked[s]) if s in asked else 0.0 for s in range(shards)]
-        sent = F.floor(F.col("n") * _at(rate, F.col("target")) + uniform(F.col("key"), F.col("shard"), F.lit(turn))).cast("long")
+        swap = turn % 2 == 1
+        drawn = written(_drawn(cells, links, None if swap else free), "drawn")
+        asked = {(r[0], r[1]): r[2] for r in drawn.filter("shard <> target").groupBy("shard", "target").agg(F.sum("n")).collect()}
+        total = [sum(x for (_, t), x in asked.items() if t == s) for s in range(shards)]
+        share = lambda s, t, x: min(x, asked.get((t, s), 0)) / x if swap else min(1.0, free[t] / total[t])
+        rate = [share(s, t, asked[s, t]) if (s, t) in asked else 0.0 for s in range(shards) for t in range(shards)]
+        if not any(rate):
+            still += 1
+            continue
+        still = 0
+        sent = F.floor(F.col("n") * _at(rate, F.col("shard") * shards + F.col("target")) + uniform(F.col("key"), F.col("shard"), F.lit(turn))).cast("long")
         moved = drawn.withColumn("sent", F.when(F.col("shard") == F.col("target"), F.lit(0)).otherwise(F.least("n", sent)))
         moved = moved.select("key", F.explode(F.array(F.struct("shard", (F.col("n") - F.col("sent")).alias("n")), F.struct(F.col("target").alias("shard"), F.col("sent").alias("n")))).alias("c"))
         cells = written(moved.filter("c.n > 0").groupBy("key", "c.shard").agg(F.sum("c.n").alias("n")), "cells")
 
 
-def shard(rows: DataFrame, shards: int = 24, block_rows: int = 500) -> DataFrame:
+def shard(rows: DataFrame, shards: int = 24, block_rows: int = 500, edges: DataFrame | None = None) -> DataFrame:
     """rows (doc_id, key, ...) with shard and slot: counts of shards are at most one apart, and slots of each are gapless from 0.
 
-    Linked rows (equal keys) prefer the shard that propagate() gives them, rows of a key in several shards by a hash of
+    Linked rows (equal keys, and keys that edges (a, b, weight) link) prefer the shard that propagate() gives them, rows of a key in several shards by a hash of
     their doc_id in proportion; other rows fill the free places. All rows then stand in one order of preferred shards,
     with unlinked rows at both ends of each, and the order is cut at equal counts, so that nearly all rows that change
-    hands there are unlinked. A null doc_id is a value like any other, and an empty table gives an empty one.
+    hands there are unlinked. A null doc_id is a value like any other, repeated rows are rows of their own, a row's size
+    does not matter, and an empty table gives an empty one. Other columns pass through; those named start, u, pref, side,
+    block, before, nth, place, shard or slot are replaced.
     """
+    rows = rows.drop("start", "u", "pref", "side", "block", "before", "nth", "place", "shard", "slot")
     rows = rows.withColumn("start", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(shards)).cast("int"))
-    cells, held = propagate(rows.select("key", "start"), shards)
+    cells, held = propagate(rows.select("key", "start"), shards, edges=edges)
     n = rows.count()
     free = [max(0.0, n / shards - h) for h in held]
     plan = cells.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("shard", "n"))).alias("cells"), F.sum("n").alias("linked"))
@@ -103,5 +151,6 @@ def documents_by_text(docs: DataFrame) -> DataFrame:
 
 
 def op2_sharding(docs: DataFrame, shards: int = 24) -> DataFrame:
+    """Per row of docs: doc_id, size, text_crc32, law (rows), shard, slot. Documents of equal texts are linked, null and empty texts among them; see shard() for the rest."""
     base = written(documents_by_text(docs), "sizes")
     return shard(base, shards).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
