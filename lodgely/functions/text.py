@@ -38,6 +38,8 @@ AMENITIES = {
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "ref")
 
 _PLAIN = {"a": "àáạảãâầấậẩẫăằắặẳẵ", "e": "èéẹẻẽêềếệểễ", "i": "ìíịỉĩ", "o": "òóọỏõôồốộổỗơờớợởỡ", "u": "ùúụủũưừứựửữ", "y": "ỳýỵỷỹ", "d": "đ"}
+#: Marked letters, and the plain one of each.
+MARKS, PLAIN = "".join(_PLAIN.values()), "".join(k * len(v) for k, v in _PLAIN.items())
 
 
 def nonblank(c: Column) -> Column:
@@ -61,9 +63,7 @@ def clean(c: Column) -> Column:
 
 def fold(c: Column) -> Column:
     """Lower case without Vietnamese marks: a key for comparison that is a plain string. Combining marks are dropped too."""
-    marks = "".join(_PLAIN.values())
-    plain = "".join(k * len(v) for k, v in _PLAIN.items())
-    return F.translate(F.regexp_replace(F.lower(c), r"\p{M}", ""), marks, plain)
+    return F.translate(F.regexp_replace(F.lower(c), r"\p{M}", ""), MARKS, PLAIN)
 
 
 def first_match(c: Column, pattern: str, group: int = 1) -> Column:
@@ -193,7 +193,7 @@ def posted_at(raw: Column, now: Column) -> Column:
 
 def in_range(dt: Column, start: Column, end: Column) -> Column:
     """Within both ends; a null date passes."""
-    return dt.isNull() | ((dt >= start) & (dt <= end))
+    return F.forall(F.array(dt), lambda x: x.isNull() | ((x >= start) & (x <= end)))  # dt is evaluated once
 
 
 def age_days(crawled: Column, posted: Column) -> Column:

@@ -115,17 +115,30 @@ def rolling(daily: DataFrame, days: int = 30) -> DataFrame:
     return daily.withColumn("recent", F.expr(f"sum(listings) over (partition by district order by day range between interval {days - 1} days preceding and current row)"))
 
 
+def rolling_median(priced: DataFrame, days: int = 30) -> DataFrame:
+    """priced (district, day, price_vnd) -> district, day, recent_median: of the prices of the last `days` days, for each day that has one.
+
+    Prices are counted by day first; each count then goes to the days that see it, so a window holds distinct prices.
+    """
+    by = priced.filter("price_vnd is not null").groupBy("district", "day", "price_vnd").agg(F.count("*").alias("n"))
+    seen = by.select("district", "price_vnd", "n", F.explode(F.sequence(F.col("day"), F.date_add("day", days - 1))).alias("day"))
+    seen = seen.join(by.select("district", "day").distinct(), ["district", "day"]).groupBy("district", "day", "price_vnd").agg(F.sum("n").alias("n"))
+    return seen.groupBy("district", "day").agg(F.expr("percentile(price_vnd, 0.5, n)").alias("recent_median"))
+
+
 def features(df: DataFrame, centres: DataFrame) -> DataFrame:
-    """Per listing: price_per_m2, listing_age_days, distance_to_center, district_supply, price_percentile, seller_activity.
+    """Per listing: price_per_m2, listing_age_days, distance_to_center, district_supply, price_percentile, seller_activity and, of listings with amenities_raw, amenity_count.
 
     centres: district, lat, lon, center_lat, center_lon.
     """
+    counted = {"amenity_count": T.amenity_count(F.col("amenities_raw"))} if "amenities_raw" in df.columns else {}
     sellers = df.groupBy("seller_id").agg(F.count("*").alias("seller_activity"))
     out = with_supply(with_percentile(df)).join(sellers, "seller_id", "left").join(centres, "district", "left")
     return out.withColumns({
         "price_per_m2": T.price_per_m2(F.col("price_vnd"), F.col("area_m2")),
         "listing_age_days": T.age_days(F.col("crawled_at"), F.col("posted_at")),
         "distance_to_center": T.haversine_km(F.col("lat"), F.col("lon"), F.col("center_lat"), F.col("center_lon")),
+        **counted,
     })
 
 

@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.ml.feature import HashingTF, MinHashLSH
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
 
-def written(df: DataFrame, purpose: str) -> DataFrame:
-    """df as a table in the folder of spark.checkpoint.dir, so that iterations do not grow the plan; a checkpoint where that is unset."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """A new folder under spark.checkpoint.dir. Where that is unset, a temporary one on a local master, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        spark.sparkContext.setCheckpointDir("/tmp/spark-checkpoints")
-        return df.checkpoint()
-    path = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is unset; tables between steps need a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """df as a table in the folder of spark.checkpoint.dir, so that iterations do not grow the plan."""
+    path = shared_folder(df.sparkSession, purpose)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def listing_key() -> Column:
@@ -124,17 +129,37 @@ def word_classes(df: DataFrame, text: str, key: str) -> DataFrame:
     return words.join(least, "digest").select("key", "class", "words")
 
 
-def near_dup(df: DataFrame, text: str, key: str, threshold: float = 0.8, tables: int = 6, seed: int = 1) -> DataFrame:
-    """Pairs (a, b, similarity), a < b, of classes of word_classes() that are at least `threshold` alike; found by MinHash, kept by exact check.
+def rare_words(words: DataFrame, threshold: float) -> DataFrame:
+    """words (key, words) -> key, size, place, word: of each row's words, rarest first, as many as a pair that is alike must share one of; those of one row alone are left out."""
+    each = words.select("key", F.size("words").alias("size"), F.explode("words").alias("word"))
+    known = each.join(each.groupBy("word").agg(F.count("*").alias("n")), "word")
+    ordered = known.groupBy("key", "size").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("own"))
+    some = F.slice("own", F.lit(1), (F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).cast("int"))
+    return ordered.select("key", "size", F.posexplode(some).alias("place", "x")).filter("x.n > 1").select("key", "size", "place", "x.word")
+
+
+def near_dup(df: DataFrame, text: str, key: str, threshold: float = 0.8) -> DataFrame:
+    """All pairs (a, b, similarity), a < b, of classes of word_classes() that are at least `threshold` alike.
 
-    Copies are one class, so a group of copies makes no pairs of its own.
+    Such a pair shares one of the rarest words of each (a prefix of its words by frequency), at places that leave enough
+    words after them, and has near enough sizes; what meets so is checked on the whole sets. Copies are one class, so a
+    group of copies makes no pairs of its own; near_classes() has their members.
     """
-    words = word_classes(df, text, key).filter("key = class").filter(F.size("words") > 0).select("key", "words").dropDuplicates(["key"])
-    vectors = written(HashingTF(inputCol="words", outputCol="features", numFeatures=1 << 20, binary=True).transform(words), "vectors")
-    model = MinHashLSH(inputCol="features", outputCol="hashes", numHashTables=tables, seed=seed).fit(vectors)
-    found = model.approxSimilarityJoin(vectors, vectors, 1 - threshold + 0.05, "distance").filter("datasetA.key < datasetB.key")
-    exact = jaccard(F.col("datasetA.words"), F.col("datasetB.words"))
-    return found.select(F.col("datasetA.key").alias("a"), F.col("datasetB.key").alias("b"), exact.alias("similarity")).filter(F.col("similarity") >= threshold).distinct()
+    words = written(word_classes(df, text, key).filter("key = class").filter(F.size("words") > 0).select("key", "words").dropDuplicates(["key"]), "words")
+    rare = written(rare_words(words, threshold), "rare")
+    a, b = (rare.select("word", F.col("key").alias(k), F.col("size").alias(f"{k}_size"), (F.col("size") - F.col("place")).alias(f"{k}_left")) for k in ("a", "b"))
+    need = (F.col("a_size") + F.col("b_size")) * (threshold / (1 + threshold)) - 1e-9
+    fits = (F.col("a") < F.col("b")) & (F.least("a_size", "b_size") >= F.greatest("a_size", "b_size") * threshold - 1e-9) & (F.least("a_left", "b_left") >= need)
+    found = written(a.join(b, "word").filter(fits).select("a", "b").distinct(), "found")
+    one, two = words.select(F.col("key").alias("a"), F.col("words").alias("x")), words.select(F.col("key").alias("b"), F.col("words").alias("y"))
+    return found.join(one, "a").join(two, "b").select("a", "b", jaccard(F.col("x"), F.col("y")).alias("similarity")).filter(F.col("similarity") >= threshold)
+
+
+def near_classes(df: DataFrame, text: str, key: str, threshold: float = 0.8) -> DataFrame:
+    """Per row: key, its class of equal word sets, and `links`, the number of other classes that are at least `threshold` alike."""
+    pairs = near_dup(df, text, key, threshold)
+    links = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).groupBy("class").agg(F.count("*").alias("links"))
+    return word_classes(df, text, key).drop("words").join(links, "class", "left").select("key", "class", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 
 def dup_groups(pairs: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFrame:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,17 +27,22 @@ def query(name: str, oracle: str | None = None):
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/lake-{uuid.uuid4().hex}"
+    return silver.shared_folder(spark, "lake")
+
+
+def read_texts(view: DataFrame) -> DataFrame:
+    """Price and area read from their texts; the expected ones are dropped."""
+    return view.drop("price_expected", "area_expected").withColumns({"price_vnd": T.price_vnd(F.col("price_raw")), "area_m2": T.area_m2(F.col("area_raw"))})
 
 
 def parsed(spark: SparkSession, d: str) -> DataFrame:
-    """The rental view with price and area read from their texts; the expected ones are dropped."""
-    return R.rental(spark, d).drop("price_expected", "area_expected").withColumns({"price_vnd": T.price_vnd(F.col("price_raw")), "area_m2": T.area_m2(F.col("area_raw"))})
+    """The rental view with price and area read from their texts."""
+    return read_texts(R.rental(spark, d))
 
 
 def latest(spark: SparkSession, d: str) -> DataFrame:
-    return silver.latest(parsed(spark, d), ["listing_id"], R.ORDER)
+    """The last row of each listing; texts are read of these rows alone."""
+    return read_texts(silver.latest(R.rental(spark, d), ["listing_id"], R.ORDER))
 
 
 # --- normal forms
@@ -246,11 +248,25 @@ _HAVERSINE = "2 * 6371.0::double * asin(sqrt(least(1.0, pow(sin(radians({b} - {a
 @query("features", f"""{R.LATEST}, {R.CENTROIDS}, s as (select seller_id, count(*) as seller_activity from latest group by 1), u as (select district, count(*) as district_supply from latest group by 1),
     p as (select listing_id, percent_rank() over (partition by district order by price_vnd) as price_percentile from latest where price_vnd is not null)
     select l.listing_id, round(l.price_vnd / l.area_m2, 3) as price_per_m2, cast(date_diff('day', l.posted_at::date, l.crawled_at::date) as integer) as listing_age_days, round({_HAVERSINE.format(a="c.lat", b="10.5", c="c.lon", d="106.2")}, 6) as distance_to_center,
-    district_supply, round(price_percentile, 9) as price_percentile, seller_activity from latest l join s using (seller_id) join u using (district) join centroids c using (district) left join p using (listing_id)""")
+    district_supply, round(price_percentile, 9) as price_percentile, seller_activity, cast(l.listing_id % 3 as integer) as amenity_count from latest l join s using (seller_id) join u using (district) join centroids c using (district) left join p using (listing_id)""")
 def features(spark, d):
     centres = R.centroids(spark, d).withColumns({"center_lat": F.lit(10.5), "center_lon": F.lit(106.2)})
-    out = gold.features(latest(spark, d), centres)
-    return out.select("listing_id", F.round("price_per_m2", 3).alias("price_per_m2"), "listing_age_days", F.round("distance_to_center", 6).alias("distance_to_center"), "district_supply", F.round("price_percentile", 9).alias("price_percentile"), "seller_activity")
+    amenities = F.slice(F.array(F.lit("wifi"), F.lit("bed"), F.lit("wifi"), F.lit("lift")), F.lit(1), F.element_at(F.array(F.lit(0), F.lit(1), F.lit(3)), (F.col("listing_id") % 3 + 1).cast("int")))
+    out = gold.features(latest(spark, d).withColumn("amenities_raw", amenities), centres)
+    return out.select("listing_id", F.round("price_per_m2", 3).alias("price_per_m2"), "listing_age_days", F.round("distance_to_center", 6).alias("distance_to_center"), "district_supply", F.round("price_percentile", 9).alias("price_percentile"), "seller_activity", "amenity_count")
+
+
+@query("rolling_median", f"""{R.LATEST}, p as (select district, cast(posted_at as date) as day, price_vnd from latest where price_vnd is not null), d as (select distinct district, day from p)
+    select d.district, d.day, quantile_cont(p.price_vnd::double, 0.5) as recent_median from d join p on p.district = d.district and p.day between d.day - 29 and d.day group by 1, 2""")
+def rolling_median(spark, d):
+    return gold.rolling_median(latest(spark, d).select("district", F.col("posted_at").cast("date").alias("day"), "price_vnd"))
+
+
+@query("date_range", f"""{R.ORACLE} select listing_id, run_no from rental where listing_id % 5 = 4 or (case listing_id % 5 when 0 then cast(cast(posted_at as date) as timestamp) when 1 then posted_at
+    when 2 then crawled_at - interval 1 day when 3 then crawled_at - to_days(cast(30 * run_no as integer)) end) between timestamp '1993-01-01' and timestamp '1995-12-31'""")
+def date_range(spark, d):
+    posted = T.posted_at(F.col("posted_at_raw"), F.col("crawled_at"))
+    return R.rental(spark, d).filter(T.in_range(posted, F.lit("1993-01-01").cast("timestamp"), F.lit("1995-12-31").cast("timestamp"))).select("listing_id", "run_no")
 
 
 @query("hotspots", f"""{R.LATEST}, {R.CENTROIDS} select cast(floor(lat / 0.5::double) as bigint) as cell_y, cast(floor(lon / 0.5::double) as bigint) as cell_x, count(*) as listings, count(*) filter (where price_vnd <= 3000000) as cheap, round(count(*) filter (where price_vnd <= 3000000) / count(*)::double, 9) as cheap_share
@@ -383,10 +399,12 @@ def _responses(spark, d):
     """Targets of all listings, and responses to all but every seventh."""
     one = silver.first_seen(R.rental(spark, d), ["listing_id"], R.ORDER)
     none = F.lit(None).cast("string")
-    frontier = one.select(F.concat(F.lit("r"), F.col("listing_id") % 3).alias("run_id"), F.lit("site").alias("source"), F.lit("detail").alias("target_type"), "url", F.lit(1).alias("page_number"))
+    run = F.concat(F.lit("r"), F.col("listing_id") % 3).alias("run_id")
+    frontier = one.select(run, F.lit("site").alias("source"), F.lit("detail").alias("target_type"), "url", F.lit(1).alias("page_number"))
+    frontier = frontier.unionByName(frontier.filter("run_id = 'r1'").withColumn("run_id", F.lit("later")))
     code = F.element_at(F.array(*[F.lit(x) for x in (200, 403, 404, 429, 503)]), (F.col("listing_id") % 5 + 1).cast("int"))
     headers = F.create_map(F.lit("Content-TYPE"), F.lit("text/html"), F.lit("server"), F.concat(F.lit("s"), F.col("listing_id") % 4))
-    pages = one.filter("listing_id % 7 <> 0").select(F.col("url").alias("request_url"), none.alias("final_url"), code.alias("status_code"), F.concat(F.lit("<p>"), F.col("listing_id"), F.lit("</p>")).alias("html"), headers.alias("headers"), F.lit("http").alias("fetch_strategy"), F.lit("t").alias("fetched_at"), F.lit(1.5).alias("elapsed_ms"))
+    pages = one.filter("listing_id % 7 <> 0").select(run, F.col("url").alias("request_url"), none.alias("final_url"), code.alias("status_code"), F.concat(F.lit("<p>"), F.col("listing_id"), F.lit("</p>")).alias("html"), headers.alias("headers"), F.lit("http").alias("fetch_strategy"), F.lit("t").alias("fetched_at"), F.lit(1.5).alias("elapsed_ms"))
     return one, runs.request_log(pages, frontier)
 
 
@@ -396,7 +414,8 @@ _STATUS = "case when listing_id % 7 = 0 then 'connection_error' else case listin
 
 
 @query("request_log", f"""{_FIRST_SEEN} select 'r' || (listing_id % 3) as run_id, url as request_url, url as final_url, case when listing_id % 7 = 0 then 0 else {_CODE} end as http_status, case when listing_id % 7 <> 0 then 'text/html' end as content_type,
-    case when listing_id % 7 <> 0 then 's' || (listing_id % 4) end as server, cast(case when listing_id % 7 = 0 then 0 else length(cast(listing_id as string)) + 7 end as bigint) as html_size, {_STATUS} as crawl_status from one""")
+    case when listing_id % 7 <> 0 then 's' || (listing_id % 4) end as server, cast(case when listing_id % 7 = 0 then 0 else length(cast(listing_id as string)) + 7 end as bigint) as html_size, {_STATUS} as crawl_status from one
+    union all select 'later', url, url, 0, null, null, 0, 'connection_error' from one where listing_id % 3 = 1""")
 def request_log(spark, d):
     return _responses(spark, d)[1].select("run_id", "request_url", "final_url", "http_status", "content_type", "server", "html_size", "crawl_status")
 
@@ -405,7 +424,8 @@ def request_log(spark, d):
 def bronze_requests(spark, d):
     one, log = _responses(spark, d)
     records = one.select(F.col("listing_id").cast("string").alias("listing_id"), "url", F.concat(F.lit("r"), F.col("listing_id") % 3).alias("crawl_run_id"))
-    return bronze.with_request(records, log.filter("run_id <> 'r2'")).select("listing_id", "http_status", "crawl_status")
+    tried = log.withColumn("retry_count", F.lit(1)).unionByName(log.withColumns({"retry_count": F.lit(0), "http_status": F.lit(599), "crawl_status": F.lit("timeout")}))
+    return bronze.with_request(records, tried.filter("run_id <> 'r2'")).select("listing_id", "http_status", "crawl_status")
 
 
 @query("detail_targets", f"{R.LATEST} select url, cast(listing_id as string) as listing_id, 'detail' as target_type from latest where price_raw is not null")
@@ -446,20 +466,20 @@ def cards_roundtrip(spark, d):
 
 
 def _detail_pages(spark, d):
-    """A detail page for each listing but every seventh."""
+    """A detail page for the first run of each listing but every seventh."""
     view = silver.first_seen(R.rental(spark, d), ["listing_id"], R.ORDER).filter("listing_id % 7 <> 0")
     div = lambda cls, c: F.concat(F.lit(f'<div class="{cls}">'), F.coalesce(c, F.lit("")), F.lit("</div>"))
     image = F.concat(F.lit('<img src="//cdn.example.com/'), F.col("listing_id"), F.lit('.jpg"><img src="/logo.png">'))
     html = F.concat(F.lit("<main>"), div("AdDecription_adTitle", F.concat(F.lit("Chi tiết "), F.col("listing_id"))), div("AdDecription_price", F.when(F.col("listing_id") % 2 == 0, F.lit("2,5 triệu/tháng"))), div("AdDecription_address", F.col("location_raw")), div("SellerInfo_name", F.concat(F.lit("S"), F.col("seller_id"))), image, F.lit("</main>"))
-    return view.select(F.col("url").alias("request_url"), "url", html.alias("html"))
+    return view.select(F.col("run_no").alias("run_id"), F.col("url").alias("request_url"), "url", html.alias("html"))
 
 
-@query("bronze_merge", f"""{_CARDS}, cards as (select *, {_PRICE_SHOWN} as shown from one) select run_no as run_id, cast(listing_id as string) as listing_id, url, case when listing_id % 7 <> 0 then 'Chi tiết ' || listing_id else 'Phòng ' || listing_id end as title_raw,
-    case when listing_id % 7 <> 0 and listing_id % 2 = 0 then '2,5 triệu/tháng' else shown end as price_raw, case when listing_id % 7 <> 0 then 'S' || seller_id end as seller_name_raw, case when listing_id % 7 <> 0 then 'https://cdn.example.com/' || listing_id || '.jpg' end as image from cards""")
+@query("bronze_merge", f"""{_CARDS}, cards as (select *, {_PRICE_SHOWN} as shown, listing_id % 7 <> 0 and run_no = min(run_no) over (partition by listing_id) as asked from one) select run_no as run_id, cast(listing_id as string) as listing_id, url, case when asked then 'Chi tiết ' || listing_id else 'Phòng ' || listing_id end as title_raw,
+    case when asked and listing_id % 2 = 0 then '2,5 triệu/tháng' else shown end as price_raw, case when asked then 'S' || seller_id end as seller_name_raw, case when asked then 'https://cdn.example.com/' || listing_id || '.jpg' end as image, case when asked then true end as detail_valid from cards""")
 def bronze_merge(spark, d):
     cards = extract.cards(_listing_pages(spark, d)).withColumn("crawled_at", F.lit(None).cast("string"))
     merged = bronze.merge(cards, extract.details(_detail_pages(spark, d)))
-    return merged.select(F.col("crawl_run_id").alias("run_id"), "listing_id", "url", "title_raw", "price_raw", "seller_name_raw", F.try_element_at("image_urls_raw", F.lit(1)).alias("image"))
+    return merged.select(F.col("crawl_run_id").alias("run_id"), "listing_id", "url", "title_raw", "price_raw", "seller_name_raw", F.try_element_at("image_urls_raw", F.lit(1)).alias("image"), "detail_valid")
 
 
 @query("extraction_stats", f"{_CARDS} select run_no as run_id, listing_id // 40 as page_number, count(*) as seen, count(*) as extracted, 0::bigint as repeated, count(*) as kept from one group by 1, 2")
@@ -524,11 +544,22 @@ def exact_copies(spark, d):
     return first.filter("copies > 1").select("kept", "copies")
 
 
-@query("near_dup_pairs")
+_WORD_SETS = f"""w as (select doc_id, list_sort(list_distinct(list_filter(regexp_split_to_array(translate(regexp_replace(lower(coalesce(text, '')), '\\p{{M}}', '', 'g'), '{T.MARKS}', '{T.PLAIN}'), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''))) as words from documents),
+    c as (select min(doc_id) as id, words, len(words) as n from w group by words), p as (select x.id as a, y.id as b, len(list_intersect(x.words, y.words)) as common, x.n + y.n as n from c x join c y on x.id < y.id and x.n > 0 and y.n > 0 and least(x.n, y.n) >= 0.8::double * greatest(x.n, y.n)),
+    alike as (select a, b, common / (n - common)::double as similarity from p where common / (n - common)::double >= 0.8::double)"""
+
+
+@query("near_dup_pairs", f"with {_WORD_SETS} select * from alike")
 def near_dup_pairs(spark, d):
     return silver.near_dup(R.table(spark, d, "documents"), "text", "doc_id", 0.8)
 
 
+@query("near_dup_classes", f"""with {_WORD_SETS}, l as (select id, count(*) as links from (select a as id from alike union all select b from alike) x group by 1)
+    select w.doc_id as key, c.id as class, coalesce(l.links, 0) as links from w join c on w.words = c.words left join l on l.id = c.id""")
+def near_dup_classes(spark, d):
+    return silver.near_classes(R.table(spark, d, "documents"), "text", "doc_id", 0.8)
+
+
 @query("dup_groups", "select doc_id as key, min(doc_id) over (partition by text) as \"group\" from documents")
 def dup_groups(spark, d):
     docs = R.table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.sha2("text", 256).alias("digest"))
@@ -545,20 +576,20 @@ def cross_posted(spark, d):
 
 # --- storage and streams
 
-@query("commit_readback", f"{R.ORACLE} select cast(listing_id as string) as listing_id, run_no, price_raw from rental where run_no = 2")
+@query("commit_readback", f"{R.ORACLE} select cast(listing_id as string) as listing_id, run_no, price_raw from rental")
 def commit_readback(spark, d):
     path = _folder(spark)
     view = R.rental(spark, d).select(F.col("listing_id").cast("string").alias("listing_id"), "price_raw", F.lit("view").alias("source"), F.lit("2026-01-01").cast("date").alias("ingest_date"), F.concat(F.lit("r"), F.col("run_no")).alias("run_id"))
     lake.commit(view, path)
     lake.commit(view.filter("run_id = 'r2'"), path)
-    back = lake.read(spark, path, "listing_id string, price_raw string").filter("run_id = 'r2'")
+    back = lake.read(spark, path, "listing_id string, price_raw string")
     return back.select("listing_id", F.substring("run_id", 2, 9).cast("int").alias("run_no"), "price_raw")
 
 
-@query("stream_silver", f"{R.ORACLE} select cast(listing_id as string) as listing_id, price_vnd, area_m2 from rental where run_no <= 3")
+@query("stream_silver", f"{R.ORACLE} select cast(listing_id as string) as listing_id, price_vnd, area_m2 from rental")
 def stream_silver(spark, d):
     path = _folder(spark)
-    view = R.rental(spark, d).filter("run_no <= 3").select(F.col("listing_id").cast("string").alias("listing_id"), F.lit("view").alias("source"), "url", "price_raw", "area_raw", "location_raw", F.lit(None).cast("string").alias("address_raw"), F.lit(None).cast("string").alias("title_raw"), "posted_at_raw", "crawled_at")
+    view = R.rental(spark, d).select(F.col("listing_id").cast("string").alias("listing_id"), F.lit("view").alias("source"), "url", "price_raw", "area_raw", "location_raw", F.lit(None).cast("string").alias("address_raw"), F.lit(None).cast("string").alias("title_raw"), "posted_at_raw", "crawled_at")
     view.write.parquet(f"{path}/bronze")
     stream = streams.files(spark, f"{path}/bronze", view.schema)
     streams.run_once(streams.bronze_to_silver(stream).select("listing_id", "price_vnd", "area_m2"), f"{path}/silver", f"{path}/state")
