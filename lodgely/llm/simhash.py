@@ -297,10 +297,10 @@ def _still_apart(groups: DataFrame, roots: DataFrame) -> DataFrame:
     return written(own.join(mixed, "key"), "apart")
 
 
-def _pairs_within(groups: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of members of different roots and near enough sizes of the (small) groups; groups of the same members count once."""
-    lists = groups.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("node", "root", "size"))).alias("own")).groupBy("own").agg(F.min("key").alias("key"))
-    flat = lists.select("key", F.explode("own").alias("x")).select("key", "x.*")
+def _pairs_within(groups: DataFrame, similarity: float, small: int) -> DataFrame:
+    """Pairs (a, b) of members of different roots and near enough sizes of the groups; those of up to `small` that have the same members count once."""
+    lists = groups.filter(F.col("n") <= small).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("node", "root", "size"))).alias("own")).groupBy("own").agg(F.min("key").alias("key"))
+    flat = lists.select("key", F.explode("own").alias("x")).select("key", "x.*").unionByName(groups.filter(F.col("n") > small).select("key", "node", "root", "size"))
     other = flat.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("size").alias("sb"))
     near = (F.least("size", "sb") >= similarity * F.greatest("size", "sb")) & (F.col("root") != F.col("rb")) & (F.col("node") > F.col("b"))
     return flat.join(other, "key").filter(near).select(F.col("node").alias("a"), "b").distinct()
@@ -317,15 +317,15 @@ def _near_one(held: DataFrame, roots: DataFrame, similarity: float) -> DataFrame
     return met.select(F.greatest("a", "c").alias("a"), F.least("a", "c").alias("b")).distinct()
 
 
-def near_links(base: DataFrame, words: int = 5, similarity: float = 0.8, small: int = 32, rounds: int = 8) -> DataFrame:
+def near_links(base: DataFrame, words: int = 5, similarity: float = 0.8, small: int = 32, rounds: int = 8, few: int = 8) -> DataFrame:
     """(node, root) of the components of all pairs of nodes that share a band and are alike, for rows of with_bands().
 
     A large group of near copies is never compared pair by pair. Its members are held against one leader, the member that
     meets most others. Two texts that are alike are then both alike to the leader, or share a shingle that the leader
     lacks, or all that they share is the leader's, which needs much of it in both. So what is still apart meets again by
     leader and shingle, in smaller groups with leaders of their own, and groups of up to `small` members are compared
-    whole. Leaders fall in a fixed order from one such round to the next, so this ends; after `rounds` the rest is
-    compared whole.
+    whole. Leaders fall in a fixed order from one such round to the next, so this ends. When what is left makes no more
+    than `few` pairs for each node, or after `rounds`, it is compared whole.
     """
     keys = base.select("node", "keys").dropDuplicates(["node"]).select("node", F.explode("keys").alias("key"))
     groups = written(keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key"), "groups")
@@ -334,7 +334,7 @@ def near_links(base: DataFrame, words: int = 5, similarity: float = 0.8, small:
     sets = written(with_sets(texts, words), "sets")
     brief = sets.select("node", "weight", "size")
     groups = groups.select("key", "node").join(brief, "node")
-    roots = sets.select("node", F.col("node").alias("root"))
+    roots, nodes, last = sets.select("node", F.col("node").alias("root")), brief.count(), False
     for turn in range(rounds + 1):
         lead = groups.groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("leader"), F.min("size").alias("least"))
         if turn == 1:  # the same groups again: leaders that are linked give way to the foremost of them
@@ -345,14 +345,14 @@ def near_links(base: DataFrame, words: int = 5, similarity: float = 0.8, small:
         held = written(measured(pairs, sets, similarity), "held")
         roots = _merged(roots, held.filter("alike").select("a", "b"))
         apart = _still_apart(groups, roots)
-        whole = apart if turn == rounds else apart.filter(F.col("n") <= small)
-        met, large = _pairs_within(whole, similarity), apart.filter(F.col("n") > small)
+        whole = apart if last else apart.filter(F.col("n") <= small)
+        met, large = _pairs_within(whole, similarity, small), apart.filter(F.col("n") > small)
         if turn:
             large_led = led.join(large.select("key").distinct(), "key", "left_semi").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
             held = written(held.join(large_led, ["a", "b"]), "held")
             met = met.unionByName(_near_one(held, roots, similarity)).distinct()
         roots = _merged(roots, measured(met.withColumn("least", F.lit(1 << 30)), sets, similarity).filter("alike").select("a", "b"))
-        if turn == rounds:
+        if last:
             break
         if not turn:
             groups = written(large.select("key", "node", "weight", "size"), "groups")
@@ -360,8 +360,10 @@ def near_links(base: DataFrame, words: int = 5, similarity: float = 0.8, small:
             fresh = held.select(F.col("a").alias("node"), "b", F.explode("fresh").alias("t")).select("node", F.xxhash64("b", "t").alias("key"))
             more = fresh.join(fresh.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "key").join(brief, "node")
             groups = _still_apart(more, roots).select("key", "node", "weight", "size")
-        if groups.isEmpty():
+        left = groups.groupBy("key").agg((F.count("*") * (F.count("*") - 1) / 2).alias("pairs")).agg(F.sum("pairs")).first()[0]
+        if not left:
             break
+        last = turn + 1 >= rounds or turn > 0 and left <= few * nodes
     return roots
 
 
