@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_remainder, small_arrow_batches, text_rows
+from .common import id_remainder, small_arrow_batches, text_rows, written
 from .pretokens import by_size
 
 _BLANK = bytes(ord(" ") if c < 128 and not chr(c).isalnum() else ord(chr(c).lower()) if c < 128 else c for c in range(256))
@@ -145,18 +145,20 @@ def _sums(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(lengths)), np.log1p(expected), most, np.log1p(1000 * expected / np.maximum(lengths, 1))], axis=1)
 
 
-def fit(texts: list[str], toxic: list[int], least_docs: int = 3, least_odds: float = 1.3, rounds: int = 40) -> Model:
+def fit(texts: list[str], toxic: list[int], least_docs: int = 3, least_odds: float = 1.3, rounds: int = 40, share: float | None = None) -> Model:
     """A model from labelled documents.
 
     Word labels come from document labels: a word of a toxic document is toxic if it or its stem stands in least_docs
     toxic documents and its log odds of standing in toxic against clean ones, less two standard errors, reach least_odds;
     all else is clean. The field's likelihood is
     raised by steps of the sign of its gradient with growing or shrinking size, then a logistic regression takes the sums.
-    Without both labels the score of every text is the share of toxic ones.
+    There a document counts by how rare its label is in the sample against `share`, the share of toxic ones where the
+    sample comes from (the sample's own if not given). Without both labels the score of every text is that share.
     """
     y = np.array(toxic, np.int64)
-    prior = float(y.mean()) if len(y) else 0.0
-    if not 0 < prior < 1:
+    own_share = float(y.mean()) if len(y) else 0.0
+    prior = own_share if share is None else share
+    if not 0 < own_share < 1 or not 0 < prior < 1:
         return Model({}, {}, np.zeros(1, np.int64), *[np.zeros(1)] * 4, np.zeros((2, 2)), np.zeros(4), prior)
     same: dict[bytes, bytes] = {}
     cut = [[same.setdefault(w, w) for w in words(t)] for t in texts]  # one object for each word: the sample is on the driver
@@ -209,10 +211,11 @@ def fit(texts: list[str], toxic: list[int], least_docs: int = 3, least_odds: flo
     own, pre, post, stem, moves = (x.copy() for x in np.split(weights, at[1:-1]))
     p, _, _ = marginals()
     x, w = _sums(p, lengths), np.zeros(4)
+    counts = np.where(y == 1, prior / own_share, (1 - prior) / (1 - own_share))
     for _ in range(50):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (q * (1 - q))[:, None]).T @ x + 0.5 * np.diag([0.01, 1, 1, 1])
-        move = np.linalg.solve(h, x.T @ (y - q) - 0.5 * np.array([0.01, 1, 1, 1]) * w)
+        h = (x * (counts * q * (1 - q))[:, None]).T @ x + 0.5 * np.diag([0.01, 1, 1, 1])
+        move = np.linalg.solve(h, x.T @ (counts * (y - q)) - 0.5 * np.array([0.01, 1, 1, 1]) * w)
         w += move
         if np.abs(move).max() < 1e-8:
             break
@@ -255,12 +258,14 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, per_class: int = 1
 
     Ids are chosen by their sizes before texts move. One that does not fit in what is left of its label's bytes is passed
     over alone, and those over a sixteenth of the bytes come after all others. The sample is the only thing that reaches
-    the driver. A document with several labels counts as toxic if one says so; null labels and ids count as none.
+    the driver, with the share of toxic documents among all that could be chosen, so that the make-up of the sample does
+    not shift scores. A document with several labels counts as toxic if one says so; null labels and ids count as none.
     """
     spark, share = docs.sparkSession, most_bytes // 2
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).filter(id_remainder(folds) != 0)
     sizes = docs.filter(F.col("doc_id").isNotNull() & (id_remainder(folds) != 0)).groupBy("doc_id").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("size"))
-    sizes = sizes.filter(F.col("size") <= share).join(known, "doc_id")
+    sizes = written(sizes.filter(F.col("size") <= share).join(known, "doc_id"), "sizes")
+    marked = sizes.agg(F.avg("toxic")).first()[0] or 0.0
     some = [sizes.filter(F.col("toxic") == k).orderBy(F.col("size") > share // 16, F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
     left, chosen = {0: share, 1: share}, []
     for r in some[0].unionByName(some[1]).collect():
@@ -270,7 +275,7 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, per_class: int = 1
     ids = spark.createDataFrame(chosen, sizes.select("doc_id", "toxic").schema)
     got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(F.xxhash64("doc_id").alias("at"), "doc_id", "text", "toxic").collect()
     got.sort(key=lambda r: (r["at"], r.doc_id, r.text or ""))
-    return fit([r.text or "" for r in got], [r.toxic for r in got])
+    return fit([r.text or "" for r in got], [r.toxic for r in got], share=marked)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:

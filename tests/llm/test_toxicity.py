@@ -83,3 +83,17 @@ def test_long_texts_cost_no_others_their_place(spark):
     assert [s for s, _ in X.tag(got, texts)] == [s for s, _ in X.tag(want, texts)]
     one = X.learn(docs([(i, t * 40 if i % 3 else t) for i, t in rows]), labels, most_bytes=60_000)
     assert 0 < one.prior < 1
+
+
+def test_the_samples_make_up_does_not_shift_scores(spark):
+    texts = [f"the cat number{i} sat on a mat {'you scum liar' if i % 3 == 0 else 'good day'} and left {i}" for i in range(90)]
+    toxic = [int(i % 3 == 0) for i in range(90)]
+    few = [k for k in range(90) if toxic[k] or k < 30]
+    plain, told = X.fit([texts[k] for k in few], [toxic[k] for k in few]), X.fit([texts[k] for k in few], [toxic[k] for k in few], share=1 / 3)
+    (a,), (b,) = ([s for s, _ in X.tag(m, [""])] for m in (plain, told))
+    assert b < a and b < 0.5
+    assert [s for s, _ in X.tag(X.fit(texts[:1], [1], share=0.1), ["", "you scum liar"])] == [0.1, 0.1]
+    rows = [(i, t * 40 if i % 3 else t) for i, t in enumerate(texts)]
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    model = X.learn(spark.createDataFrame(rows, "doc_id long, text string"), labels, most_bytes=20_000)
+    assert [s < 0.5 for s, _ in X.tag(model, [""])] == [True]
