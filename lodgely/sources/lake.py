@@ -21,6 +21,28 @@ def read(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> D
     return spark.read.schema(f"{schema}, source string, ingest_date date, run_id string").format(fmt).load(path)
 
 
+def commit_run(listings: DataFrame, metadata: DataFrame, manifest: DataFrame, path: str, attempt: str, fmt: str = "parquet") -> None:
+    """Writes the three tables of one or more runs, so that readers see all of a run or nothing of it.
+
+    Listings and metadata go below the run's keys and the attempt's name; the manifest, written last, names the attempt
+    that counts and replaces the one before. An attempt that is lost on the way leaves the run as it was, and one that is
+    repeated under its name replaces its own folders. Superseded folders stay until they are removed.
+    """
+    for name, df in (("listings", listings), ("metadata", metadata)):
+        rows = df.withColumn("attempt", F.lit(attempt))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*RUN_KEYS, "attempt").format(fmt).save(f"{path}/{name}")
+    commit(manifest.withColumn("attempt", F.lit(attempt)), f"{path}/manifest", fmt)
+
+
+def read_run(spark: SparkSession, path: str, name: str, schema: str, fmt: str = "parquet") -> DataFrame:
+    """Listings, metadata or manifest of committed runs."""
+    if name == "manifest":
+        return read(spark, f"{path}/manifest", f"{schema}, attempt string", fmt).drop("attempt")
+    rows = read(spark, f"{path}/{name}", f"{schema}, attempt string", fmt)
+    counted = read(spark, f"{path}/manifest", "attempt string", fmt)
+    return rows.join(counted, [*RUN_KEYS, "attempt"], "left_semi").drop("attempt")
+
+
 def _folders(path: Column, names: tuple[str, ...]) -> list[Column]:
     parts = F.split(path, "/")
     return [F.element_at(parts, -1 - len(names) + i).alias(n) for i, n in enumerate(names)]

@@ -28,6 +28,33 @@ def test_cards(spark):
     assert [r.card_position for r in extract.cards(pages, limit=1).collect()] == [1]
 
 
+def test_extraction_counters(spark):
+    pages = spark.createDataFrame([("https://s.vn/list", PAGE, 1, "r"), ("https://s.vn/none", None, 2, "r"), ("https://s.vn/bare", "<p>x</p>", None, None)], "url string, html string, page_number int, run_id string")
+    found = extract.candidates(pages)
+    counts = lambda limit: {r.page_url: (r.seen, r.extracted, r.repeated, r.kept) for r in runs.extraction_stats(found, limit).collect()}
+    assert counts(50) == {"https://s.vn/list": (6, 3, 1, 2), "https://s.vn/none": (0, 0, 0, 0), "https://s.vn/bare": (0, 0, 0, 0)}
+    assert counts(1)["https://s.vn/list"] == (6, 1, 0, 1)
+
+
+def test_card_fallbacks(spark):
+    by_id = '<main><article data-testid="ad-item"><a href="/x/1.htm"><h3>Phòng một</h3></a></article><div data-testid="AD-ITEM"><a href="/x/2.htm"><h3>Phòng hai</h3></a></div></main>'
+    by_link = '<main><ul><li><a href="/thue-phong/3.htm">Phòng ba</a><h3>Phòng ba</h3></li><span><a href="/thue-phong/4.htm"><h3>Phòng bốn</h3></a></span></ul><a href="/mua/5.htm">no</a></main>'
+    pages = spark.createDataFrame([("https://s.vn/a", by_id, 1, "r"), ("https://s.vn/b", by_link, 2, "r")], "url string, html string, page_number int, run_id string")
+    assert sorted((r.page_number, r.listing_id, r.title_raw, r.card_position) for r in extract.cards(pages).collect()) == [(1, "1", "Phòng một", 1), (1, "2", "Phòng hai", 2), (2, "3", "Phòng ba", 1), (2, "4", "Phòng bốn", 2)]
+
+
+def test_a_lost_attempt_changes_no_run(spark, tmp_path):
+    path = str(tmp_path / "lake")
+    keyed = lambda rows, schema: spark.createDataFrame(rows, schema).withColumns({"source": F.lit("s"), "ingest_date": F.lit("2026-01-01").cast("date"), "run_id": F.lit("r")})
+    read = lambda: ([r.v for r in lake.read_run(spark, path, "listings", "v string").collect()], [r.u for r in lake.read_run(spark, path, "metadata", "u string").collect()], [r.n for r in lake.read_run(spark, path, "manifest", "n int").collect()])
+    none = keyed([], "n int")
+    lake.commit_run(keyed([("x",)], "v string"), keyed([("p",)], "u string"), keyed([(1,)], "n int"), path, "a")
+    lake.commit_run(keyed([("y",)], "v string"), keyed([("q",)], "u string"), none, path, "b")
+    assert read() == (["x"], ["p"], [1])
+    lake.commit_run(keyed([("y",)], "v string"), keyed([("q",)], "u string"), keyed([(2,)], "n int"), path, "b")
+    assert read() == (["y"], ["q"], [2])
+
+
 def test_details(spark):
     html = '<h1>Tiêu đề</h1><div class="AdDecription_price">2,5 tr</div><div class="amenity-item">Bếp</div><div class="amenity-item">Bếp</div><img src="//cdn.x/1.png"><img src="data:x"><img src="/y.png"><div class="date"> </div>'
     pages = spark.createDataFrame([("q1", "https://s.vn/9.htm", html), ("q2", "https://s.vn/8.htm", "")], "request_url string, url string, html string")
