@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_arrow_batches, text_rows
+from .common import released, small_arrow_batches, text_rows
 from .pretokens import Remembered, by_pattern, by_size, gathered
 
 
@@ -76,7 +76,7 @@ def _encoder(path: str):
     def encode(tokens: list[str]) -> list[list[int]]:
         return processor.encode([t.encode().decode("latin-1").translate(table) for t in tokens], out_type=int, num_threads=1) if tokens else []
 
-    return Remembered(by_pattern(public_tokenizers.PATTERN, encode))
+    return Remembered(by_pattern(public_tokenizers.PATTERN, encode), 300_000)
 
 
 @cache
@@ -105,7 +105,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") ->
         encoder = _encoder(path)
         for batch in batches:
             lo = 0
-            for rows in by_size((t or "",) for (t,) in text_rows([batch], text)):
+            for rows in by_size(((t or "",) for (t,) in text_rows([batch], text)), 1 << 19):
                 got, lengths = encoder([t for (t,) in rows])
                 offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(got))
@@ -113,7 +113,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") ->
                 lo += len(rows)
                 yield pa.RecordBatch.from_arrays([*own.columns, ids], names=[*own.schema.names, out])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lambda batches: released(run(batches)), schema)
 
 
 def _cuts(sizes: np.ndarray, most: int = 1 << 20) -> list[int]:
@@ -152,7 +152,7 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, decoded(pa.concat_arrays([column.slice(lo, hi - lo)]))], names=[*batch.schema.names, out])
                 lo = hi
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lambda batches: released(run(batches)), schema)
 
 
 def digest(docs: DataFrame, path: str | None = None) -> DataFrame:

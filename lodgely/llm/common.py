@@ -74,6 +74,12 @@ def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema)
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; after the last, Arrow's free memory goes back to the system, as Python workers outlive their tasks."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+
+
 def small_arrow_batches(spark: SparkSession) -> None:
     """Texts may be very long: few rows in each batch between the JVM and Python."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")

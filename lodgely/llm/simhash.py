@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches, small_arrow_batches, text_rows, written
+from .common import in_batches, released, small_arrow_batches, text_rows, written
 from .components import components
 
 #: Fixed value: generator polynomial of the binary (23, 12) Golay code.
@@ -130,7 +130,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", words: int = 3) -> Dat
             column = pa.array(np.array(got, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in kept] + [column], names=[*kept, "fp"])
 
-    return docs.select(*kept, text).mapInArrow(run, schema)
+    return docs.select(*kept, text).mapInArrow(lambda batches: released(run(batches)), schema)
 
 
 def links(prints: DataFrame, most: int = 64) -> DataFrame:
@@ -239,7 +239,7 @@ def with_bands(docs: DataFrame, words: int = 5) -> DataFrame:
             arrays = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text")] + [nodes, arrays], names=["doc_id", "text", "node", "keys"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: released(run(batches)), schema)
 
 
 def with_sets(texts: DataFrame, words: int = 5) -> DataFrame:
@@ -254,7 +254,7 @@ def with_sets(texts: DataFrame, words: int = 5) -> DataFrame:
             new = [pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in kept] + new, names=[*kept, "size", "shingles"])
 
-    return texts.mapInArrow(run, schema)
+    return texts.mapInArrow(lambda batches: released(run(batches)), schema)
 
 
 def measured(pairs: DataFrame, sets: DataFrame, similarity: float = 0.8) -> DataFrame:
@@ -272,12 +272,12 @@ def measured(pairs: DataFrame, sets: DataFrame, similarity: float = 0.8) -> Data
             own = np.setdiff1d(x, y, assume_unique=True)
             common = len(x) - len(own)
             shared = math.ceil(similarity / (1 + similarity) * (len(x) + max(least, similarity * len(x))) - 1e-6)
-            yield a, b, len(x), len(y), common, common >= similarity * (len(x) + len(y) - common) - 1e-9, own[: max(0, len(x) - shared + 1)].view(np.int64).tolist()
+            yield a, b, len(x), len(y), common, common >= similarity * (len(x) + len(y) - common) - 1e-9, own[: max(0, len(x) - shared + 1)].view(np.int64)
 
     small_arrow_batches(pairs.sparkSession)
     one, two = sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("t"))
     both = pairs.join(one, "a").join(two, "b").select("a", "b", "least", "s", "t")
-    return both.mapInArrow(lambda batches: in_batches(rows(batches), schema, 4096), "a long, b long, x int, y int, common int, alike boolean, fresh array<long>")
+    return both.mapInArrow(lambda batches: released(in_batches(rows(batches), schema, 4096, weigh=lambda row: 48 + row[-1].nbytes)), "a long, b long, x int, y int, common int, alike boolean, fresh array<long>")
 
 
 def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_remainder, small_arrow_batches, text_rows, written
+from .common import id_remainder, released, small_arrow_batches, text_rows, written
 from .pretokens import by_size
 
 _BLANK = bytes(ord(" ") if c < 128 and not chr(c).isalnum() else ord(chr(c).lower()) if c < 128 else c for c in range(256))
@@ -295,14 +295,14 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
     def run(batches):
         for batch in batches:
             lo = 0
-            for part in by_size((t or "",) for (t,) in text_rows([batch], text)):
+            for part in by_size(((t or "",) for (t,) in text_rows([batch], text)), 1 << 20):
                 got = tag(shared.value, [t for (t,) in part])
                 own = batch.slice(lo, len(part))
                 lo += len(part)
                 new = [pa.array([s for s, _ in got], pa.float64()), pa.array([[dict(zip(("first", "end", "marginal"), x)) for x in spans] for _, spans in got], span)]
                 yield pa.RecordBatch.from_arrays([own.column(own.schema.get_field_index(c)) for c in keep] + new, names=[*keep, "score", "spans"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lambda batches: released(run(batches)), schema)
 
 
 def op7_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
