@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 from dataclasses import dataclass
 from itertools import repeat
@@ -257,9 +258,10 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, per_class: int = 1
     """A model from a sample of the labelled documents whose fold is not 0: of each label up to per_class ids by hash and half of most_bytes of whole texts.
 
     Ids are chosen by their sizes before texts move. One that does not fit in what is left of its label's bytes is passed
-    over alone, and those over a sixteenth of the bytes come after all others. The sample is the only thing that reaches
-    the driver, with the share of toxic documents among all that could be chosen, so that the make-up of the sample does
-    not shift scores. A document with several labels counts as toxic if one says so; null labels and ids count as none.
+    over alone, and those over a sixteenth of the bytes come after all others. One task takes the sample, which most_bytes
+    bounds, and fits; ids, sizes and the model are all that reaches the driver, with the share of toxic documents among
+    all that could be chosen, so that the make-up of the sample does not shift scores. A document with several labels
+    counts as toxic if one says so; null labels and ids count as none.
     """
     spark, share = docs.sparkSession, most_bytes // 2
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).filter(id_remainder(folds) != 0)
@@ -273,9 +275,16 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, per_class: int = 1
             left[r.toxic] -= r["size"]
             chosen.append((r.doc_id, r.toxic))
     ids = spark.createDataFrame(chosen, sizes.select("doc_id", "toxic").schema)
-    got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(F.xxhash64("doc_id").alias("at"), "doc_id", "text", "toxic").collect()
-    got.sort(key=lambda r: (r["at"], r.doc_id, r.text or ""))
-    return fit([r.text or "" for r in got], [r.toxic for r in got], share=marked)
+    small_arrow_batches(spark)
+    text = F.coalesce("text", F.lit("")).alias("text")
+    sample = docs.select("doc_id", text).join(F.broadcast(ids), "doc_id").select(F.xxhash64("doc_id").alias("at"), "doc_id", "text", "toxic").repartition(1)
+
+    def run(batches):
+        got = sorted(text_rows(batches, "at", "doc_id", "text", "toxic"))
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(fit([r[2] for r in got], [r[3] for r in got], share=marked))], pa.binary())})
+
+    row = sample.mapInArrow(lambda batches: released(run(batches)), "model binary").first()
+    return pickle.loads(row.model) if row else fit([], [], share=marked)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
