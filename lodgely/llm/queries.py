@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from . import bond, quality
+from .bond import op12_bond
 from .bpe import op10_bpe
 from .common import table
 from .gru_lm import op9_gru_lm
 from .matroska import op4_matroska
 from .mixing import op5_mixing
+from .periods import op11_periods
+from .quality import op13_rules
 from .sharding import op2_sharding
 from .simhash import op3_simhash
 from .syncmers import op6_syncmers
@@ -30,6 +34,9 @@ QUERIES = {
     "op8_tokenstore": _over("documents", op8_tokenstore),
     "op9_gru_lm": _over("documents", op9_gru_lm),
     "op10_bpe": _over("documents", op10_bpe),
+    "op11_periods": _over("documents", op11_periods),
+    "op12_bond": _over("embeddings", op12_bond),
+    "op13_rules": _over("documents", op13_rules),
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op12_bond": bond.ORACLE_SQL, "op13_rules": quality.ORACLE_SQL}
