@@ -237,23 +237,22 @@ def tag(model: Model, texts: list[str]) -> list[tuple[float, list[tuple[int, int
     scores = 1 / (1 + np.exp(-np.clip(_sums(p, lengths) @ model.document, -30, 30)))
     spans: list[list[tuple[int, int, float]]] = [[] for _ in texts]
     starts, hot = np.cumsum(lengths) - lengths, np.flatnonzero(p >= 0.5)
-    owners = np.searchsorted(starts, hot, side="right") - 1
-    for d in np.unique(owners).tolist():
-        at = [m.span() for m in _WORD.finditer(plain[d])]
-        own = (hot[owners == d] - starts[d]).tolist()
-        runs: list[list[int]] = []
-        for k in own:
-            if runs and runs[-1][-1] == k - 1:
-                runs[-1].append(k)
-            else:
-                runs.append([k])
-        for run in runs:
-            lo, hi = at[run[0]][0], at[run[-1]][1]
-            first = len(raw[d][:lo].decode("utf-8", "ignore"))
-            spans[d].append((first, first + len(raw[d][lo:hi].decode("utf-8", "ignore")), float(p[starts[d] + run[0] : starts[d] + run[-1] + 1].mean())))
+    cuts = np.searchsorted(hot, np.append(starts, len(p)))
+    for d in np.flatnonzero(np.diff(cuts)).tolist():
+        spans[d] = _spans(raw[d], plain[d], hot[cuts[d] : cuts[d + 1]] - starts[d], p[starts[d] : starts[d] + lengths[d]])
     return list(zip(scores.tolist(), spans))
 
 
+def _spans(raw: bytes, plain: bytes, hot: np.ndarray, p: np.ndarray) -> list[tuple[int, int, float]]:
+    """First and end character and mean marginal of each stretch of hot words of one text, in time linear in the text."""
+    at = np.array([m.span() for m in _WORD.finditer(plain)], np.int64)
+    before = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])  # characters before each byte
+    breaks = np.flatnonzero(np.diff(hot) > 1)
+    first, last = hot[np.concatenate([[0], breaks + 1])], hot[np.append(breaks, len(hot) - 1)]
+    means = np.add.reduceat(p[hot], np.concatenate([[0], breaks + 1])) / (last - first + 1)
+    return list(zip(before[at[first, 0]].tolist(), before[at[last, 1]].tolist(), means.tolist()))
+
+
 def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, per_class: int = 1500, most_bytes: int = 10 << 20) -> Model:
     """A model from a sample of the labelled documents whose fold is not 0: of each label up to per_class ids by hash and half of most_bytes of whole texts.
 
@@ -287,18 +286,20 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, per_class: int = 1
     return pickle.loads(row.model) if row else fit([], [], share=marked)
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs (their columns, or `keep`) with score and spans (first, end, marginal). Null and empty texts get the score of no words.
+def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("score", "spans")) -> DataFrame:
+    """docs (their columns, or `keep`) with score and spans (first, end, marginal), under `names`. Null and empty texts get the score of no words.
 
-    Columns of docs that have these names are replaced.
+    Columns of docs that have these names are replaced. A very long text is tagged whole by one task, in time and memory
+    in proportion to it. Repeated rows and null ids are rows like others, equal texts get equal scores, an empty table
+    gives an empty one.
     """
     spark = docs.sparkSession
     small_arrow_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "spans")]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
     rows = docs.select(*keep, *([text] if text not in keep else []))
     shape = "array<struct<first: int, end: int, marginal: double>>"
-    schema = docs.select(*keep, F.lit(0.0).alias("score"), F.array().cast(shape).alias("spans")).schema
+    schema = docs.select(*keep, F.lit(0.0).alias(names[0]), F.array().cast(shape).alias(names[1])).schema
     span = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("marginal", pa.float64())]))
 
     def run(batches):
@@ -309,11 +310,12 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
                 own = batch.slice(lo, len(part))
                 lo += len(part)
                 new = [pa.array([s for s, _ in got], pa.float64()), pa.array([[dict(zip(("first", "end", "marginal"), x)) for x in spans] for _, spans in got], span)]
-                yield pa.RecordBatch.from_arrays([own.column(own.schema.get_field_index(c)) for c in keep] + new, names=[*keep, "score", "spans"])
+                yield pa.RecordBatch.from_arrays([own.column(own.schema.get_field_index(c)) for c in keep] + new, names=[*keep, *names])
 
     return rows.mapInArrow(lambda batches: released(run(batches)), schema)
 
 
 def op7_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Per row of docs: doc_id, held_out (fold 0 of five), score, predicted (score of one half or more), n_spans, by a tagger that learns from the other folds; see learn() and score() for nulls, long texts, ties, repeats and empty tables."""
     scored = score(docs, learn(docs, labels), keep=["doc_id"])
     return scored.select("doc_id", (id_remainder(5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), F.size("spans").alias("n_spans"))

@@ -97,3 +97,25 @@ def test_the_samples_make_up_does_not_shift_scores(spark):
     labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
     model = X.learn(spark.createDataFrame(rows, "doc_id long, text string"), labels, most_bytes=20_000)
     assert [s < 0.5 for s, _ in X.tag(model, [""])] == [True]
+
+
+def test_spans_of_a_long_text(spark):
+    import re
+    import time
+
+    texts = [f"le chat été {i} sur la table {'you scum liar' if i % 3 == 0 else 'good day'} parti {i}" for i in range(90)]
+    model = X.fit(texts, [int(i % 3 == 0) for i in range(90)])
+    short = "été 🙂 " + "le chat été sur la table good day parti you scum liar parti \n " * 20
+    (_, spans), (_, none) = X.tag(model, [short, "le chat good day"])
+    inside = [short[a:b] for a, b, _ in spans]
+    assert len(inside) == 20 and all("scum" in x and re.fullmatch(r"\S.*\S", x) for x in inside) and none == []
+    unit = "le chat été sur la table good day parti you scum liar le chat été sur la table good day parti "
+    long, began = unit * 52_000, time.perf_counter()
+    (_, spans), = X.tag(model, [long])
+    assert len(long.encode()) > 5_000_000 and len(spans) == 52_000 and time.perf_counter() - began < 60
+    assert {long[a:b] for a, b, _ in spans[::997]} == {long[spans[0][0] : spans[0][1]]}
+    began = time.perf_counter()
+    raw = long.encode()
+    hot = np.arange(0, 52_000 * 19, 19)
+    got = X._spans(raw, raw.translate(X._BLANK), hot, np.ones(52_000 * 21))
+    assert len(got) == 52_000 and time.perf_counter() - began < 10
