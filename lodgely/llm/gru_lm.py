@@ -86,18 +86,32 @@ class Vocabulary:
         return np.log10((c + 1) / (self.tokens + self.distinct + 1))
 
 
+def commonest(counts: DataFrame, most: int, buckets: int = 4096) -> list[DataFrame]:
+    """The `most` words (word, c) of the largest counts (all, if fewer), in parts; ties go by a hash into `buckets`, then by word.
+
+    Each part is a filter that histograms find: whole steps of eight to a doubling, whole counts of the next step, whole
+    buckets of the next count; only in one bucket words are sorted, so no number of ties makes one large sort.
+    """
+    step, bucket = F.floor(F.log2("c") * 8), F.pmod(F.xxhash64("word"), F.lit(buckets))
+    rest, parts = counts.filter("c > 0"), []
+    for level, falling in ((step, True), (F.col("c"), True), (bucket, False)):
+        cut = None
+        for at, n in sorted(rest.groupBy(level.alias("at")).agg(F.count("*")).collect(), reverse=falling):
+            if n > most:
+                break
+            most, cut = most - n, at
+        else:
+            return [*parts, rest]
+        if cut is not None:
+            parts.append(rest.filter(level >= cut if falling else level <= cut))
+        rest = rest.filter(level == at)
+    return [*parts, rest.orderBy("word").limit(most)]
+
+
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """From written counts; the driver gets HEAD words at most (all whose count reaches a step of eight to a doubling), TAILS rows of sums and the totals."""
+    """From written counts; the driver gets the HEAD commonest words (see commonest()), TAILS rows of sums and the totals."""
     total, distinct = counts.agg(F.sum("c"), F.count("*")).first()
-    step = F.floor(F.log2("c") * 8)
-    left, cut = HEAD, None
-    for level, n in sorted(counts.filter("c > 0").groupBy(step.alias("step")).agg(F.count("*")).collect(), reverse=True):
-        left -= n
-        if left < 0:
-            break
-        cut = level
-    common = counts.filter(step >= cut) if cut is not None else counts.limit(0)
-    top = sorted(common.filter(F.col("word") != F.lit(END)).collect(), key=lambda r: (-r.c, bytes(r.word)))
+    top = sorted((r for part in commonest(counts.filter(F.col("word") != F.lit(END)), HEAD) for r in part.collect()), key=lambda r: (-r.c, bytes(r.word)))
     end = counts.filter(F.col("word") == F.lit(END)).select("c").first()
     rows = [(END, end[0] if end else 0)] + [(bytes(r.word), r.c) for r in top]
     own = {w for w, _ in rows[:MODEL]}

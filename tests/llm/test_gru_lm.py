@@ -37,6 +37,57 @@ def test_query(docs, odd, none, monkeypatch):
     assert G.op9_gru_lm(none).count() == 0
 
 
+def test_scores_by_the_network(docs, monkeypatch):
+    """The query's score, word by word: class, word in its class or share of the tail's counts, rare words too."""
+    kept = {}
+    vocabulary, train = G.vocabulary, G.train
+    monkeypatch.setattr(G, "HEAD", 1500)
+    monkeypatch.setattr(G, "vocabulary", lambda counts: kept.setdefault("v", vocabulary(counts)))
+    monkeypatch.setattr(G, "train", lambda *a: kept.update(net=train(*a)) or kept["net"])
+    table = docs.filter("doc_id < 60")
+    rows = {r.doc_id: r.score for r in G.op9_gru_lm(table).collect()}
+    v, net, counts, per = kept["v"], kept["net"], Counter(), G.MODEL // G.CLASSES
+    texts = {r.doc_id: [*(r.text or "").encode().lower().split(), G.END] for r in table.collect()}
+    for i, words in texts.items():
+        if not held(i):
+            counts.update(words)
+    order = {w: k for w, k in v.codes.items() if k < G.MODEL}
+    assert len(counts) > 1500 and sorted((counts[w] for w in v.codes), reverse=True) == sorted(counts.values(), reverse=True)[: len(v.codes)]
+    tail_tokens, tail_words = Counter(), Counter()
+    for w, c in counts.items():
+        if w not in order:
+            tail_tokens[G.tail_class(w)] += c
+            tail_words[G.tail_class(w)] += 1
+    for i, words in texts.items():
+        h, total, before = np.zeros((1, G.HIDDEN)), 0.0, 0
+        for word in words:
+            h = G._gates(net.x[[before]], h, net.u)[0]
+            p = np.exp(h @ net.c + net.d)[0].astype(float)
+            if (w := order.get(word)) is None:
+                t = G.tail_class(word)
+                k = G.CLASSES + t
+                total += math.log10((counts[word] + 1) / (tail_tokens[t] + tail_words[t] + 1))
+                before = G.MODEL + t
+            else:
+                k, before = w // per, w
+                q = np.exp(net.w[k * per : (k + 1) * per] @ h[0] + net.v[k * per : (k + 1) * per])
+                total += math.log10(q[w % per] / q.sum())
+            total += math.log10(p[k] / p.sum())
+        assert rows[i] == pytest.approx(total, rel=1e-4)
+
+
+def test_more_tied_words_than_the_vocabulary_takes(spark, monkeypatch):
+    words = spark.range(3000).selectExpr("cast(concat('w', id) as binary) as word", "cast(3 as long) as c")
+    more = spark.createDataFrame([(b"top", 90), (b"next", 3 * 90), (G.END, 50), (b"none", 0)], "word binary, c long")
+    for most in (1, 2, 3, 700, 3001, 3002, 3003, 9000):
+        parts = [r for p in G.commonest(words.unionByName(more).filter("c <> 50"), most) for r in p.collect()]
+        assert len(parts) == len({bytes(r.word) for r in parts}) == min(most, 3002) and sum(r.c for r in parts) == sum(sorted([3] * 3000 + [90, 270], reverse=True)[:most])
+    assert sorted(bytes(r.word) for p in G.commonest(words, 700) for r in p.collect()) == sorted(bytes(r.word) for p in G.commonest(words.repartition(7), 700) for r in p.collect())
+    tied = spark.range(100_100).selectExpr("cast(concat('w', id) as binary) as word", "cast(3 as long) as c")
+    v = G.vocabulary(tied)
+    assert len(v.codes) == G.HEAD + 1 and v.distinct == 100_100 and (v.tail_words.sum(), v.tail_tokens.sum()) == (100_100 - G.MODEL + 1, 3 * (100_100 - G.MODEL + 1))
+
+
 def test_codes(monkeypatch):
     texts = ["a b  A\tc", None, "", " zz yy zz ", "b\x1cb é É", "a"]
     codes, tail = {G.END: 0, b"a": 1, b"b": 2, b"c": 3}, np.array([-1, -1, -1, 5])
