@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import id_text, written
 
-#: Words of a k-mer and of the inner substrings, and anchors that a fingerprint keeps.
-K, S, KEPT = 5, 2, 64
+#: Words of a k-mer and of the inner substrings.
+K, S = 5, 2
 _WORDS = r"filter(split({text}, '[\\x20\\x09-\\x0D]+'), w -> w <> '')"
 
 
@@ -37,18 +37,7 @@ def anchors(text: str = "text", k: int = K, s: int = S) -> Column:
     return F.expr(_syncmers(f"coalesce({text}, '')", k, s, lambda at, h: f"named_struct('position', {at}, 'hash', {h})"))
 
 
-def fingerprint(text: str = "text", k: int = K, s: int = S, kept: int = KEPT) -> Column:
-    """The `kept` smallest distinct 31-bit anchor hashes of a text, ascending: a bottom sketch of its set of syncmers."""
-    return F.expr(f"slice(sort_array(array_distinct({_syncmers(text, k, s, lambda at, h: f'cast({h} & 2147483647 as int)')})), 1, {kept})")
-
-
-def likeness(a: str, b: str, kept: int = KEPT) -> Column:
-    """Estimated Jaccard likeness of the anchor sets of two fingerprints; exact for sets of up to `kept`. Two empty ones are alike."""
-    both = f"slice(sort_array(array_union({a}, {b})), 1, {kept})"
-    return F.expr(f"case when size({a}) = 0 and size({b}) = 0 then 1d else transform(array({both}), u -> size(array_intersect(u, array_intersect({a}, {b}))) / size(u))[0] end")
-
-
-def whole_likeness(a: str, b: str) -> Column:
+def likeness(a: str, b: str) -> Column:
     """Jaccard likeness of two arrays of distinct longs. Two empty ones are alike."""
     return F.expr(f"case when size({a}) = 0 and size({b}) = 0 then 1d else transform(array(size(array_intersect({a}, {b}))), n -> n / (size({a}) + size({b}) - n))[0] end")
 
@@ -102,21 +91,24 @@ def with_edits(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     base = docs.select("doc_id", text.alias("text")).withColumn("key", F.unhex(F.md5(F.col("text").cast("binary"))))
-    ids = written(base.select("doc_id", "key", F.length("text").cast("long").alias("n")).groupBy("doc_id", "key", "n").agg(F.count("*").alias("rows")), "ids")
-    nav = written(neighbours(ids.drop("rows")), "order").select(F.col("doc_id").alias("i"), F.col("key").alias("k"), "prev_id", "prev_key")
-    given = base.join(nav, base["doc_id"].eqNullSafe(nav["i"]) & (base["key"] == nav["k"])).select("prev_id", "prev_key", F.col("text").alias("next_text"))
-    if (ids.agg(F.max("rows")).first()[0] or 0) > 1:
-        given = given.dropDuplicates(["prev_id", "prev_key"])
-    both = base.join(given, base["doc_id"].eqNullSafe(F.col("prev_id")) & (base["key"] == F.col("prev_key")))
+    ids = written(base.select("doc_id", "key", F.length("text").cast("long").alias("n")).distinct(), "ids")
+    nav = written(neighbours(ids), "order").select(id_text().alias("id"), "key", id_text("prev_id").alias("prev_id"), "prev_key")
+    base = base.withColumn("id", id_text())  # never null, so joins and dropDuplicates() share a partitioning
+    given = base.join(nav, ["id", "key"]).select("prev_id", "prev_key", F.col("text").alias("next_text")).dropDuplicates(["prev_id", "prev_key"])
+    both = base.join(given, (base["id"] == given["prev_id"]) & (base["key"] == given["prev_key"]))
     quarter = "cast(length(text) div 4 as int)"
     return both.select("doc_id", "text", F.expr(f"concat(substring(text, 1, length(text) - {quarter}), substring(next_text, 1, {quarter}))").alias("edited"), "next_text")
 
 
 def op6_syncmers(docs: DataFrame) -> DataFrame:
-    """Fingerprints of all anchors. near_edited: share of the anchors of both that are at the same place in both (the edit keeps the start in its place); near_next: share of the distinct anchors, at any shift."""
+    """Fingerprints (all distinct anchors, ascending) of texts and of their edited texts; near_edited and near_next are the Jaccard likeness of its fingerprint to theirs.
+
+    near_placed is the share of anchors that stand at the same place in the text and its edited text. Null texts are
+    empty; texts without words have no anchors and are alike. See with_edits() for the order, ties and repeated rows.
+    """
     got = with_edits(docs.select("doc_id", "text")).select("doc_id", "text", "edited", anchors().alias("own"), anchors("edited").alias("other"), anchors("next_text").alias("next"))
     got = got.select("doc_id", "text", "edited", hashes("own").alias("fp"), hashes("other").alias("edited_fp"), hashes("next").alias("next_fp"), places("own").alias("at"), places("other").alias("edited_at"))
     return got.select(
-        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        as_text("fp").alias("fingerprint"), as_text("edited_fp").alias("edited_fingerprint"), whole_likeness("at", "edited_at").alias("near_edited"), whole_likeness("fp", "next_fp").alias("near_next"),
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), as_text("fp").alias("fingerprint"), as_text("edited_fp").alias("edited_fingerprint"),
+        likeness("fp", "edited_fp").alias("near_edited"), likeness("fp", "next_fp").alias("near_next"), likeness("at", "edited_at").alias("near_placed"),
     )

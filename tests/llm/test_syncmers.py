@@ -35,8 +35,25 @@ def test_anchors_by_brute_force(spark, odd):
 
 
 def test_likeness(spark):
-    df = spark.createDataFrame([([1, 2, 3], [2, 3, 4]), ([], []), ([1], []), (list(range(100)), list(range(50, 150)))], "a array<int>, b array<int>")
-    assert [r.x for r in df.select(S.likeness("a", "b").alias("x")).collect()] == pytest.approx([0.5, 1.0, 0.0, 14 / 64])
+    df = spark.createDataFrame([([1, 2, 3], [2, 3, 4]), ([], []), ([1], []), (list(range(100)), list(range(50, 150)))], "a array<long>, b array<long>")
+    assert [r.x for r in df.select(S.likeness("a", "b").alias("x")).collect()] == pytest.approx([0.5, 1.0, 0.0, 50 / 150])
+
+
+def test_likeness_is_that_of_the_fingerprint_columns(docs, odd):
+    """near_edited and near_next by the returned fingerprints alone; these by the anchors of texts that Python edits."""
+    for table in (docs, odd.filter("doc_id is not null")):
+        rows = sorted({(r.doc_id, r.text or "") for r in table.collect()}, key=lambda r: (r[0], hashlib.md5(r[1].encode()).digest()))
+        edits = [(i, t, t[: len(t) - len(t) // 4] + rows[(k + 1) % len(rows)][1][: len(t) // 4], rows[(k + 1) % len(rows)][1]) for k, (i, t) in enumerate(rows)]
+        prints = {}
+        for r in table.sparkSession.createDataFrame(sorted({(t,) for e in edits for t in e[1:]}), "text string").select("text", S.anchors().alias("a")).collect():
+            prints[r.text] = "".join(f"{h % 2**64:016x}" for h in sorted({x.hash for x in r.a}))
+        want = {(i, len(t)): (prints[t], prints[e], prints[n]) for i, t, e, n in edits}
+        cut = lambda p: {p[k : k + 16] for k in range(0, len(p), 16)}
+        alike = lambda a, b: len(cut(a) & cut(b)) / len(cut(a) | cut(b)) if a or b else 1.0
+        for r in S.op6_syncmers(table).collect():
+            own, edited, following = want[r.doc_id, r.n_chars]
+            assert (r.fingerprint, r.edited_fingerprint) == (own, edited)
+            assert r.near_edited == pytest.approx(alike(own, edited)) and r.near_next == pytest.approx(alike(own, following)) and 0 <= r.near_placed <= 1
 
 
 def test_matches(spark):
@@ -60,7 +77,7 @@ def test_a_short_shared_passage_of_long_texts_counts(spark):
     both = len(sets[0] & sets[1])
     assert both > 5
     for r in S.op6_syncmers(docs).collect():
-        assert r.near_next == pytest.approx(both / len(sets[0] | sets[1])) and 0.5 < r.near_edited < 0.65
+        assert r.near_next == pytest.approx(both / len(sets[0] | sets[1])) and 0.5 < r.near_placed < 0.65
         assert len(r.fingerprint) == 16 * len(sets[r.doc_id])
 
 
