@@ -190,8 +190,9 @@ def read_range(file, start: int, end: int, size: int, payloads: bool) -> Iterato
 def read_archives(files: DataFrame, folder: str, split_bytes: int = 8 << 20, payloads: bool = False) -> DataFrame:
     """Records (see RECORD) of the archives `path` of `bytes` bytes below folder, one task for some ranges of split_bytes each.
 
-    A damaged member that begins as a record gives a row with `error`; other damaged bytes are passed over. There are as
-    many tasks as shuffle partitions, or one for each 64 ranges where that is more. No files, no rows.
+    A damaged member that begins as a record gives a row with `error`; other damaged bytes are passed over. Bytes inside a
+    record are none of the archive's, even where they hold an archive themselves: see without_nested(). There are as many
+    tasks as shuffle partitions, or one for each 64 ranges where that is more. No files, no rows.
     """
     spark = files.sparkSession
     cuts = files.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("start"))
@@ -210,7 +211,24 @@ def read_archives(files: DataFrame, folder: str, split_bytes: int = 8 << 20, pay
 
         yield from in_batches(rows(), schema, 1024, weigh=lambda r: 200 + len(r[9] or b""))
 
-    return cuts.mapInArrow(run, RECORD)
+    return without_nested(written(cuts.mapInArrow(run, RECORD), "records"), split_bytes)
+
+
+def without_nested(records: DataFrame, split_bytes: int) -> DataFrame:
+    """records (file, offset, length, ...) without those that lie inside another one.
+
+    A range that starts inside a record may find a record in its bytes, if these hold an archive. What it lies in began in
+    an earlier range, so that reaches over the start of its own: records that do are listed by the ranges they reach into,
+    and a record that starts before the furthest end in its range goes. Records inside a record end before it does, so none
+    of them hides a whole one. The list has a row or so for each range; only it is joined, by range, so no file is one group.
+    """
+    part = lambda at: F.expr(f"cast(({at}) div {split_bytes}L as long)")
+    slim = records.filter("length > 0").select("file", "offset", "length")
+    over = slim.filter(part("offset") < part("offset + length - 1"))
+    over = over.select("file", F.explode(F.sequence(part("offset") + 1, part("offset + length - 1"))).alias("part"), (F.col("offset") + F.col("length")).alias("end"))
+    over = over.groupBy("file", "part").agg(F.max("end").alias("end"))
+    nested = records.select("file", "offset", part("offset").alias("part")).join(over, ["file", "part"]).filter(F.col("offset") < F.col("end")).select("file", "offset")
+    return records.join(nested, ["file", "offset"], "left_anti")
 
 
 class _At:

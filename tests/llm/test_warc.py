@@ -57,3 +57,29 @@ def test_damage_and_strangers():
 def test_least_bytes(spark, least, kinds):
     pages = W.with_revisits(spark.createDataFrame([(1, "u", "h"), (2, "u", "h")], "page_id long, url string, html string"), least)
     assert ["response" if r.refers_to is None else "revisit" for r in pages.orderBy("page_id").collect()] == kinds
+
+
+def test_an_archive_inside_a_record(spark, tmp_path):
+    """Bytes that cannot be packed keep an inner archive as it is; at no split width do its records come out."""
+    import random
+    import zlib as z
+
+    rng = random.Random(2)
+    noise = lambda n: rng.randbytes(n)
+    inner = b"".join(W.record(90 + k, "http://in", noise(3000), "X", None, "d") for k in range(4))
+    payload = noise(5000) + inner + noise(4000) + inner[:5000] + noise(200)
+    outer = W.record(2, "http://out", payload, sha(payload), None, "d")
+    stored = z.compressobj(0, z.DEFLATED, 31)
+    outer = stored.compress(z.decompress(outer, 31)) + stored.flush()
+    assert W.MAGIC in outer[10:] and inner[:3000] in outer
+    data = W.record(1, "u", b"one", sha(b"one"), None, "d") + outer + W.record(3, "u", b"three" * 2000, sha(b"three" * 2000), None, "d")
+    (tmp_path / "a.warc.gz").write_bytes(data)
+    (tmp_path / "b.warc.gz").write_bytes(inner)
+    files = spark.createDataFrame([("a.warc.gz", len(data)), ("b.warc.gz", len(inner))], "path string, bytes long")
+    raw = 0
+    for width in (500, 1000, 2500, 4096, 5300, 7777, 12_000, 20_000, 1 << 20):
+        got = W.read_archives(files, str(tmp_path), width, payloads=True).collect()
+        assert sorted(r.record_id.removeprefix(W.ID_PREFIX) for r in got if r.file[0] == "a") == ["1", "2", "3"] and not any(r.error for r in got if r.file[0] == "a")
+        assert sorted(r.record_id.removeprefix(W.ID_PREFIX) for r in got if r.file[0] == "b") == ["90", "91", "92", "93"]
+        raw += sum(len([*W.read_range(Bytes(data), lo, min(lo + width, len(data)), len(data), False)]) for lo in range(0, len(data), width)) > 3
+    assert raw >= 4
