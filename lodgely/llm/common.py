@@ -26,8 +26,13 @@ def _own_folder() -> str:
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder under spark.checkpoint.dir; a temporary one only where that setting is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """A new folder under spark.checkpoint.dir. Where that is unset, one in a temporary folder on a local master, else an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is unset; tables between steps need a folder that all executors share")
+        base = _own_folder()
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

@@ -86,13 +86,13 @@ def with_copies(docs: DataFrame, share: float = 1.5, most: int = 2, blocks: int
 
     Rates come from balance(). Rows of one source and size have one rate; how many copies they take together is fixed for
     each source from the largest size down, over one row for each size, and the error left is about the smallest size.
-    Within a size, copies are dealt in a fixed order: by a hash of the doc_id into blocks, then by doc_id; so no size
-    needs to be sorted in one task. Texts without words are taken once. Nulls: a null text has no words, the null source
+    Within a size, copies are dealt in a fixed order: by a hash of the doc_id and text into blocks, then by doc_id and
+    hash; so no size needs to be sorted in one task, whatever the ids. Texts without words are taken once. Nulls: a null text has no words, the null source
     is a source, null ids are ids. Extra columns pass through; those named like the new ones are replaced.
     """
     new = ("size", "source_size", "target", "rate", "copies")
     key = F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), F.col("source")))
-    base = docs.select(*[c for c in docs.columns if c not in new], word_count(F.col("text")).alias("size"), F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("_mix_block"), key.alias("_mix_key"))
+    base = docs.select(*[c for c in docs.columns if c not in new], word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("_mix_at"), key.alias("_mix_key")).withColumn("_mix_block", F.pmod(F.col("_mix_at"), F.lit(blocks)))
     counts = written(base.groupBy("source", "_mix_key", "size", "_mix_block").agg(F.count("*").alias("n")), "blocks")
     sizes = written(counts.groupBy("source", "size").agg(F.sum("n").alias("n")), "sizes")
     sources = written(source_targets(sizes, share, most), "targets")
@@ -110,11 +110,12 @@ def with_copies(docs: DataFrame, share: float = 1.5, most: int = 2, blocks: int
     starts = written(starts.join(t, F.col("_mix_s").eqNullSafe(F.col("_mix_t"))).withColumnRenamed("_mix_z", "size").drop("_mix_t", "_mix_s"), "starts")
     # joined and numbered by the same columns, so whole rows are shuffled once
     placed = base.join(starts, ["_mix_key", "size", "_mix_block"])
-    place = F.expr("row_number() over (partition by _mix_key, size, _mix_block order by doc_id) - 1") + F.col("_mix_before")
+    place = F.expr("row_number() over (partition by _mix_key, size, _mix_block order by doc_id, _mix_at) - 1") + F.col("_mix_before")
     copies = F.floor(F.col("_mix_copies") / F.col("_mix_n")) + F.when(place < F.col("_mix_copies") % F.col("_mix_n"), 1).otherwise(0)
-    return placed.withColumn("copies", copies.cast("int")).drop("_mix_key", "_mix_block", "_mix_before", "_mix_n", "_mix_copies")
+    return placed.withColumn("copies", copies.cast("int")).drop("_mix_key", "_mix_block", "_mix_at", "_mix_before", "_mix_n", "_mix_copies")
 
 
 def op5_mixing(docs: DataFrame) -> DataFrame:
+    """Per row of docs: doc_id, size, source_size, target, taken, source, rate, copies. See with_copies() for nulls and clashing names; very long texts are counted whole, repeated rows are dealt copies each, equal sizes by id and hash, an empty table gives an empty one."""
     mixed = with_copies(docs.select("doc_id", "source", "text"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "rate", "copies")

@@ -110,24 +110,24 @@ def shard(rows: DataFrame, shards: int = 24, block_rows: int = 500, edges: DataF
     """rows (doc_id, key, ...) with shard and slot: counts of shards are at most one apart, and slots of each are gapless from 0.
 
     Linked rows (equal keys, and keys that edges (a, b, weight) link) prefer the shard that propagate() gives them, rows of a key in several shards by a hash of
-    their doc_id in proportion; other rows fill the free places. All rows then stand in one order of preferred shards,
+    their doc_id and key in proportion; other rows fill the free places. All rows then stand in one order of preferred shards,
     with unlinked rows at both ends of each, and the order is cut at equal counts, so that nearly all rows that change
     hands there are unlinked. A null doc_id is a value like any other, repeated rows are rows of their own, a row's size
     does not matter, and an empty table gives an empty one. Other columns pass through; those named start, u, pref, side,
     block, before, nth, place, shard or slot are replaced.
     """
     rows = rows.drop("start", "u", "pref", "side", "block", "before", "nth", "place", "shard", "slot")
-    rows = rows.withColumn("start", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(shards)).cast("int"))
+    rows = rows.withColumn("start", F.pmod(F.xxhash64("doc_id", "key", F.lit(1)), F.lit(shards)).cast("int"))
     cells, held = propagate(rows.select("key", "start"), shards, edges=edges)
     n = rows.count()
     free = [max(0.0, n / shards - h) for h in held]
     plan = cells.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("shard", "n"))).alias("cells"), F.sum("n").alias("linked"))
     own = "aggregate(cells, struct(0L as run, -1 as shard), (a, c) -> struct(a.run + c.n as run, if(a.shard < 0 and u * linked < a.run + c.n, c.shard, a.shard) as shard)).shard"
-    spread = rows.drop("start").join(plan, "key", "left").withColumn("u", uniform(F.col("doc_id"), F.lit(2)))
+    spread = rows.drop("start").join(plan, "key", "left").withColumn("u", uniform(F.col("doc_id"), F.col("key"), F.lit(2)))
     spread = spread.withColumn("pref", F.when(F.col("linked").isNull(), _pick(F.col("u"), free)).otherwise(F.expr(own)).cast("int"))
-    side = F.when(F.col("linked").isNotNull(), 1).otherwise(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2)) * 2).cast("int")
+    side = F.when(F.col("linked").isNotNull(), 1).otherwise(F.pmod(F.xxhash64("doc_id", "key", F.lit(3)), F.lit(2)) * 2).cast("int")
     blocks = max(1, -(-n // (shards * block_rows)))
-    spread = spread.withColumn("side", side).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(blocks)))
+    spread = spread.withColumn("side", side).withColumn("block", F.pmod(F.xxhash64("doc_id", "key", F.lit(4)), F.lit(blocks)))
     spread = written(spread.drop("cells", "linked", "u"), "preferred")
     sizes = spread.groupBy("pref", "side", "block").agg(F.count("*").alias("n"))
     totals = {r[0]: r[1] for r in sizes.groupBy("pref").agg(F.sum("n")).collect()}

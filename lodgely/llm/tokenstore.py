@@ -219,16 +219,18 @@ def _encoder(path: str):
     return encode
 
 
-def write_ids(docs: DataFrame, folder: str, path: str, end_id: int | None = 2, text: str = "text") -> DataFrame:
+def write_ids(docs: DataFrame, folder: str, path: str, end_id: int | None = 2, text: str = "text", task_bytes: int = 256 << 20) -> DataFrame:
     """Encodes texts (null: empty) by a byte-level tokenizers file and writes their ids below folder, in ascending doc_id order.
 
-    Ranges of doc_id are tasks, and each writes one file; null ids come first, equal ids in order of their texts. Returns
+    Ranges of doc_id and of a hash of the text are tasks, of about task_bytes of text or less, and each writes one file;
+    null ids come first, equal ids in order of that hash, then of their texts. Returns
     the manifest (part, path, bytes, docs, ids), a written table: files of attempts that failed are not in it.
     """
     spark = docs.sparkSession
     small_arrow_batches(spark)
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // task_bytes))
 
     def run(batches):
         encode, writer, base, name = _encoder(path), None, "", ""
@@ -246,7 +248,7 @@ def write_ids(docs: DataFrame, folder: str, path: str, end_id: int | None = 2, t
             size = writer.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "path": [name], "bytes": [size], "docs": [len(writer.docs)], "ids": [writer.total]})
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text")).repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("at")).repartitionByRange(ranges, "doc_id", "at").sortWithinPartitions("doc_id", "at", "text")
     return written(rows.mapInArrow(run, "part int, path string, bytes long, docs long, ids long"), "manifest")
 
 
@@ -276,7 +278,7 @@ def read_ids(manifest: DataFrame, folder: str) -> DataFrame:
 def op8_tokenstore(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Per row of docs, from files written and read back: doc_id, start, n_tokens, ids_crc32.
 
-    A null text counts as an empty one (the end id alone), null ids come first, equal ids in order of their texts;
+    A null text counts as an empty one (the end id alone), null ids come first, equal ids in order of a hash of their texts;
     repeated rows are written each, very long texts whole, an empty table gives no rows, other columns do not matter.
     """
     folder = shared_dir(docs.sparkSession, "ids")

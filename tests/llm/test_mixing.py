@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import pytest
 from lodgely.llm import mixing as M
+from pyspark.sql import functions as F
 
 
 def targets(sizes, share=1.5, most=2.0):
@@ -58,3 +59,12 @@ def test_rates_solve_the_dual(spark):
     assert tilt["b"] == math.inf and tilt["c"] == -math.inf
     mean = total["a"] / count["a"]
     assert sum(n * z * min(2.0, math.exp(tilt["a"] * z / mean)) for x, z, n in cells if x == "a") == pytest.approx(500.0, rel=1e-6)
+
+
+def test_rows_without_ids_fall_into_many_blocks(spark):
+    docs = spark.range(20_000).selectExpr("cast(null as long) as doc_id", "'s' as source", "concat('a b c ', id) as text").unionByName(spark.createDataFrame([(1, "t", "x " * 100_000)], "doc_id long, source string, text string"))
+    got = M.with_copies(docs)
+    per = got.filter("source = 's'").groupBy(F.pmod(F.xxhash64("doc_id", "text"), F.lit(256)).alias("block")).agg(F.count("*").alias("n"))
+    assert got.count() == 20_001 and per.count() == 256 and per.agg(F.max("n")).first()[0] < 200
+    first, again = ({r.text: r.copies for r in M.with_copies(docs.repartition(n)).filter("source = 's'").collect()} for n in (3, 11))
+    assert first == again

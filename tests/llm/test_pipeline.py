@@ -39,3 +39,13 @@ def test_odd_rows(spark, odd, tmp_path):
     assert mixed.columns == odd.columns and C.encode(spark, mixed, d).count() == mixed.count()
     assert C.mix_sources(spark, odd.limit(0), d).count() == 0 and C.drop_near_copies(spark, odd.limit(0), d).count() == 0
     assert C.drop_toxic(spark, odd.limit(0), d).select(F.count("*")).first()[0] == 0
+
+
+def test_columns_of_the_input_keep_their_values(spark, tmp_path):
+    spark.createDataFrame([(1, 0, 1), (6, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    names = ["score", "spans", "size", "rate", "copies", "component", "_copy", "_mix_key", "source_size", "target"]
+    rows = [(k, f"text number {k} of some words that differ {k * k} each", "en", "a" if k % 2 else None, *[f"{n}-{k}" for n in names]) for k in range(1, 9)]
+    docs = spark.createDataFrame(rows, ", ".join(f"`{n}` {'long' if n == 'doc_id' else 'string'}" for n in ["doc_id", "text", "lang", "source", *names]))
+    for stage in (C.drop_toxic, C.drop_near_copies, C.mix_sources):
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns and got.count() > 0 and {tuple(r) for r in got.collect()} <= set(rows)

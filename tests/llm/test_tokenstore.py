@@ -57,3 +57,10 @@ def test_query(docs, odd, none):
             at += len(ids)
         assert sorted(map(tuple, T.op8_tokenstore(table).collect()), key=lambda r: r[1]) == want
     assert T.op8_tokenstore(none).count() == 0
+
+
+def test_rows_without_ids_go_to_many_files(spark):
+    docs = spark.range(20_000).selectExpr("cast(null as long) as doc_id", "concat('word ', id) as text")
+    manifest = T.write_ids(docs, T.shared_dir(spark, "ids"), public_tokenizers.path("byte_bpe_50k.json"))
+    got = [r.docs for r in manifest.collect()]
+    assert sum(got) == 20_000 and len(got) >= 3 and max(got) < 12_000
