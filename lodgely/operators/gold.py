@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -79,17 +81,24 @@ def distinct_counts(df: DataFrame, exact: bool = True) -> DataFrame:
     return df.agg(n("listing_id").alias("listings"), n("seller_id").alias("sellers"), n("district").alias("districts"))
 
 
+def _joined(df: DataFrame, by: DataFrame, keys: list[str]) -> DataFrame:
+    """df left-joined to figures by keys, where null equals null: listings without a district are a district of their own."""
+    right = by.withColumnsRenamed({k: f"_by_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_by_{k}")) for k in keys])
+    return df.join(right, same, "left").drop(*[f"_by_{k}" for k in keys])
+
+
 def with_percentile(df: DataFrame) -> DataFrame:
-    """Share of the district's priced listings that are cheaper. From a running sum over distinct prices, so a large district is no large window."""
+    """Share of the district's priced listings that are cheaper; those without a district are ranked among themselves. From a running sum over distinct prices, so a large district is no large window."""
     prices = df.filter("price_vnd is not null").groupBy("district", "price_vnd").agg(F.count("*").alias("_n"))
     ranks = prices.withColumn("_below", F.expr("sum(_n) over (partition by district order by price_vnd) - _n")).withColumn("_all", F.expr("sum(_n) over (partition by district)"))
     share = F.when(F.col("_all") > 1, F.col("_below") / (F.col("_all") - 1)).otherwise(0.0)
-    return df.join(ranks.select("district", "price_vnd", share.alias("price_percentile")), ["district", "price_vnd"], "left")
+    return _joined(df, ranks.select("district", "price_vnd", share.alias("price_percentile")), ["district", "price_vnd"])
 
 
 def with_supply(df: DataFrame) -> DataFrame:
-    """Listings of the district on each row; counted first, then joined."""
-    return df.join(df.groupBy("district").agg(F.count("*").alias("district_supply")), "district", "left")
+    """Listings of the district (or without one) on each row; counted first, then joined."""
+    return _joined(df, df.groupBy("district").agg(F.count("*").alias("district_supply")), ["district"])
 
 
 def with_outlier(df: DataFrame, method: str = "iqr", exact: bool = True) -> DataFrame:
@@ -102,7 +111,7 @@ def with_outlier(df: DataFrame, method: str = "iqr", exact: bool = True) -> Data
         stats = df.groupBy("district").agg(F.avg("price_vnd").alias("_q1"), F.stddev_samp("price_vnd").alias("_q3"))
         low, high = F.col("_q1") - 3 * F.col("_q3"), F.col("_q1") + 3 * F.col("_q3")
     out = F.coalesce((F.col("price_vnd") < low) | (F.col("price_vnd") > high), F.lit(False))
-    return df.join(stats, "district", "left").withColumn("is_outlier", out).drop("_q1", "_q3")
+    return _joined(df, stats, ["district"]).withColumn("is_outlier", out).drop("_q1", "_q3")
 
 
 def with_price_change(df: DataFrame, key: str = "listing_id", run: str = "run_no") -> DataFrame:
@@ -181,7 +190,7 @@ def clusters(df: DataFrame, columns: list[str], k: int = 5, seed: int = 1) -> Da
 def flags(df: DataFrame, max_age_days: int = 60, low_share: float = 0.3) -> DataFrame:
     """is_stale: posted too long before the crawl; is_suspect: an outlier or far under the district's mean price."""
     mean = df.groupBy("district").agg(F.avg("price_vnd").alias("_mean"))
-    out = with_outlier(df).join(mean, "district", "left")
+    out = _joined(with_outlier(df), mean, ["district"])
     stale = F.coalesce(T.age_days(F.col("crawled_at"), F.col("posted_at")) > max_age_days, F.lit(False))
     suspect = F.coalesce(F.col("is_outlier") | (F.col("price_vnd") < low_share * F.col("_mean")), F.lit(False))
     return out.withColumns({"is_stale": stale, "is_suspect": suspect}).drop("_mean")

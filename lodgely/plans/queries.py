@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import log as L
 from ..functions import text as T
-from ..operators import bronze, extract, gold, runs, silver
-from ..sources import lake
+from ..operators import bronze, crosspost, extract, gold, runs, silver
+from ..sources import intake, lake
 from ..streaming import streams
 from . import rental as R
 
@@ -242,6 +242,16 @@ def outliers_iqr(spark, d):
     return gold.with_outlier(latest(spark, d)).select("listing_id", "is_outlier")
 
 
+@query("market_without_place", f"""{R.LATEST}, p as (select * exclude (district), case when listing_id % 6 = 0 then null else district end as district from latest), q as (select district, quantile_cont(price_vnd::double, 0.25) as a, quantile_cont(price_vnd::double, 0.75) as b, avg(price_vnd) as m from p group by 1),
+    k as (select listing_id, percent_rank() over (partition by district order by price_vnd) as price_percentile from p where price_vnd is not null)
+    select listing_id, count(*) over (partition by p.district) as district_supply, round(price_percentile, 9) as price_percentile, coalesce(price_vnd < a - 1.5 * (b - a) or price_vnd > b + 1.5 * (b - a), false) as is_outlier,
+    coalesce(price_vnd < a - 1.5 * (b - a) or price_vnd > b + 1.5 * (b - a) or price_vnd < 0.3::double * m, false) as is_suspect from p join q on p.district is not distinct from q.district left join k using (listing_id)""")
+def market_without_place(spark, d):
+    """Supply, percentile and flags where every sixth listing has no district: these are a market of their own."""
+    rows = latest(spark, d).withColumn("district", F.when(F.col("listing_id") % 6 != 0, F.col("district")))
+    return gold.flags(gold.with_supply(gold.with_percentile(rows))).select("listing_id", "district_supply", F.round("price_percentile", 9).alias("price_percentile"), "is_outlier", "is_suspect")
+
+
 _HAVERSINE = "2 * 6371.0::double * asin(sqrt(least(1.0, pow(sin(radians({b} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({b})) * pow(sin(radians({d} - {c}) / 2), 2))))"
 
 
@@ -508,18 +518,18 @@ def page_headings(spark, d):
 
 
 def _marked_pages(spark, d):
-    """A page for each listing with meta tags and a JSON-LD block: an object, an array of two, or bad JSON."""
+    """A page for each listing with meta tags (one of them ends empty) and JSON-LD blocks: an object, an array of two, an array with values that are no objects, or bad JSON; and a number."""
     view = silver.first_seen(R.rental(spark, d), ["listing_id"], R.ORDER)
     i, one = F.col("listing_id"), F.concat(F.lit('{"id": '), F.col("listing_id"), F.lit(', "area": '), F.col("area_n"), F.lit("}"))
-    block = F.when(i % 10 == 3, F.lit('{"id": ')).when(i % 10 == 4, F.concat(F.lit("["), one, F.lit(", "), one, F.lit("]"))).otherwise(one)
-    html = F.concat(F.lit('<head><meta charset="utf-8"><meta name="Place" content="x"><META property="og:area" content="'), F.col("area_n"), F.lit('"><meta name="place" content="'), F.col("district"), F.lit('"><script type="application/ld+json">'), block, F.lit("</script></head>"))
+    block = F.when(i % 10 == 5, F.concat(F.lit('["x", 7, '), one, F.lit("]"))).when(i % 10 == 3, F.lit('{"id": ')).when(i % 10 == 4, F.concat(F.lit("["), one, F.lit(", "), one, F.lit("]"))).otherwise(one)
+    html = F.concat(F.lit('<head><meta charset="utf-8"><meta name="Place" content="x"><meta name="note" content="x"><META property="og:area" content="'), F.col("area_n"), F.lit('"><meta name="place" content="'), F.col("district"), F.lit('"><meta name="NOTE" content=""><script type="application/ld+json">'), block, F.lit('</script><script type="application/ld+json">5</script></head>'))
     return view.select(i.alias("page_id"), html.alias("html"))
 
 
 _FIRST = f"{R.ORACLE}, one as (select * from (select *, row_number() over (partition by listing_id order by run_no, k1, k2, k3, k4) as nth from rental) x where nth = 1)"
 
 
-@query("page_meta", f"{_FIRST} select listing_id as page_id, 'place' as name, district as content from one union all select listing_id, 'og:area', cast(area_n as string) from one")
+@query("page_meta", f"{_FIRST} select listing_id as page_id, 'place' as name, district as content from one union all select listing_id, 'og:area', cast(area_n as string) from one union all select listing_id, 'note', '' from one")
 def page_meta(spark, d):
     return _marked_pages(spark, d).select("page_id", F.explode(extract.meta_tags(F.col("html"))).alias("name", "content"))
 
@@ -586,8 +596,51 @@ def cross_posted(spark, d):
     return silver.candidate_pairs(one, [F.concat_ws("|", "seller_id", "district", "price_vnd")], "listing_id")
 
 
+_SAME_PLACE = _HAVERSINE.format(a="a.lat", b="b.lat", c="a.lon", d="b.lon")
+
+
+@query("cross_source", f"""{R.LATEST}, {R.CENTROIDS}, one as (select l.listing_id as key, list_sort(list_distinct(list_filter(string_split_regex(lower(p_name || ' ' || p_type || ' ' || p_brand || ' ' || case when l.listing_id % 4 = 0 then '' else p_size::varchar end), '[^a-z0-9]+'), lambda x: x <> ''))) as words,
+    case when l.listing_id % 3 = 0 then seller_id end as phone, lat + l.listing_id % 89 * 0.004::double as lat, lon + l.listing_id % 97 * 0.004::double as lon, district, price_vnd as price, area_m2 as area from latest l join part on k1 = p_partkey join centroids using (district)),
+    c as (select *, min(key) over (partition by words, phone, lat, lon, district, price, area) as class from one), r as (select * from c where key = class),
+    e as (select a.key as a, b.key as b from r a join r b on a.phone = b.phone and a.key < b.key where len(list_intersect(a.words, b.words)) / len(list_distinct(list_concat(a.words, b.words)))::double >= 0.7
+      union select a.key, b.key from r a join r b on a.district = b.district and a.key < b.key and a.lat - b.lat between -0.01 and 0.01 where (a.price is null or b.price is null or greatest(a.price, b.price) <= 1.1::double * least(a.price, b.price)) and {_SAME_PLACE} <= 0.5 and len(list_intersect(a.words, b.words)) / len(list_distinct(list_concat(a.words, b.words)))::double >= 0.7
+      union select a.key, b.key from r a join r b on a.district = b.district and a.key < b.key and a.area = b.area where a.price is not null and b.price is not null and greatest(a.price, b.price) <= 1.1::double * least(a.price, b.price) and len(list_intersect(a.words, b.words)) / len(list_distinct(list_concat(a.words, b.words)))::double >= 0.7
+      union select a.key, b.key from r a join r b on a.district = b.district and a.key < b.key and a.area <> b.area where a.price is not null and b.price is not null and greatest(a.area, b.area) <= 1.1::double * least(a.area, b.area) and greatest(a.price, b.price) <= 1.1::double * least(a.price, b.price) and len(list_intersect(a.words, b.words)) / len(list_distinct(list_concat(a.words, b.words)))::double >= 0.7
+      union select a.key, b.key from r a join r b on a.district < b.district and a.lat - b.lat between -0.01 and 0.01 and a.lon - b.lon between -0.01 and 0.01 where (a.price is null or b.price is null or greatest(a.price, b.price) <= 1.1::double * least(a.price, b.price)) and {_SAME_PLACE} <= 0.5 and len(list_intersect(a.words, b.words)) / len(list_distinct(list_concat(a.words, b.words)))::double >= 0.7),
+    both_ways as (select a, b from e union select b, a from e),
+    lab as (with recursive lab(id, root) using key (id) as (select key, key from r union select x.a, min(l.root) from lab l join both_ways x on x.b = l.id join recurring.lab o on o.id = x.a where l.root < o.root group by x.a) select * from lab)
+    select c.key, c.class, lab.root as "group" from c join lab on lab.id = c.class""")
+def cross_source(spark, d):
+    """Listings of both sites that are one: words from the part, phones from the seller, positions about the district's centre."""
+    rows = latest(spark, d).join(R.table(spark, d, "part"), F.col("k1") == F.col("p_partkey")).join(R.centroids(spark, d), "district")
+    text = F.concat_ws(" ", "p_name", "p_type", "p_brand", F.when(F.col("listing_id") % 4 != 0, F.col("p_size")))
+    placed = rows.select("listing_id", text.alias("text"), F.when(F.col("listing_id") % 3 == 0, F.array(F.col("seller_id").cast("string"))).alias("phones"), (F.col("lat") + F.col("listing_id") % 89 * 0.004).alias("lat"), (F.col("lon") + F.col("listing_id") % 97 * 0.004).alias("lon"), "district", "price_vnd", "area_m2")
+    return crosspost.posted_again(crosspost.profiles(placed, "listing_id", "text", F.col("phones")), crosspost.Rules(likeness=0.7))
+
+
 # --- storage and streams
 
+@query("quarantine", f"""{R.ORACLE}, f as (select listing_id, 'r' || run_no || '-' || (listing_id // 10000) as run_id, run_no = 7 as cut from rental)
+    select run_id, case listing_id % 20 when 0 then 'missing_field:url' when 1 then 'bad_url:url' when 2 then 'wrong_type:price_raw' when 3 then 'not_an_object' when 4 then 'missing_field:url,wrong_type:area_raw' else 'accepted' end as code, count(*) as records, case when max(listing_id % 20) = 3 and min(listing_id % 20) = 3 then count(*) else count(distinct listing_id) end as listings from f where not cut group by 1, 2
+    union all select run_id, 'unreadable_file', 1, 0 from f where cut group by 1""")
+def quarantine(spark, d):
+    """Runs written as JSON files, with records that have no URL, a wrong one, a list for a text, or are no object; run 7 is cut off. What is taken in, by code."""
+    path = _folder(spark)
+    kind, url = F.col("listing_id") % 20, F.col("url")
+    fields = {"listing_id": F.col("listing_id").cast("string"), "source": F.lit("view"), "url": F.when(kind == 1, "nowhere").when(~kind.isin(0, 4), url), "title_raw": F.lit("Phòng \"đẹp\"")}
+    text = lambda **more: F.to_json(F.struct(*[c.alias(n) for n, c in (fields | more).items()]))
+    record = F.when(kind == 3, "17").when(kind == 2, text(price_raw=F.array(F.lit("x")))).when(kind == 4, text(area_raw=F.lit(5))).otherwise(text(price_raw=F.col("price_raw")))
+    keys = [F.lit("view").alias("source"), F.lit("2026-01-01").alias("ingest_date"), F.concat_ws("-", F.concat(F.lit("r"), "run_no"), F.floor(F.col("listing_id") / 10_000)).alias("run_id")]
+    files = R.rental(spark, d).select(*keys, (F.col("run_no") == 7).alias("cut"), record.alias("record")).groupBy("source", "ingest_date", "run_id", "cut").agg(F.array_join(F.collect_list("record"), ",\n").alias("all"))
+    whole = F.concat(F.lit("["), F.regexp_replace("all", "\n", " "), F.when(F.col("cut"), "").otherwise("]"))
+    files.select("source", "ingest_date", "run_id", whole.alias("value")).write.partitionBy("source", "ingest_date", "run_id").text(f"{path}/bronze")
+    intake.take_in(spark, f"{path}/bronze", path, pattern="*/*/*/*.txt")
+    good = lake.read(spark, f"{path}/accepted", "listing_id string").withColumn("code", F.lit("accepted"))
+    bad = lake.read(spark, f"{path}/quarantine", "record string, codes array<string>").select("run_id", F.array_join("codes", ",").alias("code"), F.try_variant_get(F.try_parse_json("record"), "$.listing_id", "string").alias("listing_id"), (F.col("record") == "17").alias("bare"))
+    both = good.select("run_id", "code", "listing_id").unionByName(bad.select("run_id", "code", "listing_id"))
+    return both.groupBy("run_id", "code").agg(F.count("*").alias("records"), F.when(F.col("code") == "not_an_object", F.count("*")).otherwise(F.count_distinct("listing_id")).alias("listings"))
+
+
 @query("commit_readback", f"{R.ORACLE} select cast(listing_id as string) as listing_id, run_no, price_raw from rental")
 def commit_readback(spark, d):
     path = _folder(spark)
@@ -638,21 +691,25 @@ def stream_dedup(spark, d):
     return spark.read.parquet(f"{path}/out")
 
 
-@query("stream_health", f"""with {_LOG}, w as (select time_bucket(interval 10 minutes, finished_at, timestamp '1970-01-01') as start, source, crawl_status, count(*) as requests from classed group by 1, 2, 3) select * from w where start + interval 10 minutes <= (select max(finished_at) - interval 10 minutes from classed)""")
+@query("stream_health", f"with {_LOG} select time_bucket(interval 10 minutes, finished_at, timestamp '1970-01-01') as start, source, crawl_status, count(*) as requests, round(avg(elapsed_ms), 6) as mean_ms from classed group by 1, 2, 3")
 def stream_health(spark, d):
+    """Health tables of a stream, closed when it ends: every request counts."""
     path = _folder(spark)
     _log(spark, d).select("source", "crawl_status", "finished_at", "elapsed_ms").write.parquet(f"{path}/in")
     source = spark.read.parquet(f"{path}/in")
-    streams.run_once(streams.health(streams.files(spark, f"{path}/in", source.schema)), f"{path}/out", f"{path}/state")
-    return spark.read.parquet(f"{path}/out").select(F.col("start").cast("timestamp_ntz").alias("start"), "source", "crawl_status", "requests")
+    streams.health_tables(streams.files(spark, f"{path}/in", source.schema), f"{path}/out", f"{path}/state")
+    return streams.health_windows(spark, f"{path}/out", closing=True).select(F.col("start").cast("timestamp_ntz").alias("start"), "source", "crawl_status", "requests", F.round("mean_ms", 6).alias("mean_ms"))
 
 
 @query("stream_alerts", f"""{R.ORACLE}, one as (select listing_id, run_no, max(price_vnd) as price_vnd from rental where price_vnd is not null group by 1, 2), b as (select *, lag(price_vnd) over (partition by listing_id order by run_no) as price_before from one)
     select cast(listing_id as string) as key, cast(run_no as bigint) as run_no, price_before, price_vnd from b where price_before <> price_vnd""")
 def stream_alerts(spark, d):
+    """Price changes of a stream whose files bring later runs of some listings before earlier ones."""
     path = _folder(spark)
     one = parsed(spark, d).groupBy("listing_id", "run_no").agg(F.max("price_vnd").alias("price_vnd"))
-    one.select(F.col("listing_id").cast("string").alias("key"), F.col("run_no").cast("long").alias("run_no"), "price_vnd").write.parquet(f"{path}/in")
+    rows = one.select(F.col("listing_id").cast("string").alias("key"), F.col("run_no").cast("long").alias("run_no"), F.timestamp_add("DAY", F.col("run_no"), F.lit("2026-01-01").cast("timestamp")).alias("at"), "price_vnd")
+    rows.repartition(4, F.col("run_no") % 2).write.parquet(f"{path}/in")
+    streams.closing_row(spark.read.parquet(f"{path}/in"), "40 days").write.mode("append").parquet(f"{path}/in")
     source = spark.read.parquet(f"{path}/in")
-    streams.run_once(streams.price_alerts(streams.files(spark, f"{path}/in", source.schema)), f"{path}/out", f"{path}/state")
-    return spark.read.parquet(f"{path}/out")
+    streams.run_once(streams.price_alerts(streams.files(spark, f"{path}/in", source.schema), "30 days"), f"{path}/out", f"{path}/state")
+    return spark.read.schema(streams.ALERT).parquet(f"{path}/out")

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators import silver
@@ -41,23 +42,114 @@ def health(stream: DataFrame, time: str = "finished_at", width: str = "10 minute
     return stream.withWatermark(time, delay).groupBy(F.window(time, width).alias("w"), "source", "crawl_status").agg(F.count("*").alias("requests"), F.avg("elapsed_ms").alias("mean_ms")).select(F.col("w.start").alias("start"), "source", "crawl_status", "requests", "mean_ms")
 
 
-ALERT = "key string, run_no long, price_before long, price_vnd long"
+def health_tables(stream: DataFrame, path: str, checkpoint: str, time: str = "finished_at", width: str = "10 minutes", delay: str = "10 minutes") -> StreamingQuery:
+    """Counts of all requests of a stream by window, source and status, kept as parts below path, one folder for each batch; takes all that is there and ends.
+
+    A batch that is repeated after a failure replaces its own folder. A request whose window had closed (its end is `delay`
+    or more behind the latest time of the batches before) counts in its part and goes to the side table `late` whole.
+    """
+    spark = stream.sparkSession
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        seen = spark.read.schema("batch long, latest timestamp").parquet(f"{path}/seen") if batch_id else spark.createDataFrame([], "batch long, latest timestamp")
+        before = seen.filter(F.col("batch") < batch_id).agg(F.max("latest")).first()[0]
+        closed = F.lit(before).cast("timestamp") - F.expr(f"interval {delay}")
+        rows = batch.withColumn("w", F.window(time, width)).withColumn("is_late", F.coalesce(F.col("w.end") <= closed, F.lit(False)))
+        parts = rows.filter(F.col("w").isNotNull()).groupBy(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "source", "crawl_status")
+        sums = parts.agg(F.count("*").alias("requests"), F.count_if("is_late").alias("late"), F.count("elapsed_ms").alias("timed"), F.sum("elapsed_ms").alias("total_ms"))
+        sums.write.mode("overwrite").parquet(f"{path}/parts/batch={batch_id}")
+        rows.filter("is_late").drop("w", "is_late").write.mode("overwrite").parquet(f"{path}/late/batch={batch_id}")
+        latest = batch.agg(F.lit(batch_id).cast("long").alias("batch"), F.max(time).alias("latest"))
+        latest.write.mode("overwrite").parquet(f"{path}/seen/part={batch_id}")
 
+    query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
 
-def _alerts(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(frames)).sort_values("run_no", kind="stable")
-    last, out = state.get[0] if state.exists else None, []
-    for run_no, price in zip(rows["run_no"], rows["price_vnd"]):
-        if pd.isna(price):
-            continue
-        if last is not None and int(price) != last:
-            out.append((key[0], int(run_no), last, int(price)))
-        last = int(price)
-    if last is not None:
-        state.update((last,))
-    yield pd.DataFrame(out, columns=["key", "run_no", "price_before", "price_vnd"])
 
+def health_windows(spark: SparkSession, path: str, closing: bool = False, delay: str = "10 minutes") -> DataFrame:
+    """start, source, crawl_status, requests, late, mean_ms of the windows of health_tables() that the delay has closed; with `closing`, of all, as nothing more will come."""
+    parts = spark.read.schema("start timestamp, end timestamp, source string, crawl_status string, requests long, late long, timed long, total_ms double, batch long").parquet(f"{path}/parts")
+    by = parts.groupBy("start", "end", "source", "crawl_status").agg(F.sum("requests").alias("requests"), F.sum("late").alias("late"), F.try_divide(F.sum("total_ms"), F.sum("timed")).alias("mean_ms"))
+    if not closing:
+        latest = spark.read.schema("batch long, latest timestamp").parquet(f"{path}/seen").agg(F.max("latest")).first()[0]
+        by = by.filter(F.col("end") <= F.lit(latest).cast("timestamp") - F.expr(f"interval {delay}"))
+    return by.drop("end")
 
-def price_alerts(stream: DataFrame) -> DataFrame:
-    """A row for each change of a listing's known price (key, run_no, price_vnd); the last price is the state."""
-    return stream.groupBy("key").applyInPandasWithState(_alerts, ALERT, "price long", "append", GroupStateTimeout.NoTimeout)
+
+def late_requests(spark: SparkSession, path: str) -> DataFrame:
+    """The side table of health_tables(): requests that came after their window had closed, with their batch."""
+    return spark.read.parquet(f"{path}/late")
+
+
+ALERT = "key string, run_no long, price_before long, price_vnd long"
+#: Alerts need the state store that keeps several variables and timers for a key.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class PriceAlerts(StatefulProcessor):
+    """Changes of a listing's known price, in order of time and run, whatever the order in which rows come.
+
+    Rows wait in a list until the watermark has passed them; then they are put in order and held against the last price. A
+    row of a time that has been settled, or of a run that has been seen, changes nothing. A listing without news for
+    `forget` is forgotten: its next price starts anew. Prices that a run repeats count once, the highest.
+    """
+
+    def __init__(self, forget: timedelta):
+        self.forget = int(forget.total_seconds() * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "run_no long, price long, at long")
+        self.waiting = handle.getListState("waiting", "at long, run_no long, price long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        settled = self.last.get()[2] if self.last.exists() else None
+        for frame in rows:
+            known = frame[frame["price_vnd"].notna() & frame["at"].notna()]
+            for at, run_no, price in zip(known["at"], known["run_no"], known["price_vnd"]):
+                ms = int(at.timestamp() * 1000)
+                if settled is None or ms > settled:
+                    self.waiting.appendValue((ms, int(run_no), int(price)))
+                    self.handle.registerTimer(ms)
+        yield pd.DataFrame([], columns=["key", "run_no", "price_before", "price_vnd"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        held = sorted(self.waiting.get(), key=lambda r: (r[0], r[1], -r[2])) if self.waiting.exists() else []
+        due, rest = [r for r in held if r[0] <= now], [r for r in held if r[0] > now]
+        last, out = tuple(self.last.get()) if self.last.exists() else None, []
+        for at, run_no, price in due:
+            if last is not None and at - last[2] >= self.forget:
+                last = None
+            if last is not None and run_no <= last[0]:
+                continue
+            if last is not None and price != last[1]:
+                out.append((key[0], run_no, last[1], price))
+            last = (run_no, price, at)
+        if due:
+            self.waiting.put(rest) if rest else self.waiting.clear()
+            self.last.update(last)
+            self.handle.registerTimer(last[2] + self.forget)
+        elif last is not None and not rest and last[2] + self.forget <= now:
+            self.last.clear()
+        yield pd.DataFrame(out, columns=["key", "run_no", "price_before", "price_vnd"])
+
+    def close(self) -> None:
+        pass
+
+
+def price_alerts(stream: DataFrame, delay: str = "1 day", forget: timedelta = timedelta(days=365)) -> DataFrame:
+    """A row for each change of a listing's known price: key, run_no, price_before, price_vnd, of a stream (key, run_no, at, price_vnd).
+
+    Rows may come up to `delay` late and in any order. What is within `delay` of the latest time waits for later rows;
+    closing_row() ends a stream that has no more.
+    """
+    stream.sparkSession.conf.set(*STATE_STORE)
+    timed = stream.select("key", "run_no", "at", "price_vnd").withWatermark("at", delay)
+    return timed.groupBy("key").transformWithStateInPandas(statefulProcessor=PriceAlerts(forget), outputStructType=ALERT, outputMode="Append", timeMode="EventTime")
+
+
+def closing_row(rows: DataFrame, after: str = "2 days") -> DataFrame:
+    """A row without a price that is later than all rows (key, run_no, at, price_vnd) by `after`, which must exceed the stream's delay: it makes the stream settle them."""
+    return rows.agg(F.max("at").alias("at")).filter("at is not null").select(F.lit("").alias("key"), F.lit(0).cast("long").alias("run_no"), (F.col("at") + F.expr(f"interval {after}")).alias("at"), F.lit(None).cast("long").alias("price_vnd"))
