@@ -86,4 +86,7 @@ def checked_flat(spark: SparkSession, path: str, ddl: str) -> tuple[DataFrame, D
     """Rows of CSV files (with a header) that fit the schema, and the lines that do not: file and record."""
     reader = spark.read.schema(f"{ddl}, _corrupt_record string").option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
     read = reader.csv(path).select("*", F.col("_metadata.file_path").alias("file"))
-    return read.filter("_corrupt_record is null").drop("_corrupt_record"), read.filter("_corrupt_record is not null").select("file", F.col("_corrupt_record").alias("record"))
+    fields = F.to_json(F.struct(*_schema(ddl).names))
+    line = F.concat("_corrupt_record", F.substring(fields, 1, 0))  # Spark reads a corrupt line only beside other fields
+    good = read.filter(line.isNull()).drop("_corrupt_record")
+    return good, read.select("file", line.alias("record")).filter("record is not null")
