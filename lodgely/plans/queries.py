@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import log as L
 from ..functions import text as T
-from ..operators import bronze, crosspost, extract, gold, runs, silver
+from ..operators import bronze, crosspost, density, extract, gold, history, runs, silver, sketches
 from ..sources import intake, lake
 from ..streaming import streams
 from . import rental as R
@@ -327,6 +327,75 @@ def resolve_place(spark, d):
     return silver.resolve_place(view, places).select("listing_id", "run_no", "place_district", "place_city")
 
 
+# --- sketches, density, history
+
+@query("sketched_prices", f"""{R.LATEST} select district, count(*) as n, quantile_disc(price_vnd, 0.25) as q1, quantile_disc(price_vnd, 0.5) as median, quantile_disc(price_vnd, 0.75) as q3 from latest where price_vnd is not null group by 1""")
+def sketched_prices(spark, d):
+    """Quartiles from a table of sketches by district and day; a sketch of this size is exact for up to some 1,000 prices."""
+    daily = sketches.quantile_table(latest(spark, d).withColumn("day", F.col("posted_at").cast("date")), ["district", "day"], k=1024)
+    return sketches.merged(daily, ["district"]).select("district", "n", *[sketches.quantile(r).alias(c) for c, r in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))])
+
+
+@query("sketched_rolling", f"""{R.LATEST}, p as (select district, cast(posted_at as date) as day, price_vnd from latest where price_vnd is not null), d as (select distinct district, day from p)
+    select d.district, d.day, count(*) as n, quantile_disc(p.price_vnd, 0.5) as recent_median from d join p on p.district = d.district and p.day between d.day - 29 and d.day group by 1, 2""")
+def sketched_rolling(spark, d):
+    """Rolling medians of thirty days from the same table, by blocks of days."""
+    daily = sketches.quantile_table(latest(spark, d).withColumn("day", F.col("posted_at").cast("date")), ["district", "day"])
+    return sketches.rolling_quantiles(daily, 30).select("district", "day", "n", F.col("recent")[0].alias("recent_median"))
+
+
+@query("run_changes", f"""{R.ORACLE}, l as (select distinct run_no, listing_id from rental), n as (select run_no, count(*) as listings from l group by 1), k as (select b.run_no, count(*) as kept from l a join l b on a.listing_id = b.listing_id and a.run_no = b.run_no - 1 group by 1)
+    select n.run_no, n.listings, case when b.run_no is not null then coalesce(kept, 0) end as kept, case when b.run_no is not null then n.listings - coalesce(kept, 0) end as gained, case when b.run_no is not null then b.listings - coalesce(kept, 0) end as lost
+    from n left join n b on b.run_no = n.run_no - 1 left join k on k.run_no = n.run_no""")
+def run_changes(spark, d):
+    """Listings of each run, and those kept, gained and lost since the one before, by theta sketches: exact while a run has fewer listings than a sketch has entries (65,536)."""
+    table = R.rental(spark, d).groupBy("run_no").agg(F.count("*").alias("rows"), F.theta_sketch_agg("listing_id", F.lit(16)).alias("theta"))
+    return sketches.distinct_changes(table, "run_no").select("run_no", F.col("values").alias("listings"), "kept", "gained", "lost")
+
+
+_PLACED = "placed as (select l.listing_id, l.price_vnd, lat + l.listing_id % 89 * 0.004::double as lat, lon + l.listing_id % 97 * 0.004::double as lon from latest l join centroids using (district))"
+
+
+def _placed(spark, d):
+    """Last rows of listings at made-up places about their district's centre."""
+    rows = latest(spark, d).join(R.centroids(spark, d), "district")
+    return rows.withColumns({"lat": F.col("lat") + F.col("listing_id") % 89 * 0.004, "lon": F.col("lon") + F.col("listing_id") % 97 * 0.004}).select("listing_id", "price_vnd", "area_m2", "lat", "lon")
+
+
+@query("hotspot_areas", f"""{R.LATEST}, {R.CENTROIDS}, {_PLACED}, n as (select count(*) // 100 as least from latest), c as (select cast(floor(lat / 0.05::double) as bigint) as y, cast(floor(lon / 0.05::double) as bigint) as x, count(*) as listings, count(*) filter (where price_vnd <= 3000000) as marked from placed group by 1, 2),
+    w as (select a.y, a.x, sum(b.listings) as near from c a join c b on b.y between a.y - 1 and a.y + 1 and b.x between a.x - 1 and a.x + 1 group by 1, 2), k as (select c.*, cast(near as bigint) as near, y || ':' || x as id from c join w using (y, x) where near >= (select least from n)),
+    lab as (with recursive lab(id, root) using key (id) as (select id, id from k union select q.id, min(l.root) from lab l join k p on p.id = l.id join k q on q.y between p.y - 1 and p.y + 1 and q.x between p.x - 1 and p.x + 1 join recurring.lab o on o.id = q.id where l.root < o.root group by q.id) select * from lab)
+    select root as cluster, count(*) as cells, cast(sum(listings) as bigint) as listings, cast(sum(marked) as bigint) as marked, min(y) as south, max(x) as east from k join lab using (id) group by 1""")
+def hotspot_areas(spark, d):
+    """Dense areas of listings, with those up to three million; least density: a hundredth of all listings about a cell."""
+    placed = _placed(spark, d)
+    areas = density.hotspot_areas(density.density_clusters(placed, 0.05, placed.count() // 100, F.col("price_vnd") <= 3_000_000), 0.05)
+    return areas.select("cluster", "cells", "listings", "marked", F.round(F.col("south") / 0.05).cast("long").alias("south"), (F.round(F.col("east") / 0.05) - 1).cast("long").alias("east"))
+
+
+@query("nearest_listings", f"""{R.LATEST}, {R.CENTROIDS}, {_PLACED}, w as (select n_nationkey as point_id, 10 + n_nationkey * 0.1::double + 0.0213 as point_lat, 106 + n_nationkey % 5 * 0.1::double + 0.0317 as point_lon from nation),
+    k as (select point_id, listing_id, {_HAVERSINE.format(a="lat", b="point_lat", c="lon", d="point_lon")} as km from placed, w where price_vnd <= 4000000)
+    select point_id, listing_id, round(km, 6) as km, cast(nth as integer) as rank from (select *, row_number() over (partition by point_id order by km, listing_id) as nth from k) x where nth <= 5""")
+def nearest_listings(spark, d):
+    """The five nearest listings up to four million for a workplace in each nation."""
+    key = F.col("n_nationkey")
+    points = R.table(spark, d, "nation").select(key.alias("point_id"), (10 + key * 0.1 + 0.0213).alias("point_lat"), (106 + key % 5 * 0.1 + 0.0317).alias("point_lon"))
+    return density.best_matches(_placed(spark, d), points, 5, 4_000_000).select("point_id", "listing_id", F.round("km", 6).alias("km"), "rank")
+
+
+@query("listing_history", f"""{R.ORACLE}, one as (select listing_id, run_no, price_vnd from (select *, row_number() over (partition by listing_id, run_no order by k1, k2, k3, k4) as nth from rental) x where nth = 1),
+    s as (select *, case when lag(run_no) over w = run_no - 1 and lag(price_vnd) over w is not distinct from price_vnd then 0 else 1 end as starts from one window w as (partition by listing_id order by run_no)),
+    i as (select *, sum(starts) over (partition by listing_id order by run_no) as island from s) select listing_id, price_vnd, min(run_no) as first_run, max(run_no) as last_run, count(*) as seen from i group by listing_id, island, price_vnd""")
+def listing_history(spark, d):
+    """Intervals of equal price: four runs in one pass, the others added one by one."""
+    raw = history.once(R.rental(spark, d), ["listing_id"], "run_no", ["price_raw"], ["k1", "k2", "k3", "k4"])
+    one = silver.written(raw.select("listing_id", "run_no", T.price_vnd(F.col("price_raw")).alias("price_vnd")), "runs")
+    found = history.intervals(one.filter("run_no <= 4"), ["listing_id"], "run_no", ["price_vnd"])
+    for run in range(5, (one.agg(F.max("run_no")).first()[0] or 0) + 1):
+        found = silver.written(history.extend(found, one.filter(F.col("run_no") == run).drop("run_no"), ["listing_id"], run, ["price_vnd"]), "history")
+    return found
+
+
 # --- request log, over events
 
 _LOG = """log as (select event_id, 's' || (user_id % 3) as source, 'r' || (user_id % 5) as run_id, 'u' || (event_id % 4000) as request_url, cast(event_id // 4000 as integer) as retry_count, ts as finished_at, value as elapsed_ms,
