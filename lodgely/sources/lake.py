@@ -64,7 +64,11 @@ def read_manifest_json(spark: SparkSession, path: str) -> DataFrame:
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
     """Page snapshots of <path>/<source>/<kind>/<date>/<run>/*.html, one row a page."""
-    df = spark.read.format("text").option("wholetext", True).load(f"{path}/*/*/*/*/*.html")
+    return raw_columns(spark.read.format("text").option("wholetext", True).load(f"{path}/*/*/*/*/*.html"))
+
+
+def raw_columns(df: DataFrame) -> DataFrame:
+    """Whole files (value) of page snapshots with what their place tells: html, path, source, kind, ingest_date, run_id."""
     return df.select(F.col("value").alias("html"), F.col("_metadata.file_path").alias("path"), *_folders(F.col("_metadata.file_path"), ("source", "kind", "ingest_date", "run_id")))
 
 
@@ -93,3 +97,43 @@ def export(df: DataFrame, path: str, fmt: str = "csv") -> None:
 def publish_jdbc(df: DataFrame, url: str, name: str, properties: dict[str, str]) -> None:
     """Replaces the rows of a serving table and keeps its definition."""
     df.write.option("truncate", True).jdbc(url, name, mode="overwrite", properties=properties)
+
+
+def _in_one_transaction(spark: SparkSession, url: str, properties: dict[str, str], statements: list[str]) -> None:
+    """Runs statements on one connection of the driver; all of them take effect or none."""
+    given = spark._jvm.java.util.Properties()
+    for k, v in properties.items():
+        given.setProperty(k, v)
+    if "driver" in properties:
+        spark._jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(properties["driver"])
+    connection = spark._jvm.java.sql.DriverManager.getConnection(url, given)
+    try:
+        connection.setAutoCommit(False)
+        statement = connection.createStatement()
+        for sql in statements:
+            statement.executeUpdate(sql)
+        statement.close()
+        connection.commit()
+    except Exception:
+        connection.rollback()
+        raise
+    finally:
+        connection.close()
+
+
+def publish_staged(df: DataFrame, url: str, name: str, properties: dict[str, str], key: tuple[str, ...] = (), types: str | None = None) -> None:
+    """Puts the rows of df into a serving table so that its readers see the old rows or the new ones, never a part.
+
+    Tasks load a table beside it (name_stage); then one transaction of the database takes out the rows whose key (columns
+    that df has) is among the new ones, or without a key all, and puts the new ones in. A load that fails leaves the
+    serving table as it was, and one that is repeated gives the same rows. The serving table is made if it is missing;
+    `types` are column types for that, as in createTableColumnTypes (databases compare short texts only).
+    """
+    spark, stage = df.sparkSession, f"{name}_stage"
+    typed = lambda w: w.option("createTableColumnTypes", types) if types else w
+    typed(df.write).jdbc(url, stage, mode="overwrite", properties=properties)
+    typed(df.limit(0).write).jdbc(url, name, mode="append", properties=properties)
+    columns = ", ".join(f'"{c}"' for c in df.columns)
+    same = " AND ".join(f'{stage}."{k}" = {name}."{k}"' for k in key)
+    old = f"DELETE FROM {name} WHERE EXISTS (SELECT 1 FROM {stage} WHERE {same})" if key else f"DELETE FROM {name}"
+    _in_one_transaction(spark, url, properties, [old, f"INSERT INTO {name} ({columns}) SELECT {columns} FROM {stage}"])

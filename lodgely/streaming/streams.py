@@ -6,12 +6,13 @@ from collections.abc import Iterator
 from datetime import timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
-from ..operators import silver
+from ..operators import extract, silver
+from ..sources import lake
 
 
 def files(spark: SparkSession, path: str, schema, per_trigger: int = 1000) -> DataFrame:
@@ -32,6 +33,36 @@ def bronze_to_silver(stream: DataFrame) -> DataFrame:
     return silver.normalize(accepted)
 
 
+def snapshots(spark: SparkSession, path: str, per_trigger: int = 1000) -> DataFrame:
+    """A stream of the page snapshots that appear at <path>/<source>/<kind>/<date>/<run>/*.html, in the columns of lake.read_raw()."""
+    rows = spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", per_trigger).load(f"{path}/*/*/*/*/*.html")
+    return lake.raw_columns(rows)
+
+
+def parse_snapshots(stream: DataFrame, out: str, checkpoint: str, url: Column, parser: str = "v1") -> StreamingQuery:
+    """Cards of new listing pages, committed batch by batch below out; takes all that is there and ends.
+
+    A batch is a run of its own, named by the parser's version and the batch's number, with its cards, a line for each page
+    and a manifest that counts (lake.commit_run): a batch that is repeated after a failure replaces what it wrote, and one
+    that fails before its manifest has never been. Another parser version is another stream over all snapshots, which
+    fetches nothing. A page without cards is in the log alone.
+    """
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        keys = ["source", "ingest_date", F.lit(f"{parser}_{batch_id}").alias("run_id")]
+        pages = batch.filter("kind = 'listing'").withColumn("url", url).withColumnRenamed("run_id", "page_run")
+        pages = silver.written(pages.select("source", F.col("ingest_date").try_cast("date").alias("ingest_date"), "page_run", "url", "path", "html").filter("ingest_date is not null"), "snapshots")
+        # a page's path stands in for its run while cards are cut, so that equal URLs of two runs stay apart
+        cards = extract.cards(pages.select("url", "html", F.lit(1).alias("page_number"), F.col("path").alias("run_id"))).drop("source")
+        cards = cards.withColumnRenamed("run_id", "path").join(pages.select("path", "source", "ingest_date", "page_run"), "path").select(*keys, *[c for c in cards.columns if c not in ("run_id", "source")], "path", "page_run")
+        log = pages.select(*keys, "path", "page_run", F.length("html").cast("long").alias("html_size"))
+        lake.commit_run(cards, log, log.groupBy(*lake.RUN_KEYS).agg(F.count("*").alias("pages")), out, f"batch{batch_id}")
+
+    query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
 def dedup(stream: DataFrame, keys: list[str], time: str, delay: str = "7 days") -> DataFrame:
     """The first row of each key within the delay; older keys are forgotten."""
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
