@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, written
+from .common import written
 
 #: Words of a k-mer and of the inner substrings.
 K, S = 5, 2
@@ -90,12 +90,14 @@ def with_edits(docs: DataFrame) -> DataFrame:
     shuffle of the texts.
     """
     text = F.coalesce("text", F.lit(""))
-    base = docs.select("doc_id", text.alias("text")).withColumn("key", F.unhex(F.md5(F.col("text").cast("binary"))))
-    ids = written(base.select("doc_id", "key", F.length("text").cast("long").alias("n")).distinct(), "ids")
-    nav = written(neighbours(ids), "order").select(id_text().alias("id"), "key", id_text("prev_id").alias("prev_id"), "prev_key")
-    base = base.withColumn("id", id_text())  # never null, so joins and dropDuplicates() share a partitioning
-    given = base.join(nav, ["id", "key"]).select("prev_id", "prev_key", F.col("text").alias("next_text")).dropDuplicates(["prev_id", "prev_key"])
-    both = base.join(given, (base["id"] == given["prev_id"]) & (base["key"] == given["prev_key"]))
+    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).alias  # noqa: E731  never null, so that joins and the window share a partitioning
+    keyed = docs.select("doc_id", text.alias("text")).withColumn("key", F.md5(F.col("text").cast("binary")))
+    ids = written(keyed.select("doc_id", "key", F.length("text").cast("long").alias("n")).distinct(), "ids")
+    nav = written(neighbours(ids), "order").select(name("doc_id")("id"), "key", name("prev_id")("prev_id"), "prev_key")
+    base = keyed.select(name("doc_id")("id"), "key", "text")  # of the same columns at both its places, so it is shuffled once
+    one = base.withColumn("more", F.expr("lag(true) over (partition by id, key order by id)")).filter("more is null")
+    given = one.join(nav, ["id", "key"]).select("prev_id", "prev_key", F.col("text").alias("next_text"))
+    both = base.join(given, (base["id"] == given["prev_id"]) & (base["key"] == given["prev_key"])).withColumn("doc_id", F.when(F.col("id") != "", F.substring("id", 2, 1 << 30)).cast(docs.schema["doc_id"].dataType))
     quarter = "cast(length(text) div 4 as int)"
     return both.select("doc_id", "text", F.expr(f"concat(substring(text, 1, length(text) - {quarter}), substring(next_text, 1, {quarter}))").alias("edited"), "next_text")
 
