@@ -18,6 +18,11 @@ def uniform(*columns: Column) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
 
+def row_hash(seed: int) -> Column:
+    """A hash of a row's doc_id or, where that is null, of its key: rows without an id are spread like others."""
+    return F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.lit(seed))).otherwise(F.xxhash64("key", F.lit(seed)))
+
+
 def _pick(u: Column, shares: list[float]) -> Column:
     """The index whose share of [0, 1) holds u."""
     total, run, out = sum(shares) or 1.0, 0.0, None
@@ -33,16 +38,20 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return there.unionByName(there.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")).filter("a <> b").groupBy("a", "b").agg(F.sum("weight").alias("weight"))
 
 
-def _drawn(cells: DataFrame, links: DataFrame, free: list[float] | None) -> DataFrame:
+#: Cells of a task: the state of a round shrinks to fewer tasks than the session's shuffles have where it is small.
+TASK_CELLS = 20_000
+
+
+def _drawn(cells: DataFrame, links: DataFrame, free: list[float] | None, tasks: int) -> DataFrame:
     """cells (key, shard, n) with the target of each: of the shards with free places the one that holds most of its neighbours, unless its own holds more. Without `free`, of all shards, if it holds more than its own.
 
     A join brings the cells of each key's neighbours (itself among them, if it has several rows) to the key, and they are
     added up by shard.
     """
     there = links.select("a", F.col("b").alias("key"), "weight").join(cells, "key")
-    votes = there.groupBy(F.col("a").alias("key"), "shard").agg(F.sum(F.col("weight") * F.col("n")).alias("votes"))
-    best = (votes if free is None else votes.filter(_at(free, F.col("shard")) >= 1)).groupBy("key").agg(F.max(F.struct("votes", (-F.col("shard")).alias("neg"))).alias("best"))
-    held = cells.join(votes, ["key", "shard"], "left").join(best, "key", "left")
+    votes = there.groupBy(F.col("a").alias("key"), "shard").agg(F.sum(F.col("weight") * F.col("n")).alias("votes")).coalesce(tasks)
+    best = (votes if free is None else votes.filter(_at(free, F.col("shard")) >= 1)).groupBy("key").agg(F.max(F.struct("votes", (-F.col("shard")).alias("neg"))).alias("best")).coalesce(tasks)
+    held = cells.join(votes, ["key", "shard"], "left").join(best, "key", "left").coalesce(tasks)
     own = F.coalesce("votes", F.lit(0.0))
     moves = F.coalesce((F.col("best.votes") > own if free is None else F.col("best.votes") >= own) & (F.col("best.neg") != -F.col("shard")), F.lit(False))
     return held.select("key", "shard", "n", F.when(moves, -F.col("best.neg")).otherwise(F.col("shard")).alias("target"))
@@ -85,13 +94,14 @@ def propagate(rows: DataFrame, shards: int, rounds: int = 16, edges: DataFrame |
     cells = written(counted.join(links.select(F.col("a").alias("key")).distinct(), "key", "left_semi"), "cells")
     still = 0
     for turn in range(rounds + 1):
-        load = {r[0]: r[1] for r in cells.groupBy("shard").agg(F.sum("n")).collect()}
-        held = [float(load.get(s, 0)) for s in range(shards)]
+        load = {r[0]: r[1:] for r in cells.groupBy("shard").agg(F.sum("n"), F.count("*")).collect()}
+        held = [float(load.get(s, (0, 0))[0]) for s in range(shards)]
+        tasks = max(6, sum(k for _, k in load.values()) // TASK_CELLS)
         free = [max(0.0, n / shards - h) for h in held]
         if turn == rounds or still == 2:
             return cells, held
         swap = turn % 2 == 1
-        drawn = written(_drawn(cells, links, None if swap else free), "drawn")
+        drawn = written(_drawn(cells, links, None if swap else free, tasks), "drawn")
         asked = {(r[0], r[1]): r[2] for r in drawn.filter("shard <> target").groupBy("shard", "target").agg(F.sum("n")).collect()}
         total = [sum(x for (_, t), x in asked.items() if t == s) for s in range(shards)]
         share = lambda s, t, x: min(x, asked.get((t, s), 0)) / x if swap else min(1.0, free[t] / total[t])
@@ -103,31 +113,31 @@ def propagate(rows: DataFrame, shards: int, rounds: int = 16, edges: DataFrame |
         sent = F.floor(F.col("n") * _at(rate, F.col("shard") * shards + F.col("target")) + uniform(F.col("key"), F.col("shard"), F.lit(turn))).cast("long")
         moved = drawn.withColumn("sent", F.when(F.col("shard") == F.col("target"), F.lit(0)).otherwise(F.least("n", sent)))
         moved = moved.select("key", F.explode(F.array(F.struct("shard", (F.col("n") - F.col("sent")).alias("n")), F.struct(F.col("target").alias("shard"), F.col("sent").alias("n")))).alias("c"))
-        cells = written(moved.filter("c.n > 0").groupBy("key", "c.shard").agg(F.sum("c.n").alias("n")), "cells")
+        cells = written(moved.filter("c.n > 0").groupBy("key", "c.shard").agg(F.sum("c.n").alias("n")).coalesce(tasks), "cells")
 
 
 def shard(rows: DataFrame, shards: int = 24, block_rows: int = 500, edges: DataFrame | None = None) -> DataFrame:
     """rows (doc_id, key, ...) with shard and slot: counts of shards are at most one apart, and slots of each are gapless from 0.
 
     Linked rows (equal keys, and keys that edges (a, b, weight) link) prefer the shard that propagate() gives them, rows of a key in several shards by a hash of
-    their doc_id and key in proportion; other rows fill the free places. All rows then stand in one order of preferred shards,
+    their doc_id in proportion; other rows fill the free places. All rows then stand in one order of preferred shards,
     with unlinked rows at both ends of each, and the order is cut at equal counts, so that nearly all rows that change
-    hands there are unlinked. A null doc_id is a value like any other, repeated rows are rows of their own, a row's size
+    hands there are unlinked. A null doc_id is a value like any other (such rows go by a hash of their key), repeated rows are rows of their own, a row's size
     does not matter, and an empty table gives an empty one. Other columns pass through; those named start, u, pref, side,
     block, before, nth, place, shard or slot are replaced.
     """
     rows = rows.drop("start", "u", "pref", "side", "block", "before", "nth", "place", "shard", "slot")
-    rows = rows.withColumn("start", F.pmod(F.xxhash64("doc_id", "key", F.lit(1)), F.lit(shards)).cast("int"))
+    rows = rows.withColumn("start", F.pmod(row_hash(1), F.lit(shards)).cast("int"))
     cells, held = propagate(rows.select("key", "start"), shards, edges=edges)
     n = rows.count()
     free = [max(0.0, n / shards - h) for h in held]
     plan = cells.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("shard", "n"))).alias("cells"), F.sum("n").alias("linked"))
     own = "aggregate(cells, struct(0L as run, -1 as shard), (a, c) -> struct(a.run + c.n as run, if(a.shard < 0 and u * linked < a.run + c.n, c.shard, a.shard) as shard)).shard"
-    spread = rows.drop("start").join(plan, "key", "left").withColumn("u", uniform(F.col("doc_id"), F.col("key"), F.lit(2)))
+    spread = rows.drop("start").join(plan, "key", "left").withColumn("u", F.pmod(row_hash(2), F.lit(1 << 40)) / F.lit(float(1 << 40)))
     spread = spread.withColumn("pref", F.when(F.col("linked").isNull(), _pick(F.col("u"), free)).otherwise(F.expr(own)).cast("int"))
-    side = F.when(F.col("linked").isNotNull(), 1).otherwise(F.pmod(F.xxhash64("doc_id", "key", F.lit(3)), F.lit(2)) * 2).cast("int")
+    side = F.when(F.col("linked").isNotNull(), 1).otherwise(F.pmod(row_hash(3), F.lit(2)) * 2).cast("int")
     blocks = max(1, -(-n // (shards * block_rows)))
-    spread = spread.withColumn("side", side).withColumn("block", F.pmod(F.xxhash64("doc_id", "key", F.lit(4)), F.lit(blocks)))
+    spread = spread.withColumn("side", side).withColumn("block", F.pmod(row_hash(4), F.lit(blocks)))
     spread = written(spread.drop("cells", "linked", "u"), "preferred")
     sizes = spread.groupBy("pref", "side", "block").agg(F.count("*").alias("n"))
     totals = {r[0]: r[1] for r in sizes.groupBy("pref").agg(F.sum("n")).collect()}

@@ -83,7 +83,7 @@ def test_cut_of_copies_against_the_least_possible(spark):
 
 def test_rows_without_ids_start_in_all_shards(spark):
     rows = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.md5(F.col("id").cast("string")).cast("binary").alias("key"))
-    starts = rows.groupBy(F.pmod(F.xxhash64("doc_id", "key", F.lit(1)), F.lit(8)).alias("start")).count().collect()
+    starts = rows.groupBy(F.pmod(S.row_hash(1), F.lit(8)).alias("start")).count().collect()
     assert len(starts) == 8 and max(r["count"] for r in starts) < 3000
     got = S.shard(rows, 8)
     assert sorted(r["count"] for r in got.groupBy("shard").count().collect()) == [2500] * 8 and got.select("shard", "slot").distinct().count() == 20_000
