@@ -230,6 +230,7 @@ def write_ids(docs: DataFrame, folder: str, path: str, end_id: int | None = 2, t
     small_arrow_batches(spark)
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
     total = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # Spark's estimate, which reads nothing
+    total = total if total < 1 << 60 else 0  # it knows no size of tables that are not in files
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // task_bytes))
 
     def run(batches):
