@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import log as L
 from ..functions import text as T
-from ..operators import bronze, crosspost, density, extract, gold, history, runs, silver, sketches
+from ..operators import bronze, crosspost, density, extract, gazetteer, gold, history, runs, silver, sketches
 from ..sources import intake, lake
 from ..streaming import streams
 from . import rental as R
@@ -396,6 +396,21 @@ def listing_history(spark, d):
     return found
 
 
+_NAMES = ["Ba Đình", "Hoàn Kiếm", "Tây Hồ", "Long Biên", "Cầu Giấy", "Đống Đa", "Hai Bà Trưng", "Hoàng Mai", "Thanh Xuân", "Hà Đông", "Bình Thạnh", "Gò Vấp", "Phú Nhuận", "Tân Phú", "Thủ Đức", "Hải Châu", "Sơn Trà", "Ngũ Hành Sơn", "Liên Chiểu", "Cẩm Lệ", "Ninh Kiều", "Bình Thủy", "Hồng Bàng", "Ngô Quyền", "Kiến An"]
+_NAME_ROWS = ", ".join(f"({i}, '{n}')" for i, n in enumerate(_NAMES))
+
+
+@query("misspelt_places", f"{R.LATEST}, names(place_no, name) as (values {_NAME_ROWS}) select listing_id, name as alias, cast(case when listing_id % 4 in (1, 2) then 1 else 0 end as integer) as edits from latest join names on latest.place_no % {len(_NAMES)} = names.place_no")
+def misspelt_places(spark, d):
+    """Places found in texts that drop or double a letter or lack their marks, before a seller's name and count."""
+    names = spark.createDataFrame(list(enumerate(_NAMES)), "no int, alias string")
+    rows = latest(spark, d).select("listing_id", (F.col("place_no") % len(_NAMES)).alias("no")).join(names, "no")
+    kind, name = F.col("listing_id") % 4, F.col("alias")
+    wrong = F.when(kind == 1, F.concat(F.substring(name, 1, 2), F.substring(name, 4, 99))).when(kind == 2, F.concat(F.substring(name, 1, 2), F.substring(name, 2, 99))).when(kind == 3, T.fold(name)).otherwise(name)
+    texts = rows.select("listing_id", F.concat(F.lit("Khu "), wrong, F.lit(", N Nguyen Văn Quý 3 tin")).alias("text"))
+    return gazetteer.find_places(texts, "listing_id", "text", names.select("alias")).select("listing_id", "alias", "edits")
+
+
 # --- request log, over events
 
 _LOG = """log as (select event_id, 's' || (user_id % 3) as source, 'r' || (user_id % 5) as run_id, 'u' || (event_id % 4000) as request_url, cast(event_id // 4000 as integer) as retry_count, ts as finished_at, value as elapsed_ms,
