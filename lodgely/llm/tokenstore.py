@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -16,8 +17,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import byte_letters
 from .common import in_batches, open_fs, shared_dir, small_arrow_batches, text_rows, written
-from .pretokens import Remembered, by_size, gathered
+from .pretokens import Remembered, by_pattern, by_size, gathered
 
 BLOCK = 256
 _MAGIC = b"LPFOR001"
@@ -25,6 +27,8 @@ _MAGIC = b"LPFOR001"
 _RUN = 1024
 _FOOT = struct.Struct("<QQQQ8s")
 _HEAD = 7
+#: Texts of characters that every version of Unicode in use puts into the same classes.
+_LATIN = re.compile("[\t\n\r -~\u00a1-\u024f]*").fullmatch
 
 
 def pack(values: np.ndarray, percentile: float = 0.9) -> tuple[bytes, np.ndarray]:
@@ -176,6 +180,11 @@ def _encoder(path: str):
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     starts = np.array([(tokenizer.id_to_token(k) or "").startswith("Ġ") for k in range(tokenizer.get_vocab_size())])
 
+    def in_order(parts: list[np.ndarray], counts: list[np.ndarray], at: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Runs of ids (all parts, their lengths) that belong to the places at, by these places."""
+        order, lengths = np.argsort(np.array(at, np.int64)), np.concatenate(counts)
+        return gathered(np.concatenate(parts), (np.cumsum(lengths) - lengths)[order], lengths[order]), lengths[order]
+
     def whole(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = [np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return np.concatenate([np.zeros(0, np.int32), *got]), np.array([len(g) for g in got], np.int64)
@@ -186,7 +195,10 @@ def _encoder(path: str):
     if made.get("normalizer") or made.get("truncation") or made.get("padding") or cutter.get("type") != "ByteLevel" or cutter.get("add_prefix_space") or not cutter.get("use_regex", True):
         return whole  # such a tokenizer does not start a token at each blank, so texts cannot be put together from pieces
 
-    def pieces_to_ids(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    table, tokenize = dict(enumerate(byte_letters())), tokenizer.model.tokenize
+    by_tokens = by_pattern(public_tokenizers.PATTERN, lambda tokens: [[k.id for k in tokenize(t.encode().decode("latin-1").translate(table))] for t in tokens], 300_000)
+
+    def blanks_to_ids(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Pieces that start with their only blank are encoded in one text, and cut where tokens start with one; others alone."""
         joined = [k for k, p in enumerate(pieces) if p.rfind(" ") == 0 and not any(s in p for s in special)]
         alone = sorted(set(range(len(pieces))).difference(joined))
@@ -200,9 +212,14 @@ def _encoder(path: str):
                 raise ValueError("this tokenizer does not start a token at each blank")
             parts.append(got)
             counts.append(np.diff(np.append(at, len(got))))
-        order = np.argsort(np.array(alone + joined, np.int64))
-        lengths = np.concatenate(counts)
-        return gathered(np.concatenate(parts), (np.cumsum(lengths) - lengths)[order], lengths[order]), lengths[order]
+        return in_order(parts, counts, alone + joined)
+
+    def pieces_to_ids(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of Latin letters are cut by the pattern, whose classes are settled there, and the library's model encodes each pre-token once; the library cuts others itself."""
+        latin = [k for k, p in enumerate(pieces) if _LATIN(p)]
+        other = sorted(set(range(len(pieces))).difference(latin))
+        got = [by_tokens([pieces[k] for k in latin]), blanks_to_ids([pieces[k] for k in other])]
+        return in_order([v for v, _ in got], [n for _, n in got], latin + other)
 
     remembered = Remembered(pieces_to_ids)
 
@@ -235,7 +252,7 @@ def write_ids(docs: DataFrame, folder: str, path: str, end_id: int | None = 2, t
 
     def run(batches):
         encode, writer, base, name = _encoder(path), None, "", ""
-        for rows in by_size(((i, t or "") for i, t in text_rows(batches, "doc_id", "text")), 1 << 22):
+        for rows in by_size(((i, t or "") for i, t in text_rows(batches, "doc_id", "text")), 1 << 23):
             if writer is None:
                 fs, base = open_fs(folder)
                 fs.create_dir(base, recursive=True)

@@ -64,3 +64,15 @@ def test_rows_without_ids_go_to_many_files(spark):
     manifest = T.write_ids(docs, T.shared_dir(spark, "ids"), public_tokenizers.path("byte_bpe_50k.json"))
     got = [r.docs for r in manifest.collect()]
     assert sum(got) == 20_000 and len(got) >= 3 and max(got) < 12_000
+
+
+_LIBRARY = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+_ALPHABET = [*"aéßǄɐĸªº1²½.*中🙂", " ", "  ", "\n", "\t", "\r", "\u0085", "\xa0", "\x1c", "\x00", "­", "́", "​", " ", "'s", "'ll", "<|endoftext|>"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(_ALPHABET), max_size=30).map("".join), min_size=1, max_size=5))
+def test_pieces_give_the_ids_of_whole_texts(texts):
+    ids, lengths = T._encoder(public_tokenizers.path("byte_bpe_50k.json"))(texts)
+    want = [_LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+    assert lengths.tolist() == [len(w) for w in want] and ids.tolist() == [k for w in want for k in w]
