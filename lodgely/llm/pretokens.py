@@ -65,6 +65,26 @@ class Memory:
         return self.starts[at], self.lengths[at]
 
 
+class Named(Memory):
+    """A memory that can be asked for lists of strings too, and takes those of Arrow by way of numpy."""
+
+    def __call__(self, pieces: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if isinstance(pieces, pa.Array):
+            coded = pieces.dictionary_encode()
+            starts, lengths = self(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+            at = coded.indices.to_numpy()
+            return starts[at], lengths[at]
+        if len(self.place) > self.most:
+            self.forget()
+        at = np.fromiter(map(self.place.get, pieces, repeat(-1)), np.int64, len(pieces))
+        lost = np.flatnonzero(at < 0)
+        if len(lost):
+            new = [pieces[k] for k in lost.tolist()]
+            self._put(list(dict.fromkeys(new)))
+            at[lost] = np.fromiter(map(self.place.__getitem__, new), np.int64, len(new))
+        return self.starts[at], self.lengths[at]
+
+
 class Remembered:
     """Encodes texts by pieces: what stands before the first blank that starts a pre-token, and each such blank with what follows.
 
@@ -72,9 +92,9 @@ class Remembered:
     about `most` of them, after which all are forgotten, so memory does not grow with the number of texts.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 800_000):
-        self.first = Memory(encode, most // 4)
-        self.later = Memory(lambda pieces: encode([" " + p for p in pieces]), most)
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 800_000, kind: type[Memory] = Memory):
+        self.first = kind(encode, most // 4)
+        self.later = kind(lambda pieces: encode([" " + p for p in pieces]), most)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and how many each has."""

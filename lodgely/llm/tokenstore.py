@@ -9,17 +9,19 @@ import struct
 import uuid
 import zlib
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import byte_letters
 from .common import in_batches, open_fs, shared_dir, small_arrow_batches, text_rows, written
-from .pretokens import Remembered, by_pattern, by_size, gathered
+from .pretokens import Named, Remembered, by_size, gathered
 
 BLOCK = 256
 _MAGIC = b"LPFOR001"
@@ -29,6 +31,7 @@ _FOOT = struct.Struct("<QQQQ8s")
 _HEAD = 7
 #: Texts of characters that every version of Unicode in use puts into the same classes.
 _LATIN = re.compile("[\t\n\r -~\u00a1-\u024f]*").fullmatch
+_PRE_TOKENS = regex.compile(public_tokenizers.PATTERN).findall
 
 
 def pack(values: np.ndarray, percentile: float = 0.9) -> tuple[bytes, np.ndarray]:
@@ -73,10 +76,11 @@ def unpack(data: bytes, start: np.ndarray) -> np.ndarray:
     for w in np.unique(width[width > 0]).tolist():
         own = np.flatnonzero(width == w)
         packed = raw[(start[own] + _HEAD)[:, None] + np.arange(BLOCK // 8 * w)]
-        bits = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(own), BLOCK, w)
-        wide = np.zeros((len(own), BLOCK, 32 if w > 16 else 16), np.uint8)
-        wide[:, :, :w] = bits
-        out[own] = np.packbits(wide, axis=2, bitorder="little").view("<u4" if w > 16 else "<u2")[:, :, 0]
+        wide = np.zeros((len(own), BLOCK // 8 * w + 8), np.uint8)
+        wide[:, :-8] = packed
+        bit = np.arange(BLOCK) * w
+        words = np.ndarray((len(own), BLOCK // 8 * w), "<u8", wide, strides=(wide.shape[1], 1))  # eight bytes from each byte on
+        out[own] = (words[:, bit // 8] >> (bit % 8).astype(np.uint64)) & np.uint64((1 << w) - 1)
     row = np.repeat(np.arange(len(start)), count)
     nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
     tail = start + _HEAD + BLOCK // 8 * width
@@ -195,8 +199,21 @@ def _encoder(path: str):
     if made.get("normalizer") or made.get("truncation") or made.get("padding") or cutter.get("type") != "ByteLevel" or cutter.get("add_prefix_space") or not cutter.get("use_regex", True):
         return whole  # such a tokenizer does not start a token at each blank, so texts cannot be put together from pieces
 
-    table, tokenize = dict(enumerate(byte_letters())), tokenizer.model.tokenize
-    by_tokens = by_pattern(public_tokenizers.PATTERN, lambda tokens: [[k.id for k in tokenize(t.encode().decode("latin-1").translate(table))] for t in tokens], 300_000)
+    table, tokenize = dict(enumerate(byte_letters())) | {0: "\0"}, tokenizer.model.tokenize
+
+    def tokens_to_ids(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Each pre-token by the library's model; none has the byte 0, so all are mapped to its letters at once."""
+        got = [[k.id for k in tokenize(t)] for t in "\0".join(tokens).encode().decode("latin-1").translate(table).split("\0")] if tokens else []
+        lengths = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter(chain.from_iterable(got), np.int32, int(lengths.sum())), lengths
+
+    known = Named(tokens_to_ids, 500_000)
+
+    def latin_to_ids(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        cut = [[p] if p[1:].isalpha() and (p[0] == " " or p[0].isalpha()) else _PRE_TOKENS(p) for p in pieces]
+        count = np.fromiter(map(len, cut), np.int64, len(cut))
+        starts, lengths = known(list(chain.from_iterable(cut)))
+        return gathered(known.values, starts, lengths), np.bincount(np.repeat(np.arange(len(cut)), count), lengths, len(cut)).astype(np.int64)
 
     def blanks_to_ids(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Pieces that start with their only blank are encoded in one text, and cut where tokens start with one; others alone."""
@@ -218,10 +235,10 @@ def _encoder(path: str):
         """Pieces of Latin letters are cut by the pattern, whose classes are settled there, and the library's model encodes each pre-token once; the library cuts others itself."""
         latin = [k for k, p in enumerate(pieces) if _LATIN(p)]
         other = sorted(set(range(len(pieces))).difference(latin))
-        got = [by_tokens([pieces[k] for k in latin]), blanks_to_ids([pieces[k] for k in other])]
+        got = [latin_to_ids([pieces[k] for k in latin]), blanks_to_ids([pieces[k] for k in other])]
         return in_order([v for v, _ in got], [n for _, n in got], latin + other)
 
-    remembered = Remembered(pieces_to_ids)
+    remembered = Remembered(pieces_to_ids, 600_000, Named)
 
     def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids, lengths = remembered(texts)
