@@ -80,8 +80,9 @@ class Named(Memory):
         lost = np.flatnonzero(at < 0)
         if len(lost):
             new = [pieces[k] for k in lost.tolist()]
-            self._put(list(dict.fromkeys(new)))
-            at[lost] = np.fromiter(map(self.place.__getitem__, new), np.int64, len(new))
+            apart, n = list(dict.fromkeys(new)), len(self.place)
+            self._put(apart)
+            at[lost] = n + np.arange(len(new)) if len(apart) == len(new) else np.fromiter(map(self.place.__getitem__, new), np.int64, len(new))
         return self.starts[at], self.lengths[at]
 
 

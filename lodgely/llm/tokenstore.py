@@ -9,7 +9,6 @@ import struct
 import uuid
 import zlib
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -203,17 +202,27 @@ def _encoder(path: str):
 
     def tokens_to_ids(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Each pre-token by the library's model; none has the byte 0, so all are mapped to its letters at once."""
-        got = [[k.id for k in tokenize(t)] for t in "\0".join(tokens).encode().decode("latin-1").translate(table).split("\0")] if tokens else []
-        lengths = np.fromiter(map(len, got), np.int64, len(got))
-        return np.fromiter(chain.from_iterable(got), np.int32, int(lengths.sum())), lengths
+        ids, lengths = [], []
+        for t in "\0".join(tokens).encode().decode("latin-1").translate(table).split("\0") if tokens else []:
+            got = tokenize(t)
+            lengths.append(len(got))
+            ids += [k.id for k in got]
+        return np.array(ids, np.int32), np.array(lengths, np.int64)
 
     known = Named(tokens_to_ids, 500_000)
 
     def latin_to_ids(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        cut = [[p] if p[1:].isalpha() and (p[0] == " " or p[0].isalpha()) else _PRE_TOKENS(p) for p in pieces]
-        count = np.fromiter(map(len, cut), np.int64, len(cut))
-        starts, lengths = known(list(chain.from_iterable(cut)))
-        return gathered(known.values, starts, lengths), np.bincount(np.repeat(np.arange(len(cut)), count), lengths, len(cut)).astype(np.int64)
+        flat, count = [], []
+        for p in pieces:
+            if p[1:].isalpha() and (p[0] == " " or p[0].isalpha()):
+                flat.append(p)
+                count.append(1)
+            else:
+                got = _PRE_TOKENS(p)
+                flat += got
+                count.append(len(got))
+        starts, lengths = known(flat)
+        return gathered(known.values, starts, lengths), np.bincount(np.repeat(np.arange(len(count)), count), lengths, len(count)).astype(np.int64)
 
     def blanks_to_ids(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Pieces that start with their only blank are encoded in one text, and cut where tokens start with one; others alone."""
