@@ -181,10 +181,16 @@ def recommend(df: DataFrame, points: DataFrame, km: float, budget: int, k: int =
 
 
 def clusters(df: DataFrame, columns: list[str], k: int = 5, seed: int = 1) -> DataFrame:
-    """df with `cluster` by k-means over scaled columns; rows with a null among them get none."""
-    steps = [VectorAssembler(inputCols=columns, outputCol="_raw", handleInvalid="skip"), StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True), KMeans(k=k, seed=seed, featuresCol="_scaled", predictionCol="cluster", maxIter=20)]
-    model = Pipeline(stages=steps).fit(df)
-    return model.transform(df).drop("_raw", "_scaled")
+    """df with `cluster` by k-means over scaled columns. Rows with a null or NaN among them have no part in it and a null cluster."""
+    known = F.lit(True)
+    for c in columns:
+        known &= F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    inputs = [f"_in_{n}" for n in range(len(columns))]
+    rows = df.select("*", known.alias("_known"))
+    rows = rows.withColumns({i: F.when(F.col("_known"), F.col(c).cast("double")).otherwise(0.0) for i, c in zip(inputs, columns)})
+    steps = [VectorAssembler(inputCols=inputs, outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True), KMeans(k=k, seed=seed, featuresCol="_scaled", predictionCol="_cluster", maxIter=20)]
+    model = Pipeline(stages=steps).fit(rows.filter("_known"))
+    return model.transform(rows).withColumn("cluster", F.when(F.col("_known"), F.col("_cluster"))).drop("_raw", "_scaled", "_known", "_cluster", *inputs)
 
 
 def flags(df: DataFrame, max_age_days: int = 60, low_share: float = 0.3) -> DataFrame:

@@ -46,6 +46,13 @@ def test_z_scores(spark):
     assert [(r.district, r.price_vnd) for r in got] == [("a", 1000)]
 
 
+def test_clusters_keep_rows_that_have_no_numbers(spark):
+    rows = [(i, 1.0 + i % 7 * 0.01, 10.0) for i in range(70)] + [(i, 9.0, 500.0 + i % 5) for i in range(70, 140)] + [(200, None, 10.0), (201, 9.0, None), (202, float("nan"), 10.0)]
+    got = {r.i: r.cluster for r in gold.clusters(spark.createDataFrame(rows, "i int, a double, b double"), ["a", "b"], k=2).collect()}
+    assert set(got) == {r[0] for r in rows} and [got[i] for i in (200, 201, 202)] == [None] * 3
+    assert {len({got[i] for i in part}) for part in (range(70), range(70, 140))} == {1} and got[0] != got[100]
+
+
 def test_distinct_sketches(spark):
     df = spark.range(60_000).select((F.col("id") % 3).alias("run"), F.when(F.col("id") % 3 == 0, F.col("id") % 20_000).otherwise(F.col("id") % 20_000 + 5_000 * (F.col("id") % 3)).alias("listing"))
     exact = {r.run: {x.listing for x in df.filter(f"run = {r.run}").select("listing").collect()} for r in df.select("run").distinct().collect()}

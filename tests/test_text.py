@@ -25,6 +25,16 @@ def test_price(spark):
     assert values(spark, T.price_basis, ["200 nghìn/m2", "3tr", "x"]) == ["per_m2", "per_month", None]
 
 
+def test_deposit(spark):
+    cases = {"2 triệu": 2000000, "1tr5": 1500000, "Cọc 500 nghìn": 500000, "1.000.000 đ": 1000000, "Thỏa thuận": None, "không": None, "": None, None: None}
+    assert values(spark, T.deposit_vnd, list(cases)) == list(cases.values())
+
+
+def test_clean(spark):
+    cases = {" a\u00a0 b\n": "a b", "x\u200by": "x y", "\ufeffPhòng\t\u0007trọ": "Phòng trọ", " \u00a0\u200b\u0000 ": None, "": None, None: None, "Đã sạch": "Đã sạch"}
+    assert values(spark, T.clean, list(cases)) == list(cases.values())
+
+
 def test_raw_patterns(spark):
     assert values(spark, T.extract_price, ["Giá 3,5 triệu/tháng nhé", "4tr5", "6 K", "thỏa thuận"]) == ["3,5 triệu/tháng", None, None, "thỏa thuận"]
     assert values(spark, T.extract_area, ["rộng 25 m² đẹp", "25m2", "m2"]) == ["25 m²", "25m2", None]
