@@ -1,4 +1,4 @@
-"""SimHash fingerprints of word shingles, linked by fuzzy hashing with the binary Golay code; near copies by the likeness of their shingles."""
+"""SimHash fingerprints of word shingles, linked by fuzzy hashing with the binary Golay code; near copies by such links and the likeness of their shingles."""
 
 from __future__ import annotations
 
@@ -23,6 +23,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 _CHUNK = 1 << 15
 #: Bands of MinHash values and values in a band: two texts of likeness 0.8 share no band with a chance of (1 - 0.8^5)^60 < 1e-10.
 BANDS, ROWS = 60, 5
+#: Fingerprints of a set of shingles, and bits of all of them in which two texts of likeness 0.8 may differ (39 on average, deviation 6; unlike ones 128).
+PRINTS, MOST_BITS = 4, 80
 
 
 def _shingles(text: str | None, words: int) -> Iterator[bytes]:
@@ -42,12 +44,17 @@ def fingerprint(text: str | None, words: int = 3) -> int:
         if not len(hashes):
             break
         n += len(hashes)
-        total += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        total += _votes(hashes)
     if not n:
         return 0
     return int(np.packbits(2 * total > n, bitorder="little").view(np.uint64)[0])
 
 
+def _votes(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
 @cache
 def codewords() -> tuple[np.ndarray, np.ndarray]:
     """nearest: for each 11-bit syndrome the error pattern of at most three bits; syndrome of each of the 23 positions."""
@@ -225,19 +232,39 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return keys
 
 
+def set_prints(shingles: np.ndarray) -> np.ndarray:
+    """PRINTS fingerprints of a set of shingles by the rule of fingerprint(), the first of the hashes as they are, the others of mixed ones; none for no shingles."""
+    if not len(shingles):
+        return np.zeros(0, np.uint64)
+    total = np.zeros((PRINTS, 64), np.int64)
+    for lo in range(0, len(shingles), _CHUNK):
+        part = shingles[lo : lo + _CHUNK]
+        total[0] += _votes(part)
+        for j in range(1, PRINTS):
+            mixed = (part ^ np.uint64(j)) * np.uint64(0xBF58476D1CE4E5B9)
+            mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
+            total[j] += _votes(mixed ^ mixed >> np.uint64(32))
+    return np.packbits(2 * total > len(shingles), axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    """A column of lists of signed longs."""
+    ends = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *arrays]).view(np.int64)))
+
+
 def with_bands(docs: DataFrame, words: int = 5) -> DataFrame:
-    """docs (doc_id, text) with `node`, a signed long that names the text's set of shingles, and `keys`, its band keys."""
+    """docs (doc_id, text) with `node`, a signed long that names the text's set of shingles, `keys`, its band keys, and `prints`, its fingerprints."""
     small_arrow_batches(docs.sparkSession)
-    schema = docs.select("doc_id", "text", F.lit(0).cast("long").alias("node"), F.array().cast("array<long>").alias("keys")).schema
+    longs = F.array().cast("array<long>")
+    schema = docs.select("doc_id", "text", F.lit(0).cast("long").alias("node"), longs.alias("keys"), longs.alias("prints")).schema
 
     def run(batches):
         for batch in batches:
             sets = [shingle_set(t, words) for (t,) in text_rows([batch], "text")]
             nodes = pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes(), 7) for s in sets], np.uint64).view(np.int64))
-            keys = [band_keys(s).view(np.int64) for s in sets]
-            ends = np.cumsum([0, *map(len, keys)])
-            arrays = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text")] + [nodes, arrays], names=["doc_id", "text", "node", "keys"])
+            new = [nodes, _lists([band_keys(s) for s in sets]), _lists([set_prints(s) for s in sets])]
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text")] + new, names=schema.names)
 
     return docs.select("doc_id", "text").mapInArrow(lambda batches: released(run(batches)), schema)
 
@@ -317,9 +344,45 @@ def _near_one(held: DataFrame, roots: DataFrame, similarity: float) -> DataFrame
     return met.select(F.greatest("a", "c").alias("a"), F.least("a", "c").alias("b")).distinct()
 
 
+def golay_groups(base: DataFrame) -> DataFrame:
+    """Rows (key, node) of with_bands() rows: each node under the keys of its fingerprints (segment_keys(), by number of the fingerprint); keys of one node alone are left out."""
+
+    def keyed(batches):
+        schema = pa.schema([("key", pa.int64()), ("node", pa.int64())])
+        for batch in batches:
+            nodes, prints = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().view(np.uint64).reshape(-1, PRINTS)
+            for j in range(PRINTS):
+                rows, keys = segment_keys(prints[:, j])
+                yield pa.RecordBatch.from_arrays([pa.array(keys | np.int64(j) << 44), pa.array(nodes[rows])], schema=schema)
+
+    once = base.filter(F.size("prints") > 0).select("node", "prints").dropDuplicates(["node"])
+    keys = once.mapInArrow(keyed, "key long, node long")
+    return keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "key")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those pairs (a, b) of nodes whose fingerprints are near and whose whole sets of shingles are alike."""
+    one, two = sets.select(F.col("node").alias("a"), F.col("prints").alias("p")), sets.select(F.col("node").alias("b"), F.col("prints").alias("q"))
+    bits = sum((F.bit_count(F.col("p")[j].bitwiseXOR(F.col("q")[j])) for j in range(PRINTS)), F.lit(0))
+    near = pairs.join(one, "a").join(two, "b").filter(bits <= MOST_BITS).select("a", "b", F.lit(1 << 30).alias("least"))
+    return measured(near, sets, similarity).filter("alike").select("a", "b")
+
+
+def print_links(groups: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float, small: int) -> DataFrame:
+    """roots after links by fingerprints: rows (key, node, weight, size) of golay_groups() are held against one leader of their key, those of up to `small` that are still apart against each other."""
+    lead = groups.groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("b"))
+    roots = _merged(roots, _alike(groups.join(lead, "key").filter("node <> b").select(F.col("node").alias("a"), "b").distinct(), sets, similarity))
+    apart = _still_apart(groups, roots).filter(F.col("n") <= small)
+    return _merged(roots, _alike(_pairs_within(apart, similarity, small), sets, similarity))
+
+
 def near_links(base: DataFrame, words: int = 5, similarity: float = 0.8, small: int = 32, rounds: int = 8, few: int = 8) -> DataFrame:
     """(node, root) of the components of all pairs of nodes that share a band and are alike, for rows of with_bands().
 
+    Fingerprints come first: texts that share a segment and a Golay codeword of one are compared by print_links(). That
+    reaches most near copies, but not all at a likeness near 0.8; the bands are the exact way for the rest, so only groups
+    of a band whose members are still apart go on.
+
     A large group of near copies is never compared pair by pair. Its members are held against one leader, the member that
     meets most others. Two texts that are alike are then both alike to the leader, or share a shingle that the leader
     lacks, or all that they share is the leader's, which needs much of it in both. So what is still apart meets again by
@@ -329,12 +392,14 @@ def near_links(base: DataFrame, words: int = 5, similarity: float = 0.8, small:
     """
     keys = base.select("node", "keys").dropDuplicates(["node"]).select("node", F.explode("keys").alias("key"))
     groups = written(keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key"), "groups")
-    weights = groups.groupBy("node").agg(F.sum("n").alias("weight"))
-    texts = base.select("node", "text").join(weights, "node").dropDuplicates(["node"])
+    coded = written(golay_groups(base), "golay")
+    weights = groups.select("node", "n").unionByName(coded.select("node", F.lit(0).cast("long").alias("n"))).groupBy("node").agg(F.sum("n").alias("weight"))
+    texts = base.select("node", "text", "prints").join(weights, "node").dropDuplicates(["node"])
     sets = written(with_sets(texts, words), "sets")
     brief = sets.select("node", "weight", "size")
-    groups = groups.select("key", "node").join(brief, "node")
-    roots, nodes, last = sets.select("node", F.col("node").alias("root")), brief.count(), False
+    nodes, last = brief.count(), False
+    roots = print_links(coded.join(brief, "node"), sets.select("node", F.col("node").alias("root")), sets, similarity, small)
+    groups = _still_apart(groups.select("key", "node").join(brief, "node"), roots).select("key", "node", "weight", "size")
     for turn in range(rounds + 1):
         lead = groups.groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("leader"), F.min("size").alias("least"))
         if turn == 1:  # the same groups again: leaders that are linked give way to the foremost of them
@@ -371,7 +436,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", words: int = 5, similar
     """Per row of docs: doc_id, text_md5 (bytes, of the text; null: the empty one), component_id: the smallest doc_id that near copies lead to, itself included, and `component`, a name of the component.
 
     Near copies are texts whose sets of shingles have a Jaccard likeness of `similarity` or more; candidates come from
-    bands of MinHash values, each is checked on the whole sets. Texts without words are one component. A null doc_id is
+    SimHash fingerprints of the sets by Golay codewords, then, for what these leave apart, from bands of MinHash values;
+    each is checked on the whole sets. Texts without words are one component. A null doc_id is
     the smallest of nothing; a doc_id with several texts is in the component of each. Repeated rows stay rows of one
     component, very long texts are taken whole, an empty table gives no rows. Other columns do not matter. Below 0.8 the
     bands miss more.

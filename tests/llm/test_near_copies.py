@@ -3,6 +3,7 @@ import random
 import corpus_pipeline as C
 import numpy as np
 from lodgely.llm import simhash as S
+from pyspark.sql import functions as F
 
 
 def likeness(a, b):
@@ -73,3 +74,28 @@ def test_share_of_pairs_that_meet():
         x, y = (np.unique(np.concatenate([both[:80], part])) for part in (both[80:90], both[90:]))
         met += bool(np.any(S.band_keys(x) == S.band_keys(y)))
     assert met == 300
+
+
+def test_fingerprints_link_without_bands(spark):
+    rng = random.Random(4)
+    rows, want = [], {}
+    for k in range(120):
+        text = " ".join(f"w{rng.randrange(5000)}" for _ in range(rng.randint(100, 400)))
+        low, high = ((0.8, 0.85), (0.88, 0.92), (0.94, 0.98))[k % 3]
+        copy = next(t for t in iter(lambda: edited(rng, text, rng.randint(1, 9)), None) if low <= likeness(text, t) <= high)
+        far = next(t for t in iter(lambda: edited(rng, text, rng.randint(2, 40)), None) if 0.6 <= likeness(text, t) < 0.78 and likeness(copy, t) < 0.78)
+        rows += [(3 * k, text), (3 * k + 1, copy), (3 * k + 2, far)]
+        want[k] = low
+    base = S.with_bands(spark.createDataFrame(rows, "doc_id long, text string"))
+    node = {r.doc_id: r.node for r in base.collect()}
+    roots = {r.node: r.root for r in S.near_links(base.withColumn("keys", F.array().cast("array<long>"))).collect()}
+    root = {i: roots.get(n, n) for i, n in node.items()}
+    share = {low: np.mean([root[3 * k] == root[3 * k + 1] for k in want if want[k] == low]) for low in (0.8, 0.88, 0.94)}
+    assert share[0.8] >= 0.1 and share[0.88] >= 0.5 and share[0.94] >= 0.8, share
+    assert all(root[3 * k + 2] not in (root[3 * k], root[3 * k + 1]) for k in want) and len({root[3 * k] for k in want}) == 120
+
+
+def test_prints_follow_the_fingerprint_rule():
+    text = " ".join(f"w{k}" for k in range(80))
+    prints = S.set_prints(S.shingle_set(text))
+    assert len(set(prints.tolist())) == S.PRINTS and int(prints[0]) == S.fingerprint(text, 5) and not len(S.set_prints(S.shingle_set("")))
