@@ -260,10 +260,10 @@ def phones(text: Column) -> Column:
 
 
 def amenity_tags(text: Column) -> Column:
-    """Tags of AMENITIES whose words the text has, in order of the table."""
-    t = collapse(fold(text))
-    tags = [F.when(F.greatest(*[F.contains(t, F.lit(w)) for w in words], F.lit(False)), F.lit(tag)) for tag, words in AMENITIES.items()]
-    return F.array_compact(F.array(*tags))
+    """Tags of AMENITIES whose words the text has, as whole words, in order of the table."""
+    has = lambda t, w: F.contains(t, F.lit(w)) & t.rlike(EDGE_LEFT + w + EDGE_RIGHT)  # noqa: E731  few texts come to the pattern
+    tags = lambda t: F.array_compact(F.array(*[F.when(F.greatest(*[has(t, w) for w in words], F.lit(False)), F.lit(tag)) for tag, words in AMENITIES.items()]))
+    return F.transform(F.array(collapse(fold(text))), tags)[0]  # the folded text is made once
 
 
 def amenity_count(amenities: Column) -> Column:

@@ -95,3 +95,8 @@ def test_log_rules(spark):
 def test_haversine(spark, lat, lon, km):
     got = spark.range(1).select(T.haversine_km(F.lit(0.0), F.lit(0.0), F.lit(lat), F.lit(lon)).alias("k")).first().k
     assert got == pytest.approx(km, abs=0.01)
+
+
+def test_amenities_are_whole_words(spark):
+    texts = ["boco gaciado astaco gaco", "co gacs", "Disco gác", "ban công2", "nhà có  gác, sân", "(máy lạnh)", "x_dieu hoa", ""]
+    assert values(spark, T.amenity_tags, texts) == [[], [], [], [], ["loft"], ["air_con"], [], []]
