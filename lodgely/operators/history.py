@@ -60,3 +60,12 @@ def extend(history: DataFrame, rows: DataFrame, key: list[str], run_no: int, val
 def as_of(history: DataFrame, run_no: int) -> DataFrame:
     """Listings as a run had them."""
     return history.filter((F.col("first_run") <= run_no) & (F.col("last_run") >= run_no))
+
+
+def run_changes(rows: DataFrame, key: str = "listing_id", run: str = "run_no") -> DataFrame:
+    """Per run (whole numbers): its listings, and those kept, gained and lost since the run one before; null where there is no such run. Exact: each listing's runs are put in order, nothing is compared across the table."""
+    met = rows.select(key, run).distinct().withColumn("_kept", F.expr(f"coalesce(lag({run}) over (partition by {key} order by {run}) = {run} - 1, false)"))
+    by = met.groupBy(run).agg(F.count("*").alias("listings"), F.count_if("_kept").alias("kept"))
+    before = by.select((F.col(run) + 1).cast(by.schema[run].dataType).alias(run), F.col("listings").alias("_before"))
+    known = F.col("_before").isNotNull()
+    return by.join(before, run, "left").select(run, "listings", F.when(known, F.col("kept")).alias("kept"), (F.when(known, F.col("listings") - F.col("kept"))).alias("gained"), (F.col("_before") - F.col("kept")).alias("lost"))

@@ -140,3 +140,13 @@ def test_history_run_by_run_equals_one_pass(spark):
     assert {(r["key"], r.price) for r in history.as_of(so_far, 5).collect()} == {(r[0], r[2]) for r in rows if r[1] == 5}
     twice = df.unionByName(df.withColumn("price", F.lit(7).cast("long")))
     assert history.once(twice, ["key"], "run_no", values, ["price"]).count() == len(rows)
+
+
+def test_run_changes_are_exact(spark):
+    """More listings than a sketch of 2^16 entries holds, a row met twice, and no run 4."""
+    spans = {1: range(100_000), 2: range(30_000, 130_000), 3: range(50_001, 150_000), 5: range(60_000, 150_000)}
+    df = spark.range(150_000).selectExpr("id as listing_id", "explode(array(1, 2, 3, 5)) as run_no").filter(" or ".join(f"(run_no = {run} and listing_id >= {x.start} and listing_id < {x.stop})" for run, x in spans.items()))
+    sets = {run: set(x) for run, x in spans.items()}
+    got = {r.run_no: tuple(r)[1:] for r in history.run_changes(df.unionByName(df.limit(10))).collect()}
+    want = {run: (len(own), *((len(own & sets[run - 1]), len(own - sets[run - 1]), len(sets[run - 1] - own)) if run - 1 in sets else (None,) * 3)) for run, own in sets.items()}
+    assert got == want
