@@ -1,4 +1,4 @@
-"""Tables of sketches by place, day, source or run, which merge: quantiles, rolling quantiles and distinct counts without a second scan."""
+"""Tables of sketches by place, day, source or run, which merge: quantiles, rolling quantiles and distinct counts without a second scan. Beside them tables of counts, which merge as well and are exact."""
 
 from __future__ import annotations
 
@@ -78,6 +78,32 @@ def rolling_quantiles(table: DataFrame, days: int = 30, ranks: tuple[float, ...]
     return found.select(by, day, "n", F.array(*[quantile(r) for r in ranks]).alias("recent"))
 
 
+def count_table(df: DataFrame, by: list[str], value: str = "price_vnd") -> DataFrame:
+    """by, value and n: how often each group has each known value, counted before the shuffle; a null in `by` is a group. It merges by summing n over coarser groups, and what is read from it is exact."""
+    return df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
+
+
+def exact_quantiles(counts: DataFrame, by: list[str], ranks: tuple[float, ...] = (0.5,), value: str = "price_vnd") -> DataFrame:
+    """Of a count table: by, n and quantiles (an array, one for each rank), the least value that at least this share of the group's values does not exceed. Windows hold distinct values, and run over them in order."""
+    merged_ = counts.groupBy(*by, value).agg(F.sum("n").alias("n"))
+    keys = f"partition by {', '.join(by)}"
+    run = merged_.withColumn("_upto", F.expr(f"sum(n) over ({keys} order by {value} rows unbounded preceding)")).withColumn("_all", F.expr(f"sum(n) over ({keys})"))
+    least = lambda r: F.min(F.when(F.col("_upto") >= F.greatest(F.ceil(F.col("_all") * F.lit(float(r))), F.lit(1)), F.col(value)))
+    return run.groupBy(*by).agg(F.sum("n").alias("n"), F.array(*[least(r) for r in ranks]).alias("quantiles"))
+
+
+def exact_rolling(counts: DataFrame, days: int = 30, ranks: tuple[float, ...] = (0.5,), by: str = "district", day: str = "day", value: str = "price_vnd") -> DataFrame:
+    """Of a count table by place and day: place, day, n and recent (an array, one for each rank) over the last `days` days, exact. Counts are summed over blocks of days as in rolling_quantiles(), so a value goes to a day a handful of times in place of `days`."""
+    levels = max(1, days.bit_length())
+    number = F.datediff(F.col(day), F.lit("1970-01-01").cast("date")).cast("long")
+    own = counts.select(F.col(by).alias("_by"), number.alias("d"), F.col(value).alias("_v"), "n")
+    cells = own.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))).groupBy("_by", "level", F.expr("shiftright(d, level)").alias("block"), "_v").agg(F.sum("n").alias("n"))
+    wanted = counts.select(F.col(by).alias("_place"), F.col(day).alias("_day"), number.alias("d")).distinct()
+    wanted = wanted.select("_place", "_day", F.explode(_cover(f"d - {days - 1}", "d + 1", levels)).alias("c")).select("_place", "_day", F.col("c.level").alias("_level"), F.col("c.block").alias("_block"))
+    met = cells.join(wanted, (F.col("level") == F.col("_level")) & (F.col("block") == F.col("_block")) & F.col("_by").eqNullSafe(F.col("_place")))
+    return exact_quantiles(met.select("_place", "_day", "_v", "n"), ["_place", "_day"], ranks, "_v").select(F.col("_place").alias(by), F.col("_day").alias(day), "n", F.col("quantiles").alias("recent"))
+
+
 def distinct_table(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """by, rows, hll and theta: sketches of the distinct known values of each group."""
     return df.groupBy(*by).agg(F.count("*").alias("rows"), F.hll_sketch_agg(value, F.lit(LG_HLL)).alias("hll"), F.theta_sketch_agg(value, F.lit(LG_THETA)).alias("theta"))

@@ -142,6 +142,21 @@ def test_history_run_by_run_equals_one_pass(spark):
     assert history.once(twice, ["key"], "run_no", values, ["price"]).count() == len(rows)
 
 
+def test_counts_give_exact_quantiles(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", None]), date(2026, 1, 1) + timedelta(days=min(int(rng.expovariate(0.02)), 400)), int(rng.lognormvariate(15, 0.5))) for _ in range(9_000)]
+    table = K.count_table(spark.createDataFrame([*rows, ("a", date(2026, 1, 1), None)], "district string, day date, price_vnd long"), ["district", "day"])
+    ranks = (0.0, 0.25, 0.5, 0.75, 1.0)
+    want = lambda own: [sorted(own)[max(math.ceil(q * len(own)), 1) - 1] for q in ranks]
+    of = lambda d: [r[2] for r in rows if r[0] == d]
+    assert {r.district: (r.n, r.quantiles) for r in K.exact_quantiles(table, ["district"], ranks).collect()} == {d: (len(of(d)), want(of(d))) for d in ("a", "b", None)}
+    got = K.exact_rolling(table, 30, ranks).collect()
+    assert len(got) == len({(r[0], r[1]) for r in rows})
+    for r in rng.sample(got, 80):
+        recent = [v for d, day, v in rows if d == r.district and r.day - timedelta(days=29) <= day <= r.day]
+        assert (r.n, r.recent) == (len(recent), want(recent))
+
+
 def test_run_changes_are_exact(spark):
     """More listings than a sketch of 2^16 entries holds, a row met twice, and no run 4."""
     spans = {1: range(100_000), 2: range(30_000, 130_000), 3: range(50_001, 150_000), 5: range(60_000, 150_000)}
