@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -129,37 +132,103 @@ def word_classes(df: DataFrame, text: str, key: str) -> DataFrame:
     return words.join(least, "digest").select("key", "class", "words")
 
 
-def rare_words(words: DataFrame, threshold: float) -> DataFrame:
-    """words (key, words) -> key, size, place, word: of each row's words, rarest first, as many as a pair that is alike must share one of; those of one row alone are left out."""
-    each = words.select("key", F.size("words").alias("size"), F.explode("words").alias("word"))
-    known = each.join(each.groupBy("word").agg(F.count("*").alias("n")), "word")
-    ordered = known.groupBy("key", "size").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("own"))
-    some = F.slice("own", F.lit(1), (F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).cast("int"))
-    return ordered.select("key", "size", F.posexplode(some).alias("place", "x")).filter("x.n > 1").select("key", "size", "place", "x.word")
+#: Slots of the table of word counts, in two rows; a fixed size, so it reaches the driver whatever the input.
+SLOTS = 1 << 20
+
+
+def _slots(h: np.ndarray) -> list[np.ndarray]:
+    """The slot of each word hash in both rows of the table of counts."""
+    return [(h & (SLOTS - 1)).astype(np.int64), ((h >> 24) & (SLOTS - 1)).astype(np.int64) + SLOTS]
+
+
+def _word_counts(hashed: DataFrame) -> np.ndarray:
+    """About how many rows have a word, for each slot of _slots(): quarter powers of two, never less than it is; 0 is one row. Of hashed (hashes)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(2 * SLOTS, np.int64)
+        for batch in batches:
+            for at in _slots(batch.column("hashes").flatten().to_numpy(zero_copy_only=False)):
+                n += np.bincount(at, minlength=2 * SLOTS)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["slot", "n"])
+
+    def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scale = np.zeros(2 * SLOTS, np.uint8)
+        for batch in batches:
+            scale[batch.column("slot").to_numpy()] = np.minimum(np.ceil(4 * np.log2(batch.column("n").to_numpy())), 255)
+        yield pa.RecordBatch.from_arrays([pa.array([scale.tobytes()], pa.binary())], ["scale"])
+
+    counts = hashed.select("hashes").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    return np.frombuffer(counts.coalesce(1).mapInArrow(table, "scale binary").first()[0], np.uint8)
+
+
+def rare_words(words: DataFrame, threshold: float, shared: int = 4) -> DataFrame:
+    """words (key, words) -> key, size, least, places, hashes: of each row's words, rarest first, as many as a pair that is alike must share `least` of (`shared`, or fewer for small sets); those of one row alone are left out.
+
+    Words stand as 64-bit hashes, in one order for all rows: by about how many rows have them, then by hash. Equal hashes
+    of different words make more candidates, never fewer. The order is made in place, from a table of fixed size, so words
+    are not shuffled.
+    """
+    hashed = words.select("key", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    scale = words.sparkSession.sparkContext.broadcast(_word_counts(hashed))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("hashes")
+            h, size = lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy()).astype(np.int64)
+            start = np.cumsum(size) - size
+            one, two = _slots(h)
+            n = np.minimum(scale.value[one], scale.value[two])
+            row = np.repeat(np.arange(len(size)), size)
+            order = np.lexsort((h, n, row))
+            least = np.minimum(shared, 1 + size // 10)
+            some = size - np.ceil(size * threshold - 1e-9).astype(np.int64) + least
+            place = np.arange(len(h)) - start[row]
+            kept = (place < some[row]) & (n[order] > 0)
+            ends = np.concatenate(([0], np.cumsum(np.bincount(row[kept], minlength=len(size))))).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (place[kept].astype(np.int32), h[order][kept])]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(size.astype(np.int32)), pa.array(least.astype(np.int32)), *lists], ["key", "size", "least", "places", "hashes"])
+
+    return hashed.mapInArrow(prefixes, f"key {words.schema['key'].dataType.simpleString()}, size int, least int, places array<int>, hashes array<long>")
+
+
+def _near(df: DataFrame, text: str, key: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Classes (key, class) and the pairs of near_dup()."""
+    words = df.select(F.col(key).alias("key"), F.array_sort(word_set(F.col(text))).alias("words"))
+    words = written(words.select("key", F.array_join("words", " ").alias("words")).withColumn("digest", F.sha2("words", 256)), "words")
+    told = words.groupBy("digest").agg(F.min("key").alias("class"))
+    classes = written(words.select("key", "digest").join(told, "digest").select("key", "class"), "classes")
+    reps = classes.filter("key = class").select("key").distinct()
+    rare = rare_words(words.filter("words <> ''").select("key", F.split("words", " ").alias("words")), threshold)
+    rare = rare.filter(F.size("hashes") > 0).join(reps, "key", "left_semi").dropDuplicates(["key"])
+    rare = written(rare.select("key", "size", "least", F.explode(F.arrays_zip("places", "hashes")).alias("x")).select("key", "size", "least", (F.col("size") - F.col("x.places")).alias("left"), F.col("x.hashes").alias("hash")), "rare")
+    a, b = (rare.select("hash", *[F.col(c).alias(f"{k}_{c}") for c in ("key", "size", "least", "left")]) for k in ("a", "b"))
+    least = F.least("a_least", "b_least")
+    need = (F.col("a_size") + F.col("b_size")) * (threshold / (1 + threshold)) - 1e-9
+    fits = (F.col("a_key") < F.col("b_key")) & (F.least("a_size", "b_size") >= F.greatest("a_size", "b_size") * threshold - 1e-9) & (F.least("a_left", "b_left") >= need - least + 1)
+    met = a.join(b, "hash").filter(fits).groupBy(F.col("a_key").alias("a"), F.col("b_key").alias("b"), least.alias("least")).agg(F.count("*").alias("n"))
+    found = written(met.filter("n >= least").select("a", "b"), "found")
+    whole = words.select("key", "words")
+    met = found.join(whole.select(F.col("key").alias("a"), F.col("words").alias("x")), "a").join(whole.select(F.col("key").alias("b"), F.col("words").alias("y")), "b")
+    pairs = met.select("a", "b", jaccard(F.split("x", " "), F.split("y", " ")).alias("similarity")).filter(F.col("similarity") >= threshold)
+    return classes, pairs.distinct()
 
 
 def near_dup(df: DataFrame, text: str, key: str, threshold: float = 0.8) -> DataFrame:
     """All pairs (a, b, similarity), a < b, of classes of word_classes() that are at least `threshold` alike.
 
-    Such a pair shares one of the rarest words of each (a prefix of its words by frequency), at places that leave enough
+    Such a pair shares several of the rarest words of each (a prefix of its words by frequency), at places that leave enough
     words after them, and has near enough sizes; what meets so is checked on the whole sets. Copies are one class, so a
     group of copies makes no pairs of its own; near_classes() has their members.
     """
-    words = written(word_classes(df, text, key).filter("key = class").filter(F.size("words") > 0).select("key", "words").dropDuplicates(["key"]), "words")
-    rare = written(rare_words(words, threshold), "rare")
-    a, b = (rare.select("word", F.col("key").alias(k), F.col("size").alias(f"{k}_size"), (F.col("size") - F.col("place")).alias(f"{k}_left")) for k in ("a", "b"))
-    need = (F.col("a_size") + F.col("b_size")) * (threshold / (1 + threshold)) - 1e-9
-    fits = (F.col("a") < F.col("b")) & (F.least("a_size", "b_size") >= F.greatest("a_size", "b_size") * threshold - 1e-9) & (F.least("a_left", "b_left") >= need)
-    found = written(a.join(b, "word").filter(fits).select("a", "b").distinct(), "found")
-    one, two = words.select(F.col("key").alias("a"), F.col("words").alias("x")), words.select(F.col("key").alias("b"), F.col("words").alias("y"))
-    return found.join(one, "a").join(two, "b").select("a", "b", jaccard(F.col("x"), F.col("y")).alias("similarity")).filter(F.col("similarity") >= threshold)
+    return _near(df, text, key, threshold)[1]
 
 
 def near_classes(df: DataFrame, text: str, key: str, threshold: float = 0.8) -> DataFrame:
     """Per row: key, its class of equal word sets, and `links`, the number of other classes that are at least `threshold` alike."""
-    pairs = near_dup(df, text, key, threshold)
-    links = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).groupBy("class").agg(F.count("*").alias("links"))
-    return word_classes(df, text, key).drop("words").join(links, "class", "left").select("key", "class", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    classes, pairs = _near(df, text, key, threshold)
+    links = pairs.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("links"))
+    return classes.join(links, "class", "left").select("key", "class", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 
 def dup_groups(pairs: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFrame:
