@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from datetime import timedelta
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -184,3 +185,82 @@ def price_alerts(stream: DataFrame, delay: str = "1 day", forget: timedelta = ti
 def closing_row(rows: DataFrame, after: str = "2 days") -> DataFrame:
     """A row without a price that is later than all rows (key, run_no, at, price_vnd) by `after`, which must exceed the stream's delay: it makes the stream settle them."""
     return rows.agg(F.max("at").alias("at")).filter("at is not null").select(F.lit("").alias("key"), F.lit(0).cast("long").alias("run_no"), (F.col("at") + F.expr(f"interval {after}")).alias("at"), F.lit(None).cast("long").alias("price_vnd"))
+
+
+_HELD = "key string, run_no long, price_before long, price_vnd long, at long, kind string"
+
+
+def _settle(now: int, forget: int):
+    """Rows sorted by key, kind, time, run and falling price, each key's last price before its rows -> alerts and new last prices, row after row; of a key only its last price is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, None
+        for batch in batches:
+            out: list[tuple] = []
+
+            def close() -> None:
+                if last is not None and last[2] + forget > now:
+                    out.append((key, last[0], None, last[1], last[2], "last"))
+
+            for k, kind, at, run_no, price in zip(*(batch.column(c).to_pylist() for c in ("key", "kind", "at", "run_no", "price_vnd"))):
+                if k != key:
+                    close()
+                    key, last = k, None
+                if kind == "last":
+                    last = (run_no, price, at)
+                    continue
+                if last is not None and at - last[2] >= forget:
+                    last = None
+                if last is not None and run_no <= last[0]:
+                    continue
+                if last is not None and price != last[1]:
+                    out.append((k, run_no, last[1], price, at, "alert"))
+                last = (run_no, price, at)
+            yield _held(out)
+        out = []
+        if last is not None and last[2] + forget > now:
+            out.append((key, last[0], None, last[1], last[2], "last"))
+        yield _held(out)
+
+    return run
+
+
+def _held(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [[]] * 6
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["key", "run_no", "price_before", "price_vnd", "at", "kind"])
+
+
+def alert_tables(stream: DataFrame, path: str, checkpoint: str, delay: str = "1 day", forget: timedelta = timedelta(days=365)) -> StreamingQuery:
+    """The alerts of price_alerts() as tables below path, one folder for each batch; takes all that is there and ends.
+
+    Last prices and rows that wait are a table as well, which a batch reads from one of two folders and writes to the other,
+    so a batch that is repeated after a failure finds what it found before. A batch is one sort by key; its time is settled
+    with its own latest row. Rows of a time that an earlier batch has settled change nothing.
+    """
+    spark = stream.sparkSession
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        held = spark.read.schema(_HELD).parquet(f"{path}/turn={(batch_id - 1) % 2}") if batch_id else spark.createDataFrame([], _HELD)
+        back = lambda t: F.unix_micros(F.timestamp_micros(t) - F.expr(f"interval {delay}"))
+        before = held.filter("kind = 'latest'").agg(F.max("at").alias("t"))
+        times = before.crossJoin(batch.agg(F.max(F.unix_micros(F.col("at").cast("timestamp"))).alias("u")))
+        latest, settled, now = times.select(F.greatest("t", "u"), back(F.col("t")), back(F.greatest("t", "u"))).first()
+        rows = batch.select("key", "run_no", F.lit(None).cast("long").alias("price_before"), "price_vnd", F.unix_micros(F.col("at").cast("timestamp")).alias("at"), F.lit("waiting").alias("kind")).filter("price_vnd is not null and at is not null")
+        rows = held.filter("kind = 'waiting'").unionByName(rows if settled is None else rows.filter(F.col("at") > settled))
+        due = held.filter("kind = 'last'").unionByName(rows.filter(F.col("at") <= F.lit(now)))
+        due = due.repartition("key").sortWithinPartitions("key", "kind", "at", "run_no", F.desc("price_vnd"))
+        told = due.select("key", "kind", "at", "run_no", "price_vnd").mapInArrow(_settle(now or 0, forget // timedelta(microseconds=1)), _HELD)
+        mark = spark.range(1).select(*[F.lit(None).cast(k).alias(c) for c, k in (("key", "string"), ("run_no", "long"), ("price_before", "long"), ("price_vnd", "long"))], F.lit(latest).cast("long").alias("at"), F.lit("latest").alias("kind"))
+        turn = f"{path}/turn={batch_id % 2}"
+        told.unionByName(rows.filter(F.col("at") > F.lit(now))).unionByName(mark).write.mode("overwrite").partitionBy("kind").parquet(turn)
+        spark.read.schema(_HELD).parquet(turn).filter("kind = 'alert'").select("key", "run_no", "price_before", "price_vnd").write.mode("overwrite").parquet(f"{path}/alerts/batch={batch_id}")
+
+    query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
+def told_alerts(spark: SparkSession, path: str) -> DataFrame:
+    """All alerts of alert_tables()."""
+    return spark.read.schema(f"{ALERT}, batch long").parquet(f"{path}/alerts").drop("batch")

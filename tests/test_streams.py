@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 from datetime import datetime, timedelta
 
@@ -81,3 +82,42 @@ def test_health_counts_every_request(spark, tmp_path):
     parts.withColumn("requests", F.col("requests")).write.mode("overwrite").parquet(f"{tmp_path}/again")
     spark.read.parquet(f"{tmp_path}/again").write.mode("overwrite").parquet(f"{tmp_path}/t/parts/batch=1")
     assert S.health_windows(spark, f"{tmp_path}/t", closing=True).agg(F.sum("requests")).first()[0] == 402
+
+
+def forgetful(rows, forget):
+    out, last = [], {}
+    for key, run_no, at, price in sorted((r for r in rows if r[3] is not None), key=lambda r: (r[2], r[1], -r[3])):
+        if key in last and at - last[key][2] >= forget:
+            del last[key]
+        if key in last and run_no <= last[key][0]:
+            continue
+        if key in last and last[key][1] != price:
+            out.append((key, run_no, last[key][1], price))
+        last[key] = (run_no, price, at)
+    return sorted(out)
+
+
+def test_alert_tables_batch_by_batch(spark, tmp_path):
+    """As price_alerts(), in batches that come out of order, with listings that are forgotten and a batch that is done again; and many listings in short time."""
+    rng = random.Random(12)
+    rows = [(f"k{k}", run, DAY + timedelta(hours=run * 5 + k % 3 + (400 if run > 5 and k % 4 == 0 else 0)), rng.choice([None, 100, 100, 200])) for k in range(12) for run in range(9)]
+    rows += rows[::7]
+    mixed = sorted(rows, key=lambda r: r[2] + timedelta(hours=rng.uniform(0, 20)))
+    took = lambda: S.alert_tables(S.files(spark, f"{tmp_path}/in", PRICES, 1), f"{tmp_path}/t", f"{tmp_path}/state", "1 day", timedelta(days=10))
+    told = lambda: sorted(tuple(r) for r in S.told_alerts(spark, f"{tmp_path}/t").collect())
+    for i in range(0, len(mixed), 50):
+        put(spark, tmp_path, i, mixed[i : i + 50], PRICES)
+        took()
+    early = told()
+    late = ("k0", 99, DAY, 777)
+    put(spark, tmp_path, 0, [late], PRICES)
+    S.closing_row(spark.read.parquet(f"{tmp_path}/in")).write.mode("append").parquet(f"{tmp_path}/in")
+    took()
+    want = forgetful(rows, timedelta(days=10))
+    assert told() == want and len(want) > 10 and set(early) < set(want) and want != plain(rows)
+    many = spark.range(20_000).selectExpr("cast(id as string) as key", "explode(array(1L, 2L)) as run_no").selectExpr("key", "run_no", "timestamp_seconds(1767225600 + run_no * 60) as at", "run_no * 100 as price_vnd")
+    many.write.parquet(f"{tmp_path}/many")
+    S.closing_row(spark.read.parquet(f"{tmp_path}/many")).write.mode("append").parquet(f"{tmp_path}/many")
+    began = time.monotonic()
+    S.alert_tables(S.files(spark, f"{tmp_path}/many", PRICES), f"{tmp_path}/m", f"{tmp_path}/mstate")
+    assert S.told_alerts(spark, f"{tmp_path}/m").count() == 20_000 and time.monotonic() - began < 30
