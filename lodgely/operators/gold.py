@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .silver import written
 
 
 def median(c: str, exact: bool = True) -> Column:
@@ -181,16 +181,24 @@ def recommend(df: DataFrame, points: DataFrame, km: float, budget: int, k: int =
 
 
 def clusters(df: DataFrame, columns: list[str], k: int = 5, seed: int = 1) -> DataFrame:
-    """df with `cluster` by k-means over scaled columns. Rows with a null or NaN among them have no part in it and a null cluster."""
+    """df with `cluster` by k-means over scaled columns. Rows with a null or NaN among them have no part in it and a null cluster.
+
+    df is read once, into a table. Equal rows are one point with their number as its weight, scaled by means and deviations
+    over all rows, so iterations and what they keep grow with distinct points.
+    """
     known = F.lit(True)
     for c in columns:
         known &= F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
     inputs = [f"_in_{n}" for n in range(len(columns))]
     rows = df.select("*", known.alias("_known"))
-    rows = rows.withColumns({i: F.when(F.col("_known"), F.col(c).cast("double")).otherwise(0.0) for i, c in zip(inputs, columns)})
-    steps = [VectorAssembler(inputCols=inputs, outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True), KMeans(k=k, seed=seed, featuresCol="_scaled", predictionCol="_cluster", maxIter=20)]
-    model = Pipeline(stages=steps).fit(rows.filter("_known"))
-    return model.transform(rows).withColumn("cluster", F.when(F.col("_known"), F.col("_cluster"))).drop("_raw", "_scaled", "_known", "_cluster", *inputs)
+    rows = written(rows.withColumns({i: F.when(F.col("_known"), F.col(c).cast("double")).otherwise(0.0) for i, c in zip(inputs, columns)}), "points")
+    points = written(rows.filter("_known").groupBy(*inputs).agg(F.count("*").cast("double").alias("_weight")), "weights")
+    spread = rows.filter("_known").agg(*[f(i).alias(f"{n}{i}") for i in inputs for n, f in (("mean", F.avg), ("std", F.stddev_samp))]).first()
+    scaled = {i: (F.col(i) - F.lit(spread[f"mean{i}"] or 0.0)) / F.lit(spread[f"std{i}"]) if spread[f"std{i}"] else F.lit(0.0) for i in inputs}
+    features = VectorAssembler(inputCols=inputs, outputCol="_scaled")
+    model = KMeans(k=k, seed=seed, featuresCol="_scaled", predictionCol="_cluster", maxIter=20, weightCol="_weight").fit(features.transform(points.withColumns(scaled)))
+    told = model.transform(features.transform(rows.withColumns(scaled)))
+    return told.select(*df.columns, F.when(F.col("_known"), F.col("_cluster")).alias("cluster"))
 
 
 def flags(df: DataFrame, max_age_days: int = 60, low_share: float = 0.3) -> DataFrame:

@@ -165,3 +165,23 @@ def test_run_changes_are_exact(spark):
     got = {r.run_no: tuple(r)[1:] for r in history.run_changes(df.unionByName(df.limit(10))).collect()}
     want = {run: (len(own), *((len(own & sets[run - 1]), len(own - sets[run - 1]), len(sets[run - 1] - own)) if run - 1 in sets else (None,) * 3)) for run, own in sets.items()}
     assert got == want
+
+
+def test_clusters_read_their_input_once_and_weigh_equal_rows(spark):
+    """Copies weigh as much as rows, and the input is made once, whatever the number of iterations."""
+    made = spark.sparkContext.accumulator(0)
+    spots = [(1.0, 1.0, 50), (1.2, 1.1, 40), (9.0, 7.0, 30), (9.1, 7.3, 30), (5.0, 30.0, 20)]
+    rows = [(i, a, b) for i, (a, b) in enumerate((a, b) for a, b, n in spots for _ in range(n))]
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    df = spark.createDataFrame(rows, "i int, a double, b double")
+    got = gold.clusters(df.mapInArrow(count, df.schema), ["a", "b"], k=3).collect()
+    assert made.value == len(rows) == len(got)
+    by = {}
+    for r in got:
+        by.setdefault(r.cluster, set()).add((r.a, r.b))
+    assert sorted(map(sorted, by.values())) == [[(1.0, 1.0), (1.2, 1.1)], [(5.0, 30.0)], [(9.0, 7.0), (9.1, 7.3)]]
