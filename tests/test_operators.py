@@ -150,3 +150,22 @@ def test_nearby_anywhere(spark):
     rows = spark.createDataFrame(spots, "id int, lat double, lon double")
     points = rows.select(F.col("id").alias("point_id"), F.col("lat").alias("point_lat"), F.col("lon").alias("point_lon"))
     assert {(r["id"], r.point_id) for r in gold.nearby(rows, points, 15.0).collect()} == {(a[0], b[0]) for a in spots for b in spots if km(a, b) <= 15.0}
+
+
+def test_plain_pages_are_read_as_by_the_parser(monkeypatch):
+    """Pages of plain tags are read without the full parser, with its result; all others by it."""
+    import random
+
+    from lodgely.operators.nodes import Nodes
+
+    told = lambda n: (n.tag, n.attrs, n.parent, n.own, n.end, n.low)
+    pieces = ["<div>", '<div class="AdTitle x">', "</div>", '<a href="/x.htm" Class="price">', "</a>", "<br>", '<li\n a="1" A="2" >', "</li>", "</ul>", " đẹp ", "&amp;", "<", "<!-- c -->", "<script>if (a<b) '<p>'</script>", "<title>x <b>y</title>", "<p/>", "<input disabled>", "</li >", '<p a="x"b="y">', "<div a=1>"]
+    rng = random.Random(3)
+    pages = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 9))) for _ in range(3000)]
+    quick = [told(Nodes(p)) for p in pages]
+    with monkeypatch.context() as m:
+        m.setattr(Nodes, "_plain", lambda self, html: False)
+        assert quick == [told(Nodes(p)) for p in pages]
+    monkeypatch.setattr(Nodes, "feed", lambda self, html: 1 / 0)
+    page = Nodes('<div data-testid="list-ads"><a href="/1.htm#x"><h3 class="AdItem_title">Phòng 1</h3><br></a></div>')
+    assert page.with_tag("h3", 1) == [3] and page.having("class", "aditem", 2) == [3] and page.text(1) == "Phòng 1" and page.with_tag("a", 3) == []
